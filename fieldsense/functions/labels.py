@@ -13,8 +13,11 @@ from fieldsense.schema import NO_QUALITY_COLOR, TREATMENT_LABELS
 def treatment_label(tid: Column, labels: dict | None = None) -> Column:
     """Configured label of a treatment, else ``Treatment <id>``."""
     labels = TREATMENT_LABELS if labels is None else labels
+    default = F.concat(F.lit("Treatment "), tid.cast("string"))
+    if not labels:
+        return default
     lookup = F.create_map(*chain.from_iterable((F.lit(int(k)), F.lit(v)) for k, v in labels.items()))
-    return F.coalesce(lookup[tid.cast("bigint")], F.concat(F.lit("Treatment "), tid.cast("string")))
+    return F.coalesce(lookup[tid.cast("bigint")], default)
 
 
 def quality_color(q: Column, max_quality: float = 1.0) -> Column:

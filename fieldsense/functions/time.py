@@ -37,12 +37,12 @@ def to_datetime(value) -> _dt.datetime:
 
 def ntz_from_seconds(secs: Column) -> Column:
     """UTC wall clock (TIMESTAMP_NTZ) for epoch seconds."""
-    return _epoch_ntz() + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs.cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", secs, _epoch_ntz())
 
 
 def epoch_seconds_ntz(ts: Column) -> Column:
     """Whole epoch seconds of a TIMESTAMP_NTZ (fractions dropped)."""
-    return F.timestampdiff("SECOND", _epoch_ntz(), ts)
+    return F.timestamp_diff("SECOND", _epoch_ntz(), ts)
 
 
 def parse_utc(text: Column) -> Column:
@@ -59,10 +59,21 @@ def parse_utc(text: Column) -> Column:
     return ntz_from_seconds(secs)
 
 
+_WIDTH_SECONDS = {"minute": 60, "minutes": 60, "hour": 3600, "hours": 3600, "day": 86400, "days": 86400}
+
+
+def width_seconds(width: str) -> int:
+    n, unit = width.split()
+    return int(n) * _WIDTH_SECONDS[unit.lower()]
+
+
 def time_floor(ts: Column, width: str) -> Column:
     """Floor to a bin of ``width`` ('1 hour', '6 hours', '1 day'), aligned to
-    the epoch in UTC, NTZ in and out."""
-    return F.window(ts, width).start
+    the epoch in UTC, NTZ in and out (same bins as ``window(ts, width).start``,
+    usable several times in one projection)."""
+    step = width_seconds(width) * 1_000_000
+    micros = F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts)
+    return F.timestamp_add("MICROSECOND", F.floor(micros / F.lit(step)) * F.lit(step), _epoch_ntz())
 
 
 def connectivity_bin(start, end) -> str:
@@ -83,7 +94,7 @@ def expected_windows(start, end, freq_minutes: int = 15) -> int:
 
 def seconds_between(a: Column, b: Column) -> Column:
     """Whole seconds from ``a`` to ``b`` (both TIMESTAMP_NTZ)."""
-    return F.timestampdiff("SECOND", a, b)
+    return F.timestamp_diff("SECOND", a, b)
 
 
 def day_bounds(start_date=None, end_date=None, today=None) -> tuple[str, str]:

@@ -212,3 +212,247 @@ SELECT DISTINCT 'treatment' AS facet, {_LABEL} AS label, CAST(treatment_id AS VA
 FROM m WHERE location IN ('Site 3') AND sensor_id IN (5)"""))
 def q_filter_options(spark, sf_dir):
     return S.filter_options(_m(spark, sf_dir), ["Site 3"], [5])
+
+
+# ---------------------------------------------------------------- gap statistics
+_GAP_SQL = f"""
+gaps AS (
+  SELECT sensor_id, treatment_id, location, CAST(288 AS BIGINT) AS expected_count,
+         CAST(count(*) AS BIGINT) AS actual_count,
+         CAST(greatest(288 - count(*), 0) AS BIGINT) AS missing_count
+  FROM m WHERE window_start BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'
+  GROUP BY sensor_id, treatment_id, location
+)"""
+
+
+@register("gap_stats", with_m(", " + _GAP_SQL.strip() + "\nSELECT * FROM gaps"))
+def q_gap_stats(spark, sf_dir):
+    return Q.gap_stats(_m(spark, sf_dir), START, END)
+
+
+@register("gaps_only", with_m(", " + _GAP_SQL.strip() + """
+SELECT 'S' || CAST(sensor_id AS VARCHAR) || '/T' || CAST(treatment_id AS VARCHAR) AS label,
+       sensor_id, treatment_id, missing_count
+FROM gaps WHERE missing_count > 0"""))
+def q_gaps_only(spark, sf_dir):
+    return Q.gaps_only(Q.gap_stats(_m(spark, sf_dir), START, END))
+
+
+# ---------------------------------------------------------------- connectivity
+def _conn_sql(width: str, lo: str, hi: str, extra: str = "") -> str:
+    return f"""
+conn AS (
+  SELECT time_bucket(INTERVAL {width}, window_start) AS time_bin, sensor_id, location,
+         CAST(sum(received_packets) AS BIGINT) AS received_count,
+         CAST(sum(expected_packets) AS BIGINT) AS expected_count,
+         avg(connection_quality) AS avg_quality
+  FROM m WHERE window_start BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}' {extra}
+  GROUP BY ALL
+)"""
+
+
+_CONN_OUT = ("SELECT time_bin, sensor_id, location, received_count, expected_count, avg_quality, "
+             "least(received_count / greatest(expected_count, 1), 1.0) AS ratio FROM conn")
+_6H_FILTER = "AND location IN ('Site 1', 'Site 2', 'Unknown') AND sensor_id IN (1, 3, 4, 8)"
+
+
+@register("connectivity_1h", with_m(", " + _conn_sql("1 HOUR", START, END).strip() + "\n" + _CONN_OUT))
+def q_connectivity_1h(spark, sf_dir):
+    return Q.connectivity_stats(_m(spark, sf_dir), START, END)
+
+
+@register("connectivity_6h", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H, _6H_FILTER).strip() + "\n" + _CONN_OUT))
+def q_connectivity_6h(spark, sf_dir):
+    return Q.connectivity_stats(_m(spark, sf_dir), *RANGE_6H, locations=["Site 1", "Site 2", "Unknown"],
+                                sensor_ids=[1, 3, 4, 8])
+
+
+@register("connectivity_1d", with_m(", " + _conn_sql("1 DAY", *RANGE_1D).strip() + "\n" + _CONN_OUT))
+def q_connectivity_1d(spark, sf_dir):
+    return Q.connectivity_stats(_m(spark, sf_dir), *RANGE_1D)
+
+
+@register("time_floor", with_m("""
+SELECT sensor_id, treatment_id, window_start,
+       time_bucket(INTERVAL 1 HOUR, window_start) AS bin_1h,
+       time_bucket(INTERVAL 6 HOUR, window_start) AS bin_6h,
+       time_bucket(INTERVAL 1 DAY, window_start) AS bin_1d
+FROM m"""))
+def q_time_floor(spark, sf_dir):
+    ws = F.col("window_start")
+    return _m(spark, sf_dir).select("sensor_id", "treatment_id", "window_start",
+                                    time_floor(ws, "1 hour").alias("bin_1h"),
+                                    time_floor(ws, "6 hours").alias("bin_6h"),
+                                    time_floor(ws, "1 day").alias("bin_1d"))
+
+
+_COLOR_SQL = ("CASE WHEN avg_quality IS NULL OR isnan(avg_quality) THEN 'rgb(128,128,128)' ELSE "
+              "'rgb(' || CAST(CAST(trunc(255 * (1.0 - least(greatest(avg_quality / 1.0, 0.0), 1.0))) AS INT) AS VARCHAR)"
+              " || ',' || CAST(CAST(trunc(255 * least(greatest(avg_quality / 1.0, 0.0), 1.0)) AS INT) AS VARCHAR)"
+              " || ',0)' END")
+
+
+@register("quality_color", with_m(", " + _conn_sql("1 DAY", *RANGE_1D).strip() + f"""
+SELECT time_bin, sensor_id, location, avg_quality, {_COLOR_SQL} AS color FROM conn"""))
+def q_quality_color(spark, sf_dir):
+    st = Q.connectivity_stats(_m(spark, sf_dir), *RANGE_1D)
+    return st.select("time_bin", "sensor_id", "location", "avg_quality",
+                     quality_color(F.col("avg_quality")).alias("color"))
+
+
+@register("connectivity_series", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H, _6H_FILTER).strip() + f""",
+st AS ({_CONN_OUT})
+SELECT 'Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' ||
+         arg_min(location, time_bin) OVER (PARTITION BY sensor_id) || ')' AS series,
+       sensor_id, time_bin, location, ratio,
+       {_COLOR_SQL} AS color,
+       CAST(CAST(round_even(ratio * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS ratio_text,
+       printf('%.2f', round_even(avg_quality, 2)) AS quality_text,
+       CAST(received_count AS VARCHAR) || ' / ' || CAST(expected_count AS VARCHAR) AS packets_text
+FROM st"""))
+def q_connectivity_series(spark, sf_dir):
+    st = Q.connectivity_stats(_m(spark, sf_dir), *RANGE_6H, locations=["Site 1", "Site 2", "Unknown"],
+                              sensor_ids=[1, 3, 4, 8])
+    return S.connectivity_series(st)
+
+
+# ---------------------------------------------------------------- silence detection
+_LO24 = "2024-01-14 12:00:00"
+_GAPS_SQL = f"""
+pts AS (
+  SELECT DISTINCT sensor_id, location, window_start FROM m
+  WHERE window_start BETWEEN TIMESTAMP '{_LO24}' AND TIMESTAMP '{NOW}'
+),
+steps AS (
+  SELECT sensor_id, location, window_start,
+         date_diff('second', coalesce(lag(window_start) OVER (PARTITION BY sensor_id, location ORDER BY window_start),
+                                      TIMESTAMP '{_LO24}'), window_start) AS gap
+  FROM pts
+),
+mg AS (
+  SELECT sensor_id, location, max(window_start) AS last_seen,
+         CAST(greatest(max(gap), date_diff('second', max(window_start), TIMESTAMP '{NOW}')) AS BIGINT) AS max_gap_s
+  FROM steps GROUP BY sensor_id, location
+),
+silent AS (
+  SELECT sensor_id, coalesce(location, 'unknown') AS location, pos FROM dim
+  WHERE sensor_id NOT IN (SELECT sensor_id FROM pts)
+),
+alerts AS (
+  SELECT sensor_id, location, max_gap_s, round_even(max_gap_s / 3600.0, 1) AS max_gap_hours,
+         0 AS kind, CAST(NULL AS INT) AS pos
+  FROM mg WHERE max_gap_s >= 3.0 * 3600
+  UNION ALL
+  SELECT sensor_id, location, CAST(86400 AS BIGINT), round_even(86400 / 3600.0, 1), 1, pos FROM silent
+)"""
+
+
+@register("max_gap", with_m(", " + _GAPS_SQL.strip() + "\nSELECT * FROM mg", dim=True))
+def q_max_gap(spark, sf_dir):
+    return Q.max_gap(_m(spark, sf_dir), NOW)
+
+
+@register("silent_sensors", with_m(", " + _GAPS_SQL.strip() + "\nSELECT * FROM silent", dim=True))
+def q_silent_sensors(spark, sf_dir):
+    return Q.silent_sensors(_m(spark, sf_dir), E.fixture_sensors(spark), NOW)
+
+
+@register("sensor_gaps", with_m(", " + _GAPS_SQL.strip() + "\nSELECT * FROM alerts", dim=True))
+def q_sensor_gaps(spark, sf_dir):
+    return Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW)
+
+
+@register("gap_alert_text", with_m(", " + _GAPS_SQL.strip() + """
+SELECT CAST(count(*) AS BIGINT) AS n_alerts,
+       coalesce(string_agg('Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' || location || '): ' ||
+                  CAST(max_gap_hours AS VARCHAR) || ' h without signal', '; '
+                  ORDER BY kind, sensor_id, location, pos), '') AS text
+FROM alerts""", dim=True))
+def q_gap_alert_text(spark, sf_dir):
+    return S.gap_alert_text(Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW))
+
+
+# ---------------------------------------------------------------- temperature series
+_CONTROL_SQL = """
+ctl AS (
+  SELECT 'Control' AS series, CAST(NULL AS BIGINT) AS treatment_id, sensor_id, window_start,
+         arg_min(control_temp, treatment_id) AS value
+  FROM m GROUP BY sensor_id, window_start
+)"""
+
+
+@register("control_series", with_m(", " + _CONTROL_SQL.strip() + "\nSELECT * FROM ctl"))
+def q_control_series(spark, sf_dir):
+    return S.control_series(_m(spark, sf_dir))
+
+
+@register("series_absolute", with_m(", " + _CONTROL_SQL.strip() + f"""
+SELECT * FROM ctl
+UNION ALL
+SELECT {_LABEL} AS series, treatment_id, sensor_id, window_start, treatment_temp AS value
+FROM m WHERE treatment_id IN (1, 3)"""))
+def q_series_absolute(spark, sf_dir):
+    return S.temperature_series(_m(spark, sf_dir), treatment_ids=[1, 3], mode="absolute")
+
+
+@register("series_delta", with_m(f"""
+SELECT {_LABEL} AS series, treatment_id, sensor_id, window_start, treatment_temp - control_temp AS value
+FROM m"""))
+def q_series_delta(spark, sf_dir):
+    return S.temperature_series(_m(spark, sf_dir), mode="delta")
+
+
+@register("treatment_label", with_m(f"""
+SELECT sensor_id, treatment_id, window_start, {_LABEL} AS label,
+       'Treatment ' || CAST(sensor_id AS VARCHAR) AS sensor_as_treatment
+FROM m"""))
+def q_treatment_label(spark, sf_dir):
+    # labels for configured ids and the default text for ids without a label
+    return _m(spark, sf_dir).select(
+        "sensor_id", "treatment_id", "window_start",
+        treatment_label(F.col("treatment_id")).alias("label"),
+        treatment_label(F.col("sensor_id"), labels={}).alias("sensor_as_treatment"))
+
+
+# ---------------------------------------------------------------- de-duplication, lookup
+@register("dedup_first", "WITH " + _RAW + """
+SELECT event_id, sensor_id, treatment_id, location, window_start, window_end, n_observations,
+       control_temp, treatment_temp, received_packets, expected_packets, connection_quality
+FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, treatment_id, window_start
+                                   ORDER BY event_id) AS rn FROM raw) d WHERE rn = 1""")
+def q_dedup_first(spark, sf_dir):
+    return dedup_first(E.raw_measurements(spark, sf_dir), order_by=["event_id"])
+
+
+_CUT = "2024-01-16 00:00:00"
+
+
+@register("insert_if_absent", "WITH " + _RAW + f""",
+stored AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, treatment_id, window_start
+                                              ORDER BY event_id) AS rn
+                 FROM raw WHERE window_start < TIMESTAMP '{_CUT}') s WHERE rn = 1
+),
+batch AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, treatment_id, window_start
+                                              ORDER BY event_id) AS rn
+                 FROM raw WHERE window_start >= TIMESTAMP '2024-01-10 00:00:00') b WHERE rn = 1
+)
+SELECT event_id, sensor_id, treatment_id, location, window_start, window_end, n_observations,
+       control_temp, treatment_temp, received_packets, expected_packets, connection_quality
+FROM batch b WHERE NOT EXISTS (
+  SELECT 1 FROM stored s WHERE s.sensor_id = b.sensor_id AND s.treatment_id = b.treatment_id
+                           AND s.window_start = b.window_start)""")
+def q_insert_if_absent(spark, sf_dir):
+    raw = E.raw_measurements(spark, sf_dir)
+    stored = dedup_first(raw.where(F.col("window_start") < F.lit(_CUT).cast("timestamp_ntz")), ["event_id"])
+    batch = raw.where(F.col("window_start") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    return insert_if_absent(batch, stored, order_by=["event_id"])
+
+
+@register("add_location", "WITH " + _RAW + """
+SELECT event_id, sensor_id, treatment_id, location, window_start FROM raw""")
+def q_add_location(spark, sf_dir):
+    readings = E.raw_readings(spark, sf_dir)
+    return add_location(readings, E.fixture_sensors(spark)).select(
+        "event_id", "sensor_id", "treatment_id", "location", "window_start")
