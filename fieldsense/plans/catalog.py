@@ -456,3 +456,116 @@ def q_add_location(spark, sf_dir):
     readings = E.raw_readings(spark, sf_dir)
     return add_location(readings, E.fixture_sensors(spark)).select(
         "event_id", "sensor_id", "treatment_id", "location", "window_start")
+
+
+# ---------------------------------------------------------------- documents and ingest
+from fieldsense.operators.validate import (flatten_documents, parse_documents,  # noqa: E402
+                                           quality_ok, split_rejects, treatment_error,
+                                           validate_documents)
+from fieldsense.plans.ingest import ingest_stats  # noqa: E402
+from fieldsense.schema import empty_measurements  # noqa: E402
+
+_BAD = 150.0        # documents with a control temperature above this get quality 1.5
+_RANGE_ERR = "Connection quality 1.5 out of valid range (0.0-1.0)"
+
+_DOCS_SQL = """
+dr AS (
+  SELECT *, 'site' || CAST(sensor_id AS VARCHAR) || '_' || strftime(window_start, '%Y%m%dT%H%M%S') || '.json'
+              AS file_name,
+         CAST(row_number() OVER (PARTITION BY sensor_id, window_start ORDER BY event_id) - 1 AS INT) AS pos,
+         max(control_temp) OVER (PARTITION BY sensor_id, window_start) > 150 AS doc_bad
+  FROM raw
+)"""
+
+
+def with_docs(body: str) -> str:
+    return "WITH " + _RAW + "," + _DOCS_SQL + "\n" + body
+
+
+def _validated(spark, sf_dir, offset=None, bad=None):
+    return validate_documents(parse_documents(E.documents(spark, sf_dir, offset=offset, bad_quality_above=bad)))
+
+
+@register("parse_documents", with_docs("""
+SELECT file_name, sensor_id AS site_id, CAST(count(*) AS INT) AS n_treatments FROM dr GROUP BY ALL"""))
+def q_parse_documents(spark, sf_dir):
+    p = parse_documents(E.documents(spark, sf_dir))
+    return p.select("file_name", F.try_variant_get("doc", "$.site_id", "bigint").alias("site_id"),
+                    F.size(F.try_variant_get("doc", "$.treatments", "array<variant>")).alias("n_treatments"))
+
+
+@register("flatten_documents", with_docs(f"SELECT file_name, pos, {_COLS.replace('location, ', '')} FROM dr"))
+def q_flatten_documents(spark, sf_dir):
+    valid, _ = split_rejects(_validated(spark, sf_dir))
+    return flatten_documents(valid)
+
+
+@register("normalize_utc", with_docs("SELECT DISTINCT file_name, window_start, window_end FROM dr"))
+def q_normalize_utc(spark, sf_dir):
+    # window times are written as local time with a +02:00 offset
+    v = _validated(spark, sf_dir, offset="+02:00")
+    return v.select("file_name", "window_start", "window_end")
+
+
+@register("validate_documents", with_docs(f"""
+SELECT DISTINCT file_name, CASE WHEN doc_bad THEN '{_RANGE_ERR}' END AS error FROM dr"""))
+def q_validate_documents(spark, sf_dir):
+    return _validated(spark, sf_dir, bad=_BAD).select("file_name", "error")
+
+
+@register("quality_range", with_docs("""
+SELECT file_name, pos, CASE WHEN control_temp > 150 THEN 1.5 ELSE connection_quality END AS connection_quality,
+       NOT (control_temp > 150) AS quality_ok
+FROM dr"""))
+def q_quality_range(spark, sf_dir):
+    p = parse_documents(E.documents(spark, sf_dir, bad_quality_above=_BAD))
+    t = p.select("file_name", F.posexplode(F.try_variant_get("doc", "$.treatments", "array<variant>"))
+                 .alias("pos", "t"))
+    q = F.try_variant_get("t", "$.connection_quality", "double")
+    return t.select("file_name", "pos", q.alias("connection_quality"), quality_ok(q).alias("quality_ok"))
+
+
+@register("whole_document_reject", with_docs(f"""
+SELECT file_name, CAST(count(*) AS INT) AS n_treatments, CAST(count_if(control_temp > 150) AS INT) AS n_bad,
+       '{_RANGE_ERR}' AS error
+FROM dr WHERE doc_bad GROUP BY file_name"""))
+def q_whole_document_reject(spark, sf_dir):
+    v = _validated(spark, sf_dir, bad=_BAD).where(F.col("error").isNotNull())
+    return v.select("file_name", F.size("treatments").alias("n_treatments"),
+                    F.size(F.filter("treatments", lambda t: treatment_error(t).isNotNull())).alias("n_bad"),
+                    "error")
+
+
+@register("split_rejects", with_docs(f"""
+SELECT DISTINCT file_name, '{_RANGE_ERR}' AS error FROM dr WHERE doc_bad"""))
+def q_split_rejects(spark, sf_dir):
+    _, rejects = split_rejects(_validated(spark, sf_dir, bad=_BAD))
+    return rejects.select("file_name", "error")
+
+
+def _ingest_rows(spark, sf_dir):
+    valid, _ = split_rejects(_validated(spark, sf_dir, bad=_BAD))
+    rows = add_location(flatten_documents(valid), E.fixture_sensors(spark))
+    return insert_if_absent(rows, empty_measurements(spark), order_by=["file_name", "pos"])
+
+
+@register("ingest_rows", with_docs(f"""
+SELECT {_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY sensor_id, treatment_id, window_start ORDER BY file_name, pos) AS rn
+  FROM dr WHERE NOT doc_bad) x
+WHERE rn = 1"""))
+def q_ingest_rows(spark, sf_dir):
+    return _ingest_rows(spark, sf_dir).select(*_COLS.split(", "))
+
+
+@register("ingest_stats", with_docs("""
+SELECT CAST(count(DISTINCT file_name) AS BIGINT) AS found,
+       CAST(count(DISTINCT file_name) FILTER (WHERE NOT doc_bad) AS BIGINT) AS parsed,
+       CAST(count(DISTINCT file_name) FILTER (WHERE doc_bad) AS BIGINT) AS dropped,
+       CAST(count(*) FILTER (WHERE NOT doc_bad) AS BIGINT) AS rows,
+       CAST(count(DISTINCT (sensor_id, treatment_id, window_start)) FILTER (WHERE NOT doc_bad) AS BIGINT) AS inserted,
+       CAST(count(*) FILTER (WHERE NOT doc_bad)
+            - count(DISTINCT (sensor_id, treatment_id, window_start)) FILTER (WHERE NOT doc_bad) AS BIGINT) AS duplicates
+FROM dr"""))
+def q_ingest_stats(spark, sf_dir):
+    return ingest_stats(_validated(spark, sf_dir, bad=_BAD), _ingest_rows(spark, sf_dir))

@@ -104,14 +104,9 @@ def gaps_only(gaps: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- Q9
-def connectivity_stats(m: DataFrame, start, end, locations=None, sensor_ids=None,
-                       bin_width: str | None = None) -> DataFrame:
-    """Packet delivery per (time bin, sensor, location).
-
-    The bin is 1 h for ranges up to 3 days, 6 h up to 30 days, else 1 day
-    (chosen from the arguments). ratio = received / max(expected, 1), at most
-    1.0. Partial aggregation before the shuffle; output is bins x sensors.
-    """
+def connectivity_rows(m: DataFrame, start, end, locations=None, sensor_ids=None,
+                      bin_width: str | None = None) -> DataFrame:
+    """Unordered connectivity aggregate (also valid on a streaming DataFrame)."""
     width = bin_width or connectivity_bin(start, end)
     rows = with_filters(in_range(m, start, end), locations, sensor_ids)
     return (rows.groupBy(time_floor(F.col("window_start"), width).alias("time_bin"),
@@ -120,7 +115,18 @@ def connectivity_stats(m: DataFrame, start, end, locations=None, sensor_ids=None
                  F.sum("expected_packets").alias("expected_count"),
                  F.avg("connection_quality").alias("avg_quality"))
             .withColumn("ratio", F.least(F.col("received_count") /
-                                         F.greatest(F.col("expected_count"), F.lit(1)), F.lit(1.0)))
+                                         F.greatest(F.col("expected_count"), F.lit(1)), F.lit(1.0))))
+
+
+def connectivity_stats(m: DataFrame, start, end, locations=None, sensor_ids=None,
+                       bin_width: str | None = None) -> DataFrame:
+    """Packet delivery per (time bin, sensor, location).
+
+    The bin is 1 h for ranges up to 3 days, 6 h up to 30 days, else 1 day
+    (chosen from the arguments). ratio = received / max(expected, 1), at most
+    1.0. Partial aggregation before the shuffle; output is bins x sensors.
+    """
+    return (connectivity_rows(m, start, end, locations, sensor_ids, bin_width)
             .orderBy("time_bin", "sensor_id", "location"))
 
 

@@ -39,7 +39,11 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reading per event, without location (added by the lookup)."""
-    ev = read_events(spark, sf_dir)
+    return readings_from_events(read_events(spark, sf_dir))
+
+
+def readings_from_events(ev: DataFrame) -> DataFrame:
+    """Reshape ``events`` rows (batch or stream) into readings."""
     k = F.get_json_object("props", "$.k").cast("int")
     tid = F.col("event_id") % 3 + 1
     start = F.window("ts", "15 minutes").start
