@@ -569,3 +569,59 @@ SELECT CAST(count(DISTINCT file_name) AS BIGINT) AS found,
 FROM dr"""))
 def q_ingest_stats(spark, sf_dir):
     return ingest_stats(_validated(spark, sf_dir, bad=_BAD), _ingest_rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streaming
+import uuid  # noqa: E402
+
+from fieldsense.session import ensure_checkpoint_dir  # noqa: E402
+from fieldsense.sources.table import append_new, read_table  # noqa: E402
+from fieldsense.streaming.connectivity import start_memory_sink, stream_connectivity  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fieldsense-{name}-{uuid.uuid4().hex}"
+
+
+def _stream_ingest_events(spark, sf_dir) -> str:
+    """Stream ``events.parquet`` into a new measurements table; returns its path.
+
+    Each micro-batch is reshaped, located and appended with insert-if-absent
+    (``append_new``) inside ``foreachBatch``; ``availableNow`` drains the source.
+    """
+    base = _scratch(spark, "stream")
+    table, ckpt = f"{base}/table", f"{base}/checkpoint"
+    sensors = E.fixture_sensors(spark)
+    schema = E.read_events(spark, sf_dir).schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+
+    def run(batch, epoch_id):
+        append_new(add_location(E.readings_from_events(batch), sensors), table, order_by=["event_id"])
+
+    q = (src.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return table
+
+
+@register("stream_ingest", with_m(f"SELECT {_COLS} FROM m"))
+def q_stream_ingest(spark, sf_dir):
+    table = _stream_ingest_events(spark, sf_dir)
+    return read_table(spark, table).select(*_COLS.split(", "))
+
+
+@register("stream_connectivity", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H).strip() + "\n" + _CONN_OUT))
+def q_stream_connectivity(spark, sf_dir):
+    from fieldsense.sources.table import TABLE_SCHEMA
+    table = _stream_ingest_events(spark, sf_dir)
+    rows = spark.readStream.schema(TABLE_SCHEMA).parquet(table)
+    name = f"conn_{uuid.uuid4().hex[:12]}"
+    q = start_memory_sink(stream_connectivity(rows, *RANGE_6H), name, _scratch(spark, "conn-ckpt"))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.table(name)
