@@ -36,13 +36,19 @@ def to_datetime(value) -> _dt.datetime:
 
 
 def ntz_from_seconds(secs: Column) -> Column:
-    """UTC wall clock (TIMESTAMP_NTZ) for epoch seconds."""
+    """UTC wall clock (TIMESTAMP_NTZ) for epoch seconds (NTZ arithmetic,
+    independent of the session time zone)."""
     return F.timestamp_add("SECOND", secs, _epoch_ntz())
 
 
 def epoch_seconds_ntz(ts: Column) -> Column:
-    """Whole epoch seconds of a TIMESTAMP_NTZ (fractions dropped)."""
-    return F.timestamp_diff("SECOND", _epoch_ntz(), ts)
+    """Whole epoch seconds of a TIMESTAMP_NTZ wall clock, fractions dropped.
+
+    Built from the wall date and time of day, so no time zone enters
+    (``timestamp_diff`` would first cast to a session-zone TIMESTAMP).
+    """
+    return (F.unix_date(ts.cast("date")).cast("bigint") * 86400
+            + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
 def parse_utc(text: Column) -> Column:
@@ -59,21 +65,11 @@ def parse_utc(text: Column) -> Column:
     return ntz_from_seconds(secs)
 
 
-_WIDTH_SECONDS = {"minute": 60, "minutes": 60, "hour": 3600, "hours": 3600, "day": 86400, "days": 86400}
-
-
-def width_seconds(width: str) -> int:
-    n, unit = width.split()
-    return int(n) * _WIDTH_SECONDS[unit.lower()]
-
-
 def time_floor(ts: Column, width: str) -> Column:
     """Floor to a bin of ``width`` ('1 hour', '6 hours', '1 day'), aligned to
-    the epoch in UTC, NTZ in and out (same bins as ``window(ts, width).start``,
-    usable several times in one projection)."""
-    step = width_seconds(width) * 1_000_000
-    micros = F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts)
-    return F.timestamp_add("MICROSECOND", F.floor(micros / F.lit(step)) * F.lit(step), _epoch_ntz())
+    the epoch, NTZ in and out, no time zone involved. Spark allows one such
+    window expression per projection: add several floors in separate steps."""
+    return F.window(ts, width).start
 
 
 def connectivity_bin(start, end) -> str:
@@ -93,8 +89,8 @@ def expected_windows(start, end, freq_minutes: int = 15) -> int:
 
 
 def seconds_between(a: Column, b: Column) -> Column:
-    """Whole seconds from ``a`` to ``b`` (both TIMESTAMP_NTZ)."""
-    return F.timestamp_diff("SECOND", a, b)
+    """Whole seconds from ``a`` to ``b`` (both TIMESTAMP_NTZ, whole seconds)."""
+    return epoch_seconds_ntz(b) - epoch_seconds_ntz(a)
 
 
 def day_bounds(start_date=None, end_date=None, today=None) -> tuple[str, str]:

@@ -280,10 +280,10 @@ SELECT sensor_id, treatment_id, window_start,
 FROM m"""))
 def q_time_floor(spark, sf_dir):
     ws = F.col("window_start")
-    return _m(spark, sf_dir).select("sensor_id", "treatment_id", "window_start",
-                                    time_floor(ws, "1 hour").alias("bin_1h"),
-                                    time_floor(ws, "6 hours").alias("bin_6h"),
-                                    time_floor(ws, "1 day").alias("bin_1d"))
+    return (_m(spark, sf_dir).select("sensor_id", "treatment_id", "window_start")
+            .withColumn("bin_1h", time_floor(ws, "1 hour"))
+            .withColumn("bin_6h", time_floor(ws, "6 hours"))
+            .withColumn("bin_1d", time_floor(ws, "1 day")))
 
 
 _COLOR_SQL = ("CASE WHEN avg_quality IS NULL OR isnan(avg_quality) THEN 'rgb(128,128,128)' ELSE "

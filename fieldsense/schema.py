@@ -76,18 +76,22 @@ def empty_measurements(spark: SparkSession) -> DataFrame:
 def sensor_dim(spark: SparkSession, sensors: Iterable[Mapping] | None) -> DataFrame:
     """Sensor dimension from the parsed configuration (a list of mappings).
 
-    The configuration is a driver-side document of a few entries, so the
-    DataFrame is small by construction; ``None`` or no file means no sensors.
-    Keeps the configuration position in ``pos`` so "first entry wins" can be
-    applied where an id is listed twice.
+    The rows are inlined as literals over a one-row range, so the optimizer
+    knows the exact (tiny) size and joins with it are broadcast behind the
+    size check. ``None`` or no file means no sensors. ``pos`` keeps the
+    configuration position so "first entry wins" can be applied where an id
+    is listed twice.
     """
+    fields = list(SENSOR_SCHEMA.fields) + [T.StructField("pos", T.IntegerType(), False)]
     rows = []
     for pos, s in enumerate(sensors or []):
-        rows.append((int(s["id"]), s.get("name"), s.get("location"),
-                     s.get("frequency_minutes"), None if s.get("max_gap_hours") is None
-                     else float(s["max_gap_hours"]), pos))
-    schema = T.StructType(list(SENSOR_SCHEMA.fields) + [T.StructField("pos", T.IntegerType(), False)])
-    return spark.createDataFrame(rows, schema)
+        vals = (int(s["id"]), s.get("name"), s.get("location"), s.get("frequency_minutes"),
+                s.get("max_gap_hours"), pos)
+        rows.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(vals, fields)]))
+    one = spark.range(1)
+    if not rows:
+        return one.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def load_sensor_config(path: str) -> list[dict]:
