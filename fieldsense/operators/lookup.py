@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.schema import UNKNOWN_LOCATION
+from fieldsense.schema import UNKNOWN_LOCATION, sensor_entries
 
 # Largest side this library broadcasts without Spark's own decision.
 BROADCAST_LIMIT_BYTES = 64 << 20
+# Up to this many configured sensors the location is a literal map lookup.
+INLINE_LOOKUP_MAX = 256
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -33,24 +38,61 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
 
 
 def unique_sensors(dim: DataFrame) -> DataFrame:
-    """One row per sensor id: the first configuration entry wins."""
+    """One row per sensor id: the first configuration entry wins.
+
+    Uses the ``first`` flag of ``sensor_dim`` when present (no shuffle),
+    else an aggregate over the dimension.
+    """
+    if "first" in dim.columns:
+        return dim.where(F.col("first")).select(F.col("id").alias("sensor_id"), "name",
+                                                F.col("location").alias("sensor_location"))
     return (dim.groupBy("id")
             .agg(F.min_by(F.struct("name", "location"), F.col("pos")).alias("_s"))
             .select(F.col("id").alias("sensor_id"), F.col("_s.name").alias("name"),
                     F.col("_s.location").alias("sensor_location")))
 
 
-def add_location(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    """Set ``location`` from the sensor dimension; no match or no location -> 'Unknown'.
+def location_of(sensor_id: Column, sensors: Sequence[Mapping]) -> Column:
+    """Location of a sensor from a configuration list, as one expression.
 
-    The dimension is the sensor configuration (a few rows), joined with a
-    broadcast hash join behind a size check; the facts are not shuffled.
+    A literal ``map<bigint,string>`` built from the configuration (first
+    entry of an id wins; entries without location are left out) is folded to
+    a constant; the lookup runs inside whole-stage codegen with no join.
     """
-    lookup = broadcast_if_small(unique_sensors(dim).select("sensor_id", "sensor_location"))
-    base = facts.drop("location") if "location" in facts.columns else facts
-    joined = base.join(lookup, on="sensor_id", how="left")
-    loc = F.coalesce(F.col("sensor_location"), F.lit(UNKNOWN_LOCATION)).alias("location")
+    first = {}
+    for e in sensor_entries(sensors):
+        if e["first"] and e["location"] is not None:
+            first[e["id"]] = e["location"]
+    if not first:
+        return F.lit(UNKNOWN_LOCATION)
+    entries = json.dumps([{"k": k, "v": v} for k, v in first.items()])
+    lookup = F.map_from_entries(F.from_json(F.lit(entries), "array<struct<k:bigint,v:string>>"))
+    return F.coalesce(lookup[sensor_id.cast("bigint")], F.lit(UNKNOWN_LOCATION))
+
+
+def _place_location(base: DataFrame, loc: Column) -> list:
     cols = list(base.columns)
     at = cols.index("treatment_id") + 1 if "treatment_id" in cols else len(cols)
-    out = [F.col(c) for c in cols[:at]] + [loc] + [F.col(c) for c in cols[at:]]
-    return joined.select(*out)
+    return [F.col(c) for c in cols[:at]] + [loc.alias("location")] + [F.col(c) for c in cols[at:]]
+
+
+def add_location(facts: DataFrame, sensors) -> DataFrame:
+    """Set ``location`` from the sensor configuration; a sensor that is not
+    configured, or has no location, gets 'Unknown'.
+
+    ``sensors`` is the configuration list (small: a literal map lookup, no
+    join) or a dimension DataFrame with ``id, location`` and optionally the
+    ``first``/``pos`` columns of ``sensor_dim`` (broadcast hash join behind a
+    size check, else a shuffle join that AQE may still broadcast). The facts
+    are never shuffled for this lookup in the first two cases.
+    """
+    base = facts.drop("location") if "location" in facts.columns else facts
+    if not isinstance(sensors, DataFrame) and len(list(sensors)) <= INLINE_LOOKUP_MAX:
+        return base.select(*_place_location(base, location_of(F.col("sensor_id"), sensors)))
+    dim = sensors if isinstance(sensors, DataFrame) else None
+    if dim is None:
+        raise ValueError("a large configuration must be passed as a DataFrame (sensor_dim)")
+    lookup = broadcast_if_small(unique_sensors(dim).select("sensor_id", "sensor_location"))
+    joined = base.join(lookup, on="sensor_id", how="left")
+    loc = F.coalesce(F.col("sensor_location"), F.lit(UNKNOWN_LOCATION))
+    return joined.select(*_place_location(base, loc))

@@ -545,7 +545,7 @@ def q_split_rejects(spark, sf_dir):
 
 def _ingest_rows(spark, sf_dir):
     valid, _ = split_rejects(_validated(spark, sf_dir, bad=_BAD))
-    rows = add_location(flatten_documents(valid), E.fixture_sensors(spark))
+    rows = add_location(flatten_documents(valid), E.FIXTURE_SENSORS)
     return insert_if_absent(rows, empty_measurements(spark), order_by=["file_name", "pos"])
 
 
@@ -592,7 +592,7 @@ def _stream_ingest_events(spark, sf_dir) -> str:
     """
     base = _scratch(spark, "stream")
     table, ckpt = f"{base}/table", f"{base}/checkpoint"
-    sensors = E.fixture_sensors(spark)
+    sensors = E.FIXTURE_SENSORS
     schema = E.read_events(spark, sf_dir).schema
     src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
            .option("maxFilesPerTrigger", 1).parquet(sf_dir))

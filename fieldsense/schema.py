@@ -73,25 +73,37 @@ def empty_measurements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MEASUREMENT_SCHEMA)
 
 
+SENSOR_DIM_DDL = ("array<struct<id:bigint,name:string,location:string,frequency_minutes:int,"
+                  "max_gap_hours:double,pos:int,first:boolean>>")
+
+
+def sensor_entries(sensors: Iterable[Mapping] | None) -> list[dict]:
+    """Configuration entries with their position and a ``first`` flag for the
+    first entry of each id ("first entry wins" where an id is listed twice)."""
+    out, seen = [], set()
+    for pos, s in enumerate(sensors or []):
+        sid = int(s["id"])
+        mg = s.get("max_gap_hours")
+        fm = s.get("frequency_minutes")
+        out.append({"id": sid, "name": s.get("name"), "location": s.get("location"),
+                    "frequency_minutes": None if fm is None else int(fm),
+                    "max_gap_hours": None if mg is None else float(mg),
+                    "pos": pos, "first": sid not in seen})
+        seen.add(sid)
+    return out
+
+
 def sensor_dim(spark: SparkSession, sensors: Iterable[Mapping] | None) -> DataFrame:
     """Sensor dimension from the parsed configuration (a list of mappings).
 
-    The rows are inlined as literals over a one-row range, so the optimizer
-    knows the exact (tiny) size and joins with it are broadcast behind the
-    size check. ``None`` or no file means no sensors. ``pos`` keeps the
-    configuration position so "first entry wins" can be applied where an id
-    is listed twice.
+    The entries travel as one JSON literal expanded over a one-row range, so
+    the optimizer knows the exact (tiny) size and joins with it can be
+    broadcast behind the size check. ``None`` or no file means no sensors.
+    Columns: id, name, location, frequency_minutes, max_gap_hours, pos, first.
     """
-    fields = list(SENSOR_SCHEMA.fields) + [T.StructField("pos", T.IntegerType(), False)]
-    rows = []
-    for pos, s in enumerate(sensors or []):
-        vals = (int(s["id"]), s.get("name"), s.get("location"), s.get("frequency_minutes"),
-                s.get("max_gap_hours"), pos)
-        rows.append(F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(vals, fields)]))
-    one = spark.range(1)
-    if not rows:
-        return one.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
-    return one.select(F.inline(F.array(*rows)))
+    import json
+    payload = json.dumps(sensor_entries(sensors))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(payload), SENSOR_DIM_DDL)))
 
 
 def load_sensor_config(path: str) -> list[dict]:

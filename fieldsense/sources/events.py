@@ -64,7 +64,7 @@ def readings_from_events(ev: DataFrame) -> DataFrame:
 
 def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with location from the fixture sensor configuration."""
-    return add_location(raw_readings(spark, sf_dir), fixture_sensors(spark))
+    return add_location(raw_readings(spark, sf_dir), FIXTURE_SENSORS)
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
