@@ -157,24 +157,31 @@ def max_gap(m: DataFrame, now, hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame
                     .alias("max_gap_s")))
 
 
+def _not_seen(seen_ids: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Configuration entries whose id is not in ``seen_ids``.
+
+    The seen ids are first reduced to configured ids (a semi join whose
+    result is a subset of the configuration), so the side broadcast into the
+    anti join is bounded by the configuration size, not by the data.
+    """
+    cfg_ids = unique_sensors(sensors).select("sensor_id")
+    seen_cfg = cfg_ids.join(seen_ids, "sensor_id", "left_semi")
+    cfg = sensors.select(F.col("id").alias("sensor_id"), "location", "pos")
+    return (cfg.join(F.broadcast(seen_cfg), "sensor_id", "left_anti")
+            .select("sensor_id",
+                    F.coalesce(F.col("location"), F.lit(SILENT_DEFAULT_LOCATION)).alias("location"),
+                    "pos"))
+
+
 def silent_sensors(m: DataFrame, sensors: DataFrame, now,
                    hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
     """Configured sensors without any row in ``[now - hours, now]`` (by id).
 
     Every configuration entry is reported (like the original loop); location
-    defaults to lower-case 'unknown'. The seen-set is first restricted to the
-    configured ids (broadcast semi join), so both join sides stay bounded by
-    the configuration size.
+    defaults to lower-case 'unknown'.
     """
     lo, hi = _lookback(now, hours)
-    ids = F.broadcast(unique_sensors(sensors).select("sensor_id"))
-    seen = (in_range(m, lo, hi).select("sensor_id")
-            .join(ids, "sensor_id", "left_semi").distinct())
-    cfg = sensors.select(F.col("id").alias("sensor_id"), "location", "pos")
-    return (cfg.join(F.broadcast(seen), "sensor_id", "left_anti")
-            .select("sensor_id",
-                    F.coalesce(F.col("location"), F.lit(SILENT_DEFAULT_LOCATION)).alias("location"),
-                    "pos"))
+    return _not_seen(in_range(m, lo, hi).select("sensor_id"), sensors)
 
 
 def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
@@ -182,14 +189,16 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
                 hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
     """Alerts: groups whose largest gap is >= threshold, then silent
     configured sensors at 24 h. ``max_gap_hours`` is rounded to one digit
-    (half-even); the threshold test uses the exact value. ``ord`` gives the
-    alert order (gap groups by sensor and location, then configuration order).
+    (half-even); the threshold test uses the exact value. ``ord`` columns
+    ``kind, pos`` give the alert order (gap groups by sensor and location,
+    then configuration order). The per-group gaps are computed once and feed
+    both the threshold test and the seen-sensor set.
     """
-    gaps = (max_gap(m, now, hours)
-            .where(F.col("max_gap_s") >= F.lit(threshold_hours * 3600.0))
+    groups = max_gap(m, now, hours)
+    gaps = (groups.where(F.col("max_gap_s") >= F.lit(threshold_hours * 3600.0))
             .select("sensor_id", "location", "max_gap_s",
                     F.lit(0).alias("kind"), F.lit(None).cast("int").alias("pos")))
-    silent = (silent_sensors(m, sensors, now, hours)
+    silent = (_not_seen(groups.select("sensor_id"), sensors)
               .select("sensor_id", "location",
                       F.lit(int(SILENT_SENSOR_GAP_HOURS * 3600)).cast("bigint").alias("max_gap_s"),
                       F.lit(1).alias("kind"), "pos"))
