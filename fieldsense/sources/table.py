@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +59,11 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
 
     ``rows`` carries the measurement columns plus the ``order_by`` columns.
     The batch is persisted once (its first and last date restrict the stored
-    side to those partitions), the new rows are written with a REBALANCE on
-    the partition column (AQE splits a hot day, merges small ones) and counted
-    by an observation of the same write job. Re-running a batch after a
-    failure is harmless: keys written by the first attempt are skipped.
+    side to those partitions); the new rows are persisted, counted and, when
+    there are any, written with a REBALANCE on the partition column (AQE
+    splits a hot day, merges small ones) and sorted inside each file.
+    Re-running a batch after a failure is harmless: keys written by the first
+    attempt are skipped.
     Returns ``{"rows", "inserted", "duplicates"}``.
     """
     spark = rows.sparkSession
@@ -74,14 +75,16 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
         if not b["n"]:
             return {"rows": 0, "inserted": 0, "duplicates": 0}
         existing = read_table(spark, path)
-        new = insert_if_absent(batch, existing, order_by, key, date_bounds=(b["lo"], b["hi"]))
-        obs = Observation("append_new")
-        out = (new.select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields])
-               .observe(obs, F.count(F.lit(1)).alias("inserted"))
-               .hint("rebalance", PARTITION_COLUMN)
-               .sortWithinPartitions(*FILE_SORT))
-        out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
-        inserted = int(obs.get.get("inserted", 0) or 0)
-        return {"rows": int(b["n"]), "inserted": inserted, "duplicates": int(b["n"]) - inserted}
+        new = (insert_if_absent(batch, existing, order_by, key, date_bounds=(b["lo"], b["hi"]))
+               .select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields])
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            inserted = new.count()
+            if inserted:
+                (new.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*FILE_SORT)
+                 .write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path))
+        finally:
+            new.unpersist()
+        return {"rows": int(b["n"]), "inserted": int(inserted), "duplicates": int(b["n"]) - int(inserted)}
     finally:
         batch.unpersist()

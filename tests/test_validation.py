@@ -1,0 +1,150 @@
+"""Document parsing and validation: the original parser tests plus the
+edge documents listed in FIXTURES.md."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import (EXAMPLE_SITE_9, INVALID_QUALITY, MISSING_FIELD, SENSORS, VALID_1, document,
+                      treatment)
+from fieldsense.operators.lookup import add_location
+from fieldsense.operators.validate import (flatten_documents, parse_documents, split_rejects,
+                                           validate_documents)
+
+
+def run(spark, docs: dict):
+    rows = [(name, d if isinstance(d, str) else json.dumps(d)) for name, d in docs.items()]
+    frame = spark.createDataFrame(rows, "file_name string, value string")
+    validated = validate_documents(parse_documents(frame))
+    valid, rejects = split_rejects(validated)
+    flat = add_location(flatten_documents(valid), SENSORS)
+    errors = {r["file_name"]: r["error"] for r in validated.select("file_name", "error").collect()}
+    return errors, flat.orderBy("file_name", "pos").collect()
+
+
+def test_valid_document_gives_one_row_per_treatment(spark):
+    errors, rows = run(spark, {"valid_1.json": VALID_1})
+    assert errors == {"valid_1.json": None}
+    assert len(rows) == 3
+    r = rows[0]
+    assert (r.sensor_id, r.treatment_id, r.connection_quality) == (1, 1, 1.0)
+    assert r.location == "Garden 1"
+    assert r.window_start == dt.datetime(2026, 1, 1, 0, 0)
+    assert r.window_end == dt.datetime(2026, 1, 1, 0, 15)
+    assert [x.treatment_temp for x in rows] == [23.5, 25.0, 26.5]
+
+
+def test_invalid_quality_rejects_document(spark):
+    errors, rows = run(spark, {"bad.json": INVALID_QUALITY})
+    assert rows == []
+    assert "out of valid range" in errors["bad.json"].lower()
+
+
+def test_missing_field_rejects_document(spark):
+    errors, rows = run(spark, {"missing.json": MISSING_FIELD})
+    assert rows == []
+    assert "missing" in errors["missing.json"].lower()
+    assert "window_end" in errors["missing.json"]
+
+
+def test_array_order_not_significant(spark):
+    errors, rows = run(spark, {"ex.json": EXAMPLE_SITE_9})
+    assert errors["ex.json"] is None
+    assert sorted((r.treatment_id, r.expected_packets) for r in rows) == [(1, 24), (2, 16), (3, 20)]
+    assert {r.location for r in rows} == {"Garden 9"}
+
+
+@pytest.mark.parametrize("text", ["{not json", "[1, 2]", "3", "\"text\"", "null",
+                                  '{"site_id": 1, "site_id": 2}'])
+def test_malformed_or_non_object_rejected(spark, text):
+    errors, rows = run(spark, {"x.json": text})
+    assert rows == [] and errors["x.json"]
+
+
+@pytest.mark.parametrize("treatments", [[], {}])
+def test_treatments_must_be_non_empty_list(spark, treatments):
+    doc = document(treatments=treatments)
+    errors, _ = run(spark, {"t.json": doc})
+    assert errors["t.json"] == "treatments must be a non-empty list"
+
+
+@pytest.mark.parametrize("site,expected", [("7", 7), (1.9, 1), (True, 1), (" 7 ", 7)])
+def test_site_id_coercion_accepts(spark, site, expected):
+    doc = document(site=site, treatments=[treatment(1, 20.0, 21.0)])
+    errors, rows = run(spark, {"s.json": doc})
+    assert errors["s.json"] is None
+    assert rows[0].sensor_id == expected
+
+
+@pytest.mark.parametrize("site", [None, "1.5", "abc", [1]])
+def test_site_id_coercion_rejects(spark, site):
+    doc = document(site=site, treatments=[treatment(1, 20.0, 21.0)])
+    errors, rows = run(spark, {"s.json": doc})
+    assert rows == [] and errors["s.json"].startswith("Invalid site_id")
+
+
+def test_offset_converted_to_utc_and_fraction_dropped(spark):
+    a = document(start="2026-01-01T02:00:00+02:00", end="2026-01-01T02:15:00+02:00",
+                 treatments=[treatment(1, 20.0, 21.0)])
+    b = document(start="2026-01-01 00:15:00.789", end="2026-01-01T00:30:00.5Z",
+                 treatments=[treatment(1, 20.0, 21.0)])
+    errors, rows = run(spark, {"a.json": a, "b.json": b})
+    assert errors == {"a.json": None, "b.json": None}
+    got = {r.file_name: (r.window_start, r.window_end) for r in rows}
+    assert got["a.json"] == (dt.datetime(2026, 1, 1, 0, 0), dt.datetime(2026, 1, 1, 0, 15))
+    assert got["b.json"] == (dt.datetime(2026, 1, 1, 0, 15), dt.datetime(2026, 1, 1, 0, 30))
+
+
+@pytest.mark.parametrize("value", [20260101, "not a date", None])
+def test_bad_window_rejected(spark, value):
+    doc = document(treatments=[treatment(1, 20.0, 21.0)])
+    doc["window_start"] = value
+    errors, rows = run(spark, {"w.json": doc})
+    assert rows == [] and errors["w.json"].startswith("Invalid datetime field")
+
+
+def test_unknown_site_gets_unknown_location(spark):
+    errors, rows = run(spark, {"u.json": document(site=42, treatments=[treatment(1, 20.0, 21.0)])})
+    assert errors["u.json"] is None and rows[0].location == "Unknown"
+
+
+def test_one_bad_treatment_rejects_whole_document(spark):
+    doc = document(treatments=[treatment(1, 20.0, 21.0), treatment(2, 20.0, 22.0, quality=-0.1),
+                               treatment(3, 20.0, 23.0)])
+    errors, rows = run(spark, {"b.json": doc})
+    assert rows == [] and "out of valid range" in errors["b.json"]
+
+
+def test_first_error_in_check_order(spark):
+    bad_element = treatment(1, "warm", 21.0, quality=7.0)
+    doc = document(treatments=[treatment(2, 20.0, 21.0), bad_element])
+    errors, _ = run(spark, {"o.json": doc})
+    assert errors["o.json"].startswith("Invalid temperature field")
+    missing = dict(treatment(1, 20.0, 21.0))
+    del missing["received_packets"]
+    errors, _ = run(spark, {"m.json": document(treatments=[missing])})
+    assert errors["m.json"] == "Treatment missing required field: received_packets"
+
+
+@pytest.mark.parametrize("q,ok", [(0.0, True), (1.0, True), ("NaN", False), ("0.5", True), (1.0000001, False)])
+def test_quality_bounds(spark, q, ok):
+    errors, rows = run(spark, {"q.json": document(treatments=[treatment(1, 20.0, 21.0, quality=q)])})
+    assert (errors["q.json"] is None) == ok
+    assert len(rows) == (1 if ok else 0)
+
+
+def test_same_treatment_twice_kept_for_dedup(spark):
+    doc = document(treatments=[treatment(1, 20.0, 21.0), treatment(1, 30.0, 31.0)])
+    errors, rows = run(spark, {"d.json": doc})
+    assert errors["d.json"] is None
+    assert [(r.pos, r.control_temp) for r in rows] == [(0, 20.0), (1, 30.0)]
+
+
+def test_reject_table_keeps_text(spark):
+    frame = spark.createDataFrame([("bad.json", json.dumps(INVALID_QUALITY))], "file_name string, value string")
+    _, rejects = split_rejects(validate_documents(parse_documents(frame)))
+    r = rejects.collect()[0]
+    assert r.file_name == "bad.json" and json.loads(r.value) == INVALID_QUALITY
+    assert rejects.where(F.col("error").contains("1.5")).count() == 1
