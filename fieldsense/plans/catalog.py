@@ -366,7 +366,7 @@ def q_sensor_gaps(spark, sf_dir):
 SELECT CAST(count(*) AS BIGINT) AS n_alerts,
        coalesce(string_agg('Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' || location || '): ' ||
                   CAST(max_gap_hours AS VARCHAR) || ' h without signal', '; '
-                  ORDER BY kind, sensor_id, location, pos), '') AS text
+                  ORDER BY kind, pos NULLS FIRST, sensor_id, location), '') AS text
 FROM alerts""", dim=True))
 def q_gap_alert_text(spark, sf_dir):
     return S.gap_alert_text(Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW))

@@ -189,9 +189,9 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
                 hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
     """Alerts: groups whose largest gap is >= threshold, then silent
     configured sensors at 24 h. ``max_gap_hours`` is rounded to one digit
-    (half-even); the threshold test uses the exact value. ``ord`` columns
-    ``kind, pos`` give the alert order (gap groups by sensor and location,
-    then configuration order). The per-group gaps are computed once and feed
+    (half-even); the threshold test uses the exact value. The alert order is
+    ``kind, pos, sensor_id, location``: gap groups by sensor and location,
+    then silent sensors in configuration order. The per-group gaps are computed once and feed
     both the threshold test and the seen-sensor set.
     """
     groups = max_gap(m, now, hours)
@@ -206,7 +206,7 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
             .select("sensor_id", "location", "max_gap_s",
                     F.bround(F.col("max_gap_s") / 3600.0, 1).alias("max_gap_hours"),
                     "kind", "pos")
-            .orderBy("kind", "sensor_id", "location", "pos"))
+            .orderBy("kind", "pos", "sensor_id", "location"))
 
 
 # --------------------------------------------------------------------- facets

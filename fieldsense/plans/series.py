@@ -88,10 +88,10 @@ def filter_options(m: DataFrame, locations: Sequence[str] | None = None,
 
 def gap_alert_text(alerts: DataFrame) -> DataFrame:
     """One row: all alerts as ``Sensor n (loc): h h without signal`` joined
-    with '; ' in alert order (NULL text and 0 alerts when there is none).
+    with '; ' in alert order (empty text and 0 alerts when there is none).
     The alert list is bounded by the number of sensor groups."""
     txt = alert_text(F.col("sensor_id"), F.col("location"), F.col("max_gap_hours"))
-    ordered = F.struct(F.col("kind"), F.col("sensor_id"), F.col("location"), F.col("pos"), txt.alias("t"))
+    ordered = F.struct(F.col("kind"), F.col("pos"), F.col("sensor_id"), F.col("location"), txt.alias("t"))
     return alerts.agg(
         F.count(F.lit(1)).alias("n_alerts"),
         F.array_join(F.transform(F.array_sort(F.collect_list(ordered)), lambda s: s["t"]), "; ")

@@ -1,0 +1,182 @@
+"""Query semantics on small hand-made tables: ties, caps, clipping, empty
+results, thresholds, bins, silent sensors, labels and texts."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldsense.functions.labels import percent_text, quality_color, treatment_label
+from fieldsense.functions.time import connectivity_bin, day_bounds, expected_windows
+from fieldsense.operators.filters import in_range, page, with_filters
+from fieldsense.plans import queries as Q
+from fieldsense.plans import series as S
+from fieldsense.schema import MEASUREMENT_SCHEMA, empty_measurements, sensor_dim
+
+T0 = dt.datetime(2026, 1, 1)
+
+
+def mrow(sensor, treatment, loc, minutes, ctrl=20.0, trt=21.0, rec=15, exp=15, q=1.0):
+    ws = T0 + dt.timedelta(minutes=minutes)
+    return (sensor, treatment, loc, ws, ws + dt.timedelta(minutes=15), 15, ctrl, trt, rec, exp, q)
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, MEASUREMENT_SCHEMA)
+
+
+def test_latest_keeps_ties(spark):
+    m = table(spark, [mrow(1, 1, "A", 0), mrow(1, 1, "A", 15), mrow(2, 1, "A", 15), mrow(2, 2, "A", 0),
+                      mrow(3, 1, "B", 30)])
+    got = [(r.location, r.treatment_id, r.sensor_id, r.window_start) for r in Q.latest_status(m).collect()]
+    assert got == [("A", 1, 1, T0 + dt.timedelta(minutes=15)), ("A", 1, 2, T0 + dt.timedelta(minutes=15)),
+                   ("A", 2, 2, T0), ("B", 1, 3, T0 + dt.timedelta(minutes=30))]
+    assert len(Q.latest_status(m).columns) == 10
+
+
+def test_latest_display_rounding_and_label(spark):
+    m = table(spark, [mrow(1, 4, "A", 0, ctrl=20.125, trt=21.135, q=0.3125)])
+    r = Q.latest_status_display(m).collect()[0]
+    assert r.window_start == "2026-01-01 00:00:00"
+    assert r.control_temp == 20.12 and r.connection_quality == 0.312
+    assert r.treatment_label == "Treatment 4"
+
+
+def test_connectivity_ratio_cap_and_zero_expected(spark):
+    m = table(spark, [mrow(1, 1, "A", 0, rec=20, exp=15, q=0.5), mrow(1, 2, "A", 15, rec=10, exp=15, q=1.0),
+                      mrow(2, 1, "B", 0, rec=3, exp=0, q=0.25)])
+    rows = {r.sensor_id: r for r in Q.connectivity_stats(m, "2026-01-01 00:00:00", "2026-01-01 23:59:59").collect()}
+    assert rows[1].time_bin == T0 and rows[1].received_count == 30 and rows[1].expected_count == 30
+    assert rows[1].ratio == 1.0 and rows[1].avg_quality == 0.75
+    assert rows[2].ratio == 1.0 and rows[2].expected_count == 0
+
+
+@pytest.mark.parametrize("start,end,width", [
+    ("2026-01-01 00:00:00", "2026-01-03 23:59:59", "1 hour"),
+    ("2026-01-01 00:00:00", "2026-01-04 00:00:00", "1 hour"),
+    ("2026-01-01 00:00:00", "2026-01-04 00:00:01", "6 hours"),
+    ("2026-01-01 00:00:00", "2026-01-31 00:00:00", "6 hours"),
+    ("2026-01-01 00:00:00", "2026-01-31 23:59:59", "1 day"),
+])
+def test_adaptive_bin(start, end, width):
+    assert connectivity_bin(start, end) == width
+
+
+def test_connectivity_six_hour_bins(spark):
+    m = table(spark, [mrow(1, 1, "A", 5 * 60 + 45), mrow(1, 1, "A", 6 * 60), mrow(1, 1, "A", 23 * 60 + 45)])
+    bins = sorted(r.time_bin.hour for r in Q.connectivity_stats(m, "2026-01-01 00:00:00", "2026-01-10 00:00:00").collect())
+    assert bins == [0, 6, 18]
+
+
+def test_gap_stats_expected_and_clip(spark):
+    assert expected_windows("2026-01-01 00:00:00", "2026-01-01 23:59:59") == 96
+    assert expected_windows("2026-01-01 00:00:00", "2026-01-01 00:00:00") == 1
+    rows = [mrow(1, 1, "A", 15 * i) for i in range(3)] + [mrow(1, 1, "A", 15 * i + 1) for i in range(3)]
+    m = table(spark, rows)
+    g = Q.gap_stats(m, "2026-01-01 00:00:00", "2026-01-01 00:30:00").collect()
+    assert [(r.expected_count, r.actual_count, r.missing_count) for r in g] == [(3, 5, 0)]
+    g = Q.gap_stats(m, "2026-01-01 00:00:00", "2026-01-01 02:00:00").collect()
+    assert [(r.expected_count, r.actual_count, r.missing_count) for r in g] == [(9, 6, 3)]
+    only = Q.gaps_only(Q.gap_stats(m, "2026-01-01 00:00:00", "2026-01-01 02:00:00")).collect()
+    assert [(r.label, r.missing_count) for r in only] == [("S1/T1", 3)]
+
+
+def test_empty_results_keep_schema(spark):
+    m = empty_measurements(spark)
+    for df in (Q.gap_stats(m, "2026-01-01 00:00:00", "2026-01-02 00:00:00"),
+               Q.connectivity_stats(m, "2026-01-01 00:00:00", "2026-01-02 00:00:00"),
+               Q.latest_status(m), Q.fetch_measurements(m, "2026-01-01 00:00:00", "2026-01-02 00:00:00")):
+        assert df.count() == 0 and len(df.columns) > 0
+    assert Q.gap_stats(m, "2026-01-01", "2026-01-02").columns == [
+        "sensor_id", "treatment_id", "location", "expected_count", "actual_count", "missing_count"]
+
+
+def test_sensor_gaps_threshold_and_silent(spark):
+    now = dt.datetime(2026, 1, 2, 0, 0)
+    # sensor 1: points at 03:00 and 21:00 -> largest gap 18 h (03:00 .. 21:00)
+    # sensor 2: every 15 min all day, last point 23:00 -> 1 h to now, but exactly 3 h at the start
+    rows = [mrow(1, 1, "A", 3 * 60), mrow(1, 2, "A", 3 * 60), mrow(1, 1, "A", 21 * 60)]
+    rows += [mrow(2, 1, "A", m) for m in range(180, 23 * 60 + 1, 15)]
+    rows += [mrow(3, 1, "C", 0)]           # exactly at the start of the look-back: counts as seen
+    m = table(spark, rows)
+    sensors = sensor_dim(spark, [{"id": 1, "location": "A"}, {"id": 2, "location": "A"},
+                                 {"id": 5, "location": None}, {"id": 5, "location": "dup"}])
+    alerts = Q.sensor_gaps(m, sensors, now).collect()
+    got = [(r.sensor_id, r.location, r.max_gap_s, r.max_gap_hours, r.kind) for r in alerts]
+    assert got == [(1, "A", 18 * 3600, 18.0, 0), (2, "A", 3 * 3600, 3.0, 0), (3, "C", 86400, 24.0, 0),
+                   (5, "unknown", 86400, 24.0, 1), (5, "dup", 86400, 24.0, 1)]
+    text = S.gap_alert_text(Q.sensor_gaps(m, sensors, now)).collect()[0]
+    assert text.n_alerts == 5
+    assert text.text.startswith("Sensor 1 (A): 18.0 h without signal; Sensor 2 (A): 3.0 h without signal")
+    strict = Q.sensor_gaps(m, sensors, now, threshold_hours=3.01).collect()
+    assert 2 not in [r.sensor_id for r in strict if r.kind == 0]
+
+
+def test_max_gap_counts_range_ends(spark):
+    now = dt.datetime(2026, 1, 2, 0, 0)
+    m = table(spark, [mrow(1, 1, "A", 60 * 12)])
+    r = Q.max_gap(m, now).collect()[0]
+    assert r.max_gap_s == 12 * 3600
+
+
+def test_filters(spark):
+    m = table(spark, [mrow(1, 1, "A", 0, q=0.0), mrow(2, 2, "B", 15, q=0.5), mrow(3, 3, "C", 30, q=1.0)])
+    assert with_filters(m, locations=[], sensor_ids=None).count() == 3
+    assert with_filters(m, min_quality=0.0).count() == 3
+    assert with_filters(m, min_quality=0.5).count() == 2
+    assert with_filters(m, locations=["A", "C"], treatment_ids=[3]).count() == 1
+    assert in_range(m, "2026-01-01 00:15:00", "2026-01-01 00:30:00").count() == 2
+    f = Q.fetch_measurements(m, "2026-01-01 00:00:00", "2026-01-01 01:00:00", sensor_ids=[3, 1])
+    assert [r.sensor_id for r in f.collect()] == [1, 3] and f.columns[0] == "id"
+
+
+def test_day_bounds():
+    assert day_bounds("2026-01-05", "2026-01-07") == ("2026-01-05 00:00:00", "2026-01-07 23:59:59")
+    assert day_bounds(None, None, today="2026-02-01") == ("2026-02-01 00:00:00", "2026-02-01 23:59:59")
+    with pytest.raises(ValueError):
+        day_bounds(None, "2026-01-01")
+
+
+def test_page(spark):
+    m = table(spark, [mrow(s, 1, "A", 15 * s) for s in range(25)])
+    p2 = page(m.select("sensor_id"), ["sensor_id"], 2).collect()
+    assert [r.sensor_id for r in p2] == [20, 21, 22, 23, 24]
+
+
+def test_series(spark):
+    m = table(spark, [mrow(1, 2, "A", 0, ctrl=20.0, trt=23.0), mrow(1, 1, "A", 0, ctrl=19.0, trt=20.5),
+                      mrow(1, 3, "A", 15, ctrl=21.0, trt=25.5)])
+    ctl = [(r.window_start.minute, r.value) for r in S.control_series(m).collect()]
+    assert ctl == [(0, 19.0), (15, 21.0)]
+    absolute = S.temperature_series(m, treatment_ids=[1, 3]).collect()
+    assert sorted({r.series for r in absolute}) == ["+1.5°C", "+4.5°C", "Control"]
+    delta = {(r.treatment_id, r.window_start.minute): r.value for r in S.temperature_series(m, mode="delta").collect()}
+    assert delta == {(1, 0): 1.5, (2, 0): 3.0, (3, 15): 4.5}
+
+
+def test_labels_and_colors(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (7, 0.5), (3, None), (4, 1.7), (5, float("nan"))],
+                               "t long, q double")
+    out = df.select(treatment_label(F.col("t")).alias("l"), quality_color(F.col("q")).alias("c"),
+                    percent_text(F.lit(0.125)).alias("p")).collect()
+    assert [r.l for r in out] == ["+1.5°C", "+3°C", "Treatment 7", "+4.5°C", "Treatment 4", "Treatment 5"]
+    assert [r.c for r in out] == ["rgb(255,0,0)", "rgb(0,255,0)", "rgb(127,127,0)", "rgb(128,128,128)",
+                                  "rgb(0,255,0)", "rgb(128,128,128)"]
+    assert out[0].p == "12%"
+
+
+def test_connectivity_series_first_location(spark):
+    m = table(spark, [mrow(1, 1, "B", 60), mrow(1, 1, "A", 0), mrow(2, 1, "C", 0, rec=7, exp=14, q=0.5)])
+    st = Q.connectivity_stats(m, "2026-01-01 00:00:00", "2026-01-01 12:00:00")
+    rows = S.connectivity_series(st).collect()
+    assert {r.series for r in rows} == {"Sensor 1 (A)", "Sensor 2 (C)"}
+    two = [r for r in rows if r.sensor_id == 2][0]
+    assert (two.ratio_text, two.quality_text, two.packets_text, two.color) == ("50%", "0.50", "7 / 14", "rgb(127,127,0)")
+
+
+def test_filter_options(spark):
+    m = table(spark, [mrow(1, 1, "A", 0), mrow(2, 2, "B", 0), mrow(3, 3, "B", 0)])
+    opts = S.filter_options(m, locations=["B"], sensor_ids=[3]).collect()
+    assert [(r.facet, r.label, r.value) for r in opts if r.facet != "location"] == [
+        ("sensor", "Sensor 2", "2"), ("sensor", "Sensor 3", "3"), ("treatment", "+4.5°C", "3")]
+    assert sorted(r.value for r in opts if r.facet == "location") == ["A", "B"]
