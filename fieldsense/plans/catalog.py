@@ -593,8 +593,7 @@ def _stream_ingest_events(spark, sf_dir) -> str:
     base = _scratch(spark, "stream")
     table, ckpt = f"{base}/table", f"{base}/checkpoint"
     sensors = E.FIXTURE_SENSORS
-    schema = E.read_events(spark, sf_dir).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    src = (spark.readStream.schema(E.EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
     def run(batch, epoch_id):

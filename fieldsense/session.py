@@ -15,6 +15,9 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # small shuffles feeding CPU-heavy stages (JSON parsing, validation) keep
+    # their parallelism; large shuffles are sized by the advisory size anyway
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     # one document is one 15-minute window: many tiny files per scan
     "spark.sql.files.openCostInBytes": str(1 << 20),
     "spark.sql.files.maxPartitionBytes": str(128 << 20),

@@ -33,8 +33,12 @@ def fixture_sensors(spark: SparkSession) -> DataFrame:
     return sensor_dim(spark, FIXTURE_SENSORS)
 
 
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    """The ``events`` table with its known schema (no schema-inference job)."""
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
 
 
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
