@@ -54,7 +54,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name", "pos"),
-               key: Sequence[str] = KEY) -> dict:
+               key: Sequence[str] = KEY, table_name: str | None = None) -> dict:
     """Append the rows whose key is not stored yet; first row per key wins.
 
     ``rows`` carries the measurement columns plus the ``order_by`` columns.
@@ -63,7 +63,9 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
     there are any, written with a REBALANCE on the partition column (AQE
     splits a hot day, merges small ones) and sorted inside each file.
     Re-running a batch after a failure is harmless: keys written by the first
-    attempt are skipped.
+    attempt are skipped. With ``table_name`` (a catalog table made by
+    ``ensure_table``) the rows are read and appended through the catalog
+    (``insertInto``), which also registers new date partitions.
     Returns ``{"rows", "inserted", "duplicates"}``.
     """
     spark = rows.sparkSession
@@ -74,15 +76,18 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
                       F.max(PARTITION_COLUMN).alias("hi")).first()
         if not b["n"]:
             return {"rows": 0, "inserted": 0, "duplicates": 0}
-        existing = read_table(spark, path)
+        existing = spark.table(table_name) if table_name else read_table(spark, path)
         new = (insert_if_absent(batch, existing, order_by, key, date_bounds=(b["lo"], b["hi"]))
                .select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields])
                .persist(StorageLevel.MEMORY_AND_DISK))
         try:
             inserted = new.count()
             if inserted:
-                (new.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*FILE_SORT)
-                 .write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path))
+                out = new.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*FILE_SORT)
+                if table_name:
+                    out.write.insertInto(table_name)
+                else:
+                    out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
         finally:
             new.unpersist()
         return {"rows": int(b["n"]), "inserted": int(inserted), "duplicates": int(b["n"]) - int(inserted)}
