@@ -19,7 +19,7 @@ from fieldsense.functions.time import (connectivity_bin, expected_windows, secon
 from fieldsense.operators.dedup import surrogate_id
 from fieldsense.operators.filters import in_range, with_filters
 from fieldsense.operators.lookup import unique_sensors
-from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS,
+from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS, PARTITION_COLUMN,
                                SILENCE_LOOKBACK_HOURS, SILENT_DEFAULT_LOCATION,
                                SILENT_SENSOR_GAP_HOURS)
 
@@ -46,12 +46,26 @@ def latest_status(m: DataFrame) -> DataFrame:
     """All rows at the latest window_start per (location, treatment_id).
 
     Ties between sensors of one location are kept (``rank``, not
-    ``row_number``). Spark plans the ``rank() = 1`` filter as a
-    WindowGroupLimit that runs before the shuffle as well, so each map task
-    forwards only its own latest rows per group: the shuffle carries a few
-    rows per group however large a group is.
+    ``row_number``). Two plans, by input:
+
+    * the stored table (partitioned by ``window_date``): a partial ``max``
+      per group reads three columns; the full rows are then fetched only
+      from the date partitions that hold a group's latest window (the dates
+      come from a scalar subquery, so the scan is pruned at run time) and
+      joined back on (location, treatment_id, window_start). A 100 TB table
+      is read in full for three columns only.
+    * any other frame: ``rank() = 1``, planned as a WindowGroupLimit before
+      the shuffle as well, so each map task forwards only its own latest
+      rows per group however large a group is.
     """
-    w = Window.partitionBy("location", "treatment_id").orderBy(F.col("window_start").desc())
+    keys = ["location", "treatment_id"]
+    if PARTITION_COLUMN in m.columns:
+        latest = m.groupBy(*keys).agg(F.max("window_start").alias("_latest"))
+        dates = latest.select(F.collect_set(F.to_date("_latest"))).scalar()
+        recent = m.where(F.array_contains(dates, F.col(PARTITION_COLUMN))).select(*LATEST_COLUMNS)
+        out = recent.join(latest, on=keys).where(F.col("window_start") == F.col("_latest"))
+        return out.select(*LATEST_COLUMNS).orderBy("location", "treatment_id", "sensor_id")
+    w = Window.partitionBy(*keys).orderBy(F.col("window_start").desc())
     return (m.select(*LATEST_COLUMNS)
             .withColumn("_rk", F.rank().over(w))
             .where(F.col("_rk") == 1)
