@@ -459,9 +459,9 @@ def q_add_location(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- documents and ingest
-from fieldsense.operators.validate import (flatten_documents, parse_documents,  # noqa: E402
-                                           quality_ok, split_rejects, treatment_error,
-                                           validate_documents)
+from fieldsense.operators.validate import (flatten_documents, normalize_utc,  # noqa: E402
+                                           parse_documents, quality_ok, split_rejects,
+                                           treatment_error, validate_documents)
 from fieldsense.plans.ingest import ingest_stats  # noqa: E402
 from fieldsense.schema import empty_measurements  # noqa: E402
 
@@ -503,8 +503,11 @@ def q_flatten_documents(spark, sf_dir):
 @register("normalize_utc", with_docs("SELECT DISTINCT file_name, window_start, window_end FROM dr"))
 def q_normalize_utc(spark, sf_dir):
     # window times are written as local time with a +02:00 offset
-    v = _validated(spark, sf_dir, offset="+02:00")
-    return v.select("file_name", "window_start", "window_end")
+    p = parse_documents(E.documents(spark, sf_dir, offset="+02:00"))
+    text = p.select("file_name",
+                    F.try_variant_get("doc", "$.window_start", "string").alias("window_start"),
+                    F.try_variant_get("doc", "$.window_end", "string").alias("window_end"))
+    return normalize_utc(text)
 
 
 @register("validate_documents", with_docs(f"""
