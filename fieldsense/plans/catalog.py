@@ -627,3 +627,23 @@ def q_stream_connectivity(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.table(name)
+
+
+@register("stream_connectivity_watermark", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H).strip() + f"""
+SELECT * FROM ({_CONN_OUT}) c
+WHERE time_bin + INTERVAL 6 HOUR <= (SELECT max(window_start) FROM m
+                                     WHERE window_start BETWEEN TIMESTAMP '{RANGE_6H[0]}'
+                                                            AND TIMESTAMP '{RANGE_6H[1]}') - INTERVAL 3 HOUR"""))
+def q_stream_connectivity_watermark(spark, sf_dir):
+    """Append mode with a 3 hour watermark: only bins closed by the watermark
+    (latest row in range minus 3 h) are emitted; their state is dropped."""
+    from fieldsense.sources.table import TABLE_SCHEMA
+    table = _stream_ingest_events(spark, sf_dir)
+    rows = spark.readStream.schema(TABLE_SCHEMA).parquet(table)
+    name = f"connw_{uuid.uuid4().hex[:12]}"
+    q = start_memory_sink(stream_connectivity(rows, *RANGE_6H, watermark="3 hours"), name,
+                          _scratch(spark, "connw-ckpt"), output_mode="append")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.table(name)
