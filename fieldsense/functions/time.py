@@ -14,8 +14,9 @@ from fieldsense.schema import CONNECTIVITY_BIN_LONG, CONNECTIVITY_BINS
 def _epoch_ntz() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
-# a trailing zone designator: Z, +hh, +hhmm, +hh:mm
-_ZONE_RE = r"(?i)(z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+# a zone after the time of day: Z, +hh, +hhmm, +hh:mm or a region id (UTC, CET, Europe/Berlin)
+_ZONE_RE = (r"(?i)[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*"
+            r"(z|[+-][0-9]{2}(:?[0-9]{2})?|[a-z][a-z0-9_+-]*(/[a-z0-9_+-]+)*)$")
 
 
 def ts_lit(value) -> Column:
@@ -54,11 +55,12 @@ def epoch_seconds_ntz(ts: Column) -> Column:
 def parse_utc(text: Column) -> Column:
     """ISO date/time text to UTC TIMESTAMP_NTZ truncated to whole seconds.
 
-    Text without a zone is UTC; ``Z`` or an offset is converted to UTC.
-    Accepts ``yyyy-MM-dd``, ``yyyy-MM-dd HH:mm[:ss[.f]]`` with ``T`` or a
-    space, and the zone forms above. Returns NULL for anything else.
+    Text without a zone is UTC; ``Z``, an offset or a region id after the
+    time is converted to UTC. Accepts ``yyyy-MM-dd``, ``yyyy-MM-dd
+    HH:mm[:ss[.f]]`` with ``T`` or a space, and the zone forms above.
+    Returns NULL for anything else.
     """
-    s = F.trim(text)
+    s = F.regexp_replace(F.trim(text), r"([0-9])z$", "$1Z")
     zoned = s.rlike(_ZONE_RE)
     secs = (F.when(zoned, F.unix_seconds(s.try_cast("timestamp")))
             .otherwise(epoch_seconds_ntz(s.try_cast("timestamp_ntz"))))

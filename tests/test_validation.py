@@ -148,3 +148,28 @@ def test_reject_table_keeps_text(spark):
     r = rejects.collect()[0]
     assert r.file_name == "bad.json" and json.loads(r.value) == INVALID_QUALITY
     assert rejects.where(F.col("error").contains("1.5")).count() == 1
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("2026-07-01T02:00:00+0200", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01T02:00:00+02", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01 00:00:00 UTC", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01T02:00:00 Europe/Berlin", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01T00:00:00z", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01T00:00:00-05:30", dt.datetime(2026, 7, 1, 5, 30)),
+    ("2026-07-01", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01 00:00", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026-07-01T00:00:59.999999", dt.datetime(2026, 7, 1, 0, 0, 59)),
+    ("20260701T000000", None),
+    ("2026-07-01T02:00:00 CEST", None),
+])
+def test_parse_utc_forms_independent_of_session_zone(spark, text, expected):
+    from fieldsense.functions.time import parse_utc
+    df = spark.createDataFrame([(text,)], "s string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(parse_utc(F.col("s"))).collect()[0][0] == expected, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
