@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldsense.functions.time import to_datetime, ts_lit
-from fieldsense.schema import PARTITION_COLUMN
+from fieldsense.schema import PAGE_SIZE, PARTITION_COLUMN
 
 
 def in_range(df: DataFrame, start, end, column: str = "window_start") -> DataFrame:
@@ -42,7 +42,7 @@ def with_filters(df: DataFrame, locations: Sequence[str] | None = None,
     return df
 
 
-def page(df: DataFrame, order_by: Sequence[str], page_no: int, size: int = 10) -> DataFrame:
+def page(df: DataFrame, order_by: Sequence[str], page_no: int, size: int = PAGE_SIZE) -> DataFrame:
     """Rows ``size*page_no .. size*page_no+size-1`` in ``order_by`` order.
 
     Spark plans this as a top-k (TakeOrderedAndProject): every task keeps

@@ -158,9 +158,6 @@ def q_fetch_measurements(spark, sf_dir):
                                 treatment_ids=[2, 3], min_quality=0.5)
 
 
-_DAY_LO, _DAY_HI = day_bounds(None, "2024-01-21", today="2024-01-19")
-
-
 @register("day_range", with_m(f"""
 SELECT {_ID_SQL} AS id, {_COLS} FROM m
 WHERE window_start BETWEEN TIMESTAMP '2024-01-19 00:00:00' AND TIMESTAMP '2024-01-21 23:59:59'"""))

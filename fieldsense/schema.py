@@ -54,21 +54,6 @@ MEASUREMENT_SCHEMA = T.StructType([
     T.StructField("connection_quality", T.DoubleType(), False),
 ])
 
-SENSOR_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("name", T.StringType(), True),
-    T.StructField("location", T.StringType(), True),
-    T.StructField("frequency_minutes", T.IntegerType(), True),
-    T.StructField("max_gap_hours", T.DoubleType(), True),
-])
-
-REJECT_SCHEMA = T.StructType([
-    T.StructField("file_name", T.StringType(), True),
-    T.StructField("error", T.StringType(), True),
-    T.StructField("value", T.StringType(), True),
-])
-
-
 def empty_measurements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MEASUREMENT_SCHEMA)
 
@@ -147,7 +132,3 @@ def _tiny_yaml_sensors(text: str) -> dict:
                 cur[k] = v
     return {"sensors": sensors}
 
-
-def conform(df: DataFrame) -> DataFrame:
-    """Project to the fixed 11 measurement columns with their types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MEASUREMENT_SCHEMA.fields])
