@@ -23,6 +23,9 @@ RECOMMENDED_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
+    # no Python call-site capture for every column expression (error-message
+    # context only); it costs several JVM round trips per expression built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
