@@ -53,7 +53,8 @@ def with_window_date(df: DataFrame) -> DataFrame:
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, order_by: Sequence[str],
                      key: Sequence[str] = KEY, date_bounds: tuple | None = None) -> DataFrame:
-    """Rows of ``batch`` that would be inserted: first per key, key not stored.
+    """Rows of ``batch`` that would be inserted: first per key, key not stored
+    (columns in the order of ``batch``).
 
     ``date_bounds`` (first and last ``window_date`` of the batch) restricts the
     stored side to those partitions so a small batch never scans the whole
@@ -65,4 +66,4 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, order_by: Sequence[s
         lo, hi = date_bounds
         stored = stored.where(F.col(PARTITION_COLUMN).between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))
     stored = stored.select(*key)
-    return firsts.join(stored, on=list(key), how="left_anti")
+    return firsts.join(stored, on=list(key), how="left_anti").select(*batch.columns)
