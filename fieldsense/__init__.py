@@ -7,8 +7,9 @@ Layout:
   plans/      the analytic queries and series built from the operators
   streaming/  Structured Streaming ingest and the streaming aggregate
 
-Every public function maps DataFrame(s) to a DataFrame, never collects rows
-to the driver, and takes "now" and ranges as arguments.
+The query, series and operator functions map DataFrames to lazy DataFrames,
+collect nothing and take "now" and ranges as arguments. The ingest functions
+bring only one-row counters (and at most 100 error texts) to the driver.
 """
 
 __version__ = "0.1.0"

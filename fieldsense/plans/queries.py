@@ -155,9 +155,11 @@ def max_gap(m: DataFrame, now, hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame
     counting the range start and ``now`` as points; ``max_gap_s`` exact.
 
     Duplicated window starts (one per treatment) are first reduced to
-    distinct points with a partial aggregate. Points are whole seconds inside
-    a fixed span, so a group holds at most ``hours * 3600 + 1`` of them and
-    the ``lag`` window over it is bounded however many rows a sensor sends.
+    distinct points; that shuffle is on (sensor, location, time), so a hot
+    sensor is spread over many tasks. Stored window times are whole seconds
+    (ingest truncates them), so a group then holds at most
+    ``hours * 3600 + 1`` points and the ``lag`` window over it is bounded
+    however many rows a sensor sends.
     """
     lo, hi = _lookback(now, hours)
     points = (in_range(m, lo, hi).select("sensor_id", "location", "window_start").distinct())
