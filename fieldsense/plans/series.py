@@ -55,7 +55,8 @@ def temperature_series(m: DataFrame, treatment_ids: Sequence[int] | None = None,
 def connectivity_series(stats: DataFrame) -> DataFrame:
     """Bars per sensor from ``connectivity_stats``: series name with the
     sensor's first location in time, bar colour from the average quality and
-    the hover texts. Input is already aggregated to bins."""
+    the hover texts. Input is already aggregated to bins, so the window over
+    one sensor holds at most (range / bin width) rows per location."""
     w = Window.partitionBy("sensor_id")
     first_loc = F.min_by("location", "time_bin").over(w)
     return (stats.select(

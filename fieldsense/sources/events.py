@@ -84,7 +84,9 @@ def documents(spark: SparkSession, sf_dir: str, offset: str | None = None,
     (for example ``"+02:00"``) writes the window times as local time with
     that offset; ``bad_quality_above`` writes quality 1.5 into every treatment
     whose control temperature is above the value, so that document must be
-    rejected. Treatments keep event order inside a document.
+    rejected. Treatments keep event order inside a document. A document holds
+    the readings of one sensor in one 15-minute window (a handful in the
+    driver data), which is what one input file holds in the real inbox.
     """
     r = raw_readings(spark, sf_dir)
     fmt = "yyyy-MM-dd'T'HH:mm:ss"
