@@ -210,11 +210,14 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
     then silent sensors in configuration order. The per-group gaps are computed once and feed
     both the threshold test and the seen-sensor set.
     """
-    groups = max_gap(m, now, hours)
+    # both branches read identical group rows (same filters and aggregate
+    # outputs), so Spark computes the groups once and reuses the exchange
+    groups = max_gap(m, now, hours).where(F.col("sensor_id").isNotNull())
     gaps = (groups.where(F.col("max_gap_s") >= F.lit(threshold_hours * 3600.0))
             .select("sensor_id", "location", "max_gap_s",
                     F.lit(0).alias("kind"), F.lit(None).cast("int").alias("pos")))
-    silent = (_not_seen(groups.select("sensor_id"), sensors)
+    seen = groups.where(F.col("max_gap_s").isNotNull()).select("sensor_id")
+    silent = (_not_seen(seen, sensors)
               .select("sensor_id", "location",
                       F.lit(int(SILENT_SENSOR_GAP_HOURS * 3600)).cast("bigint").alias("max_gap_s"),
                       F.lit(1).alias("kind"), "pos"))
