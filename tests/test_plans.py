@@ -1,5 +1,7 @@
 """Plan-shape tests: the physical properties the design relies on at scale."""
 
+import re
+
 import pytest
 
 from conftest import SENSORS, VALID_1, VALID_2, write_docs
@@ -80,3 +82,9 @@ def test_silent_sensor_broadcast_is_config_bounded(spark):
     p = plan(Q.silent_sensors(empty(spark), sensor_dim(spark, SENSORS), "2026-01-02 00:00:00"))
     # the anti join builds on the configured ids that were seen (a subset of the config)
     assert "LeftAnti" in p and "LeftSemi" in p
+
+
+def test_silence_alerts_scan_once(spark, stored):
+    p = final_plan(Q.sensor_gaps(read_table(spark, stored), sensor_dim(spark, SENSORS), "2026-01-01 12:00:00"))
+    assert "ReusedExchange" in p
+    assert len(set(re.findall(r"Scan parquet\s+\((\d+)\)", p))) == 1      # one scan node
