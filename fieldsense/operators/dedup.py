@@ -1,10 +1,9 @@
 """Insert-if-absent on the logical key (sensor_id, treatment_id, window_start).
 
 ``dedup_first`` keeps the first row per key in a given order, as an
-aggregate (``min_by`` over a struct) rather than a ``row_number`` window:
-the partial aggregate collapses duplicates inside every map task before the
-shuffle, so a key that holds a large share of the rows never lands whole in
-one reduce task. ``insert_if_absent`` removes keys already stored with a
+aggregate (``min_by`` over a struct): the partial aggregate collapses
+duplicates inside every map task before the shuffle, so a key that holds a
+large share of the rows never lands whole in one reduce task. ``insert_if_absent`` removes keys already stored with a
 left anti join; after ``dedup_first`` both sides are unique per key, so the
 join itself cannot be skewed by a hot key.
 """
