@@ -1,4 +1,4 @@
-"""Dimension lookups and the broadcast size check."""
+"""Sensor location lookup: a literal map for a configuration, a join for a dimension."""
 
 from __future__ import annotations
 
@@ -10,33 +10,10 @@ from pyspark.sql import functions as F
 
 from fieldsense.schema import UNKNOWN_LOCATION, sensor_entries
 
-# Largest side this library broadcasts without Spark's own decision.
-BROADCAST_LIMIT_BYTES = 64 << 20
 # Up to this many configured sensors the location is a literal map lookup.
 INLINE_LOOKUP_MAX = 256
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` (exact for local relations)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - API differences
-        return None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """``F.broadcast(df)`` only when its estimated size is under ``limit``.
-
-    Above the limit (or when unknown) the plain DataFrame is returned and the
-    join falls back to a shuffle join that AQE may still turn into a broadcast
-    from runtime statistics.
-    """
-    size = estimated_bytes(df)
-    if size is not None and size <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def unique_sensors(dim: DataFrame) -> DataFrame:
     """One row per sensor id: the first configuration entry wins.
 
@@ -82,9 +59,11 @@ def add_location(facts: DataFrame, sensors) -> DataFrame:
 
     ``sensors`` is the configuration list (small: a literal map lookup, no
     join) or a dimension DataFrame with ``id, location`` and optionally the
-    ``first``/``pos`` columns of ``sensor_dim`` (broadcast hash join behind a
-    size check, else a shuffle join that AQE may still broadcast). The facts
-    are never shuffled for this lookup in the first two cases.
+    ``first``/``pos`` columns of ``sensor_dim``. A dimension is joined with
+    Spark's own size check: a broadcast hash join when its statistics are
+    under ``spark.sql.autoBroadcastJoinThreshold`` (exact for ``sensor_dim``;
+    AQE re-checks runtime sizes), else a shuffle join, where AQE splits a hot
+    sensor.
     """
     base = facts.drop("location") if "location" in facts.columns else facts
     if not isinstance(sensors, DataFrame) and len(list(sensors)) <= INLINE_LOOKUP_MAX:
@@ -92,7 +71,7 @@ def add_location(facts: DataFrame, sensors) -> DataFrame:
     dim = sensors if isinstance(sensors, DataFrame) else None
     if dim is None:
         raise ValueError("a large configuration must be passed as a DataFrame (sensor_dim)")
-    lookup = broadcast_if_small(unique_sensors(dim).select("sensor_id", "sensor_location"))
+    lookup = unique_sensors(dim).select("sensor_id", "sensor_location")
     joined = base.join(lookup, on="sensor_id", how="left")
     loc = F.coalesce(F.col("sensor_location"), F.lit(UNKNOWN_LOCATION))
     return joined.select(*_place_location(base, loc))

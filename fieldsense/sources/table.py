@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from fieldsense.operators.dedup import insert_if_absent, with_window_date
 from fieldsense.schema import KEY, MEASUREMENT_COLUMNS, MEASUREMENT_SCHEMA, PARTITION_COLUMN
@@ -24,22 +25,26 @@ TABLE_SCHEMA = T.StructType(list(MEASUREMENT_SCHEMA.fields) +
 FILE_SORT = (PARTITION_COLUMN, "location", "sensor_id", "treatment_id", "window_start")
 
 
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def _missing_path(err: AnalysisException) -> bool:
+    cond = getattr(err, "getCondition", None) or getattr(err, "getErrorClass", None)
+    return (cond() if cond else None) == "PATH_NOT_FOUND" or "PATH_NOT_FOUND" in str(err)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_path(spark, path)
-    return bool(fs.exists(p))
+    try:
+        spark.read.schema(TABLE_SCHEMA).parquet(path)
+        return True
+    except AnalysisException as err:
+        if _missing_path(err):
+            return False
+        raise
 
 
 def ensure_table(spark: SparkSession, path: str, name: str | None = None) -> None:
     """Create the (empty) table folder, and a catalog entry when ``name`` is given."""
-    fs, p = _fs_path(spark, path)
-    if not fs.exists(p):
-        fs.mkdirs(p)
+    if not table_exists(spark, path):
+        (spark.createDataFrame([], TABLE_SCHEMA).write.mode("append")
+         .partitionBy(PARTITION_COLUMN).parquet(path))
     if name:
         cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLE_SCHEMA.fields)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
@@ -48,9 +53,12 @@ def ensure_table(spark: SparkSession, path: str, name: str | None = None) -> Non
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows (empty with the table schema when nothing is stored)."""
-    if not table_exists(spark, path):
-        return spark.createDataFrame([], TABLE_SCHEMA)
-    return spark.read.schema(TABLE_SCHEMA).parquet(path)
+    try:
+        return spark.read.schema(TABLE_SCHEMA).parquet(path)
+    except AnalysisException as err:
+        if _missing_path(err):
+            return spark.createDataFrame([], TABLE_SCHEMA)
+        raise
 
 
 def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name", "pos"),

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import SENSORS, VALID_1, VALID_2, write_docs
 from fieldsense.operators.dedup import dedup_first
-from fieldsense.operators.lookup import add_location, broadcast_if_small
+from fieldsense.operators.lookup import add_location
 from fieldsense.plans import queries as Q
 from fieldsense.plans.ingest import ingest_folder
 from fieldsense.schema import MEASUREMENT_SCHEMA, sensor_dim
@@ -69,13 +69,16 @@ def test_location_lookup_from_config_has_no_join(spark):
     assert "Join" not in p and "Exchange" not in p
 
 
-def test_dimension_broadcast_only_when_small(spark):
+def test_dimension_join_is_broadcast_by_size(spark):
     dim = sensor_dim(spark, SENSORS)
-    p = plan(add_location(empty(spark).drop("location"), dim))
-    assert "BroadcastHashJoin" in p
-    small = dim.select("id")
-    assert "ResolvedHint" in small.hint("broadcast")._jdf.queryExecution().analyzed().toString()
-    assert broadcast_if_small(small, limit=1) is small          # over the limit: no hint
+    facts = empty(spark).drop("location")
+    assert "BroadcastHashJoin" in plan(add_location(facts, dim))       # exact small statistics
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # no size may be broadcast
+        assert "BroadcastHashJoin" not in plan(add_location(facts, dim))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_silent_sensor_broadcast_is_config_bounded(spark):
