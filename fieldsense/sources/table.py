@@ -66,8 +66,9 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
     """Append the rows whose key is not stored yet; first row per key wins.
 
     ``rows`` carries the measurement columns plus the ``order_by`` columns.
-    The batch is persisted once (its first and last date restrict the stored
-    side to those partitions); the new rows are persisted, counted and, when
+    The batch is persisted once; one aggregate over it gives its date,
+    window and sensor ranges, which restrict the stored side (partition
+    pruning and Parquet row-group skipping); the new rows are persisted, counted and, when
     there are any, written with a REBALANCE on the partition column (AQE
     splits a hot day, merges small ones) and sorted inside each file.
     Re-running a batch after a failure is harmless: keys written by the first
@@ -80,12 +81,15 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
     cols = list(MEASUREMENT_COLUMNS) + [c for c in order_by if c not in MEASUREMENT_COLUMNS]
     batch = with_window_date(rows.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        b = batch.agg(F.count(F.lit(1)).alias("n"), F.min(PARTITION_COLUMN).alias("lo"),
-                      F.max(PARTITION_COLUMN).alias("hi")).first()
+        ranged = (PARTITION_COLUMN, "window_start", "sensor_id")
+        b = batch.agg(F.count(F.lit(1)).alias("n"),
+                      *[F.min(c).alias(f"lo_{c}") for c in ranged],
+                      *[F.max(c).alias(f"hi_{c}") for c in ranged]).first()
         if not b["n"]:
             return {"rows": 0, "inserted": 0, "duplicates": 0}
+        bounds = {c: (b[f"lo_{c}"], b[f"hi_{c}"]) for c in ranged}
         existing = spark.table(table_name) if table_name else read_table(spark, path)
-        new = (insert_if_absent(batch, existing, order_by, key, date_bounds=(b["lo"], b["hi"]))
+        new = (insert_if_absent(batch, existing, order_by, key, bounds=bounds)
                .select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields])
                .persist(StorageLevel.MEMORY_AND_DISK))
         try:

@@ -92,3 +92,17 @@ def test_silence_alerts_scan_once(spark, stored):
     final = p.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
     assert len(set(re.findall(r"Scan parquet\s+\((\d+)\)", final))) == 1      # one scan node
+
+
+def test_insert_if_absent_reads_only_the_batch_ranges(spark, stored):
+    import datetime as dt
+    from fieldsense.operators.dedup import insert_if_absent
+    table = read_table(spark, stored)
+    batch = table.drop("window_date").limit(2).withColumn("seq", table.sensor_id)
+    bounds = {"window_date": (dt.date(2026, 1, 1), dt.date(2026, 1, 1)),
+              "window_start": (dt.datetime(2026, 1, 1, 0, 0), dt.datetime(2026, 1, 1, 0, 15)),
+              "sensor_id": (1, 1)}
+    p = plan(insert_if_absent(batch, table, ["seq"], bounds=bounds))
+    assert "PartitionFilters: [isnotnull(window_date" in p
+    assert "GreaterThanOrEqual(window_start,2026-01-01T00:00)" in p
+    assert "LessThanOrEqual(sensor_id,1)" in p
