@@ -18,7 +18,6 @@ from fieldsense.functions.time import (connectivity_bin, expected_windows, secon
                                        time_floor, to_datetime, ts_lit)
 from fieldsense.operators.dedup import surrogate_id
 from fieldsense.operators.filters import in_range, with_filters
-from fieldsense.operators.lookup import unique_sensors
 from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS, PARTITION_COLUMN,
                                SILENCE_LOOKBACK_HOURS, SILENT_DEFAULT_LOCATION,
                                SILENT_SENSOR_GAP_HOURS)
@@ -176,14 +175,12 @@ def max_gap(m: DataFrame, now, hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame
 def _not_seen(seen_ids: DataFrame, sensors: DataFrame) -> DataFrame:
     """Configuration entries whose id is not in ``seen_ids``.
 
-    The seen ids are first reduced to configured ids (a semi join whose
-    result is a subset of the configuration), so the side broadcast into the
-    anti join is bounded by the configuration size, not by the data.
+    One anti join; Spark broadcasts the seen ids when their size (known at
+    run time under AQE) is under the broadcast threshold, else it shuffles
+    both sides. The seen ids are one per active (sensor, location) pair.
     """
-    cfg_ids = unique_sensors(sensors).select("sensor_id")
-    seen_cfg = cfg_ids.join(seen_ids, "sensor_id", "left_semi")
     cfg = sensors.select(F.col("id").alias("sensor_id"), "location", "pos")
-    return (cfg.join(F.broadcast(seen_cfg), "sensor_id", "left_anti")
+    return (cfg.join(seen_ids, "sensor_id", "left_anti")
             .select("sensor_id",
                     F.coalesce(F.col("location"), F.lit(SILENT_DEFAULT_LOCATION)).alias("location"),
                     "pos"))

@@ -81,10 +81,16 @@ def test_dimension_join_is_broadcast_by_size(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_silent_sensor_broadcast_is_config_bounded(spark):
+def test_silent_sensors_single_anti_join_sized_by_spark(spark):
     p = plan(Q.silent_sensors(empty(spark), sensor_dim(spark, SENSORS), "2026-01-02 00:00:00"))
-    # the anti join builds on the configured ids that were seen (a subset of the config)
-    assert "LeftAnti" in p and "LeftSemi" in p
+    assert "LeftAnti" in p and "LeftSemi" not in p
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        p = plan(Q.silent_sensors(empty(spark), sensor_dim(spark, SENSORS), "2026-01-02 00:00:00"))
+        assert "BroadcastHashJoin" not in p                           # no hint forces a broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_silence_alerts_scan_once(spark, stored):
