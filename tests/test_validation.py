@@ -173,3 +173,9 @@ def test_parse_utc_forms_independent_of_session_zone(spark, text, expected):
             assert df.select(parse_utc(F.col("s"))).collect()[0][0] == expected, zone
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("text", ["[1, 2]", "3", "null", '"site_id"'])
+def test_non_object_document_reports_missing_site(spark, text):
+    errors, rows = run(spark, {"n.json": text})
+    assert rows == [] and errors["n.json"] == "Missing required field: site_id"
