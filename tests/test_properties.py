@@ -111,3 +111,37 @@ def test_latest_status_brute_force(spark, raw):
     got = sorted((r.location, r.treatment_id, r.sensor_id, r.window_start)
                  for r in Q.latest_status(frame(spark, rows).drop("seq")).collect())
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40), st.integers(0, 24 * 4), st.integers(0, 24 * 4))
+def test_gap_stats_brute_force(spark, raw, a, b):
+    rows = to_rows(raw)
+    lo, hi = T0 + dt.timedelta(minutes=15 * min(a, b)), T0 + dt.timedelta(minutes=15 * max(a, b), seconds=59)
+    expected = int((hi - lo).total_seconds() / 900) + 1
+    counts = defaultdict(int)
+    for r in rows:
+        if lo <= r[3] <= hi:
+            counts[(r[0], r[1], r[2])] += 1
+    want = {k: (expected, c, max(expected - c, 0)) for k, c in counts.items()}
+    got = {(r.sensor_id, r.treatment_id, r.location): (r.expected_count, r.actual_count, r.missing_count)
+           for r in Q.gap_stats(frame(spark, rows).drop("seq"), lo, hi).collect()}
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(row, min_size=1, max_size=40))
+def test_control_series_brute_force(spark, raw):
+    from fieldsense.plans.series import control_series
+    rows = to_rows(raw)
+    best = {}
+    for r in rows:
+        k = (r[0], r[3])
+        if k not in best or (r[1], r[6]) < best[k][0]:
+            best[k] = ((r[1], r[6]), r[6])
+    # ties on the lowest treatment: any of their control values is allowed
+    got = {(r.sensor_id, r.window_start): r.value for r in control_series(frame(spark, rows).drop("seq")).collect()}
+    assert set(got) == set(best)
+    for k, v in got.items():
+        lowest = min(r[1] for r in rows if (r[0], r[3]) == k)
+        assert v in {r[6] for r in rows if (r[0], r[3]) == k and r[1] == lowest}
