@@ -31,8 +31,9 @@ def quality_color(q: Column, max_quality: float = 1.0) -> Column:
 
 
 def percent_text(ratio: Column) -> Column:
-    """``95%``: ratio in percent, no decimals, halves to even."""
-    return F.concat(F.bround(ratio * 100, 0).cast("bigint").cast("string"), F.lit("%"))
+    """``95%``: ratio in percent, no decimals; the product is rounded half
+    to even (``rint``), like Python's ``{:.0%}``."""
+    return F.concat(F.rint(ratio * 100).cast("bigint").cast("string"), F.lit("%"))
 
 
 def two_digits(x: Column) -> Column:

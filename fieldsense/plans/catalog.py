@@ -109,8 +109,10 @@ def q_latest_status(spark, sf_dir):
 SELECT location, treatment_id, sensor_id,
        strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(window_end, '%Y-%m-%d %H:%M:%S') AS window_end,
-       round_even(control_temp, 2) AS control_temp, round_even(treatment_temp, 2) AS treatment_temp,
-       received_packets, expected_packets, round_even(connection_quality, 3) AS connection_quality,
+       round_even(control_temp * 100, 0) / 100 AS control_temp,
+       round_even(treatment_temp * 100, 0) / 100 AS treatment_temp,
+       received_packets, expected_packets,
+       round_even(connection_quality * 1000, 0) / 1000 AS connection_quality,
        {_LABEL} AS treatment_label
 FROM latest"""))
 def q_latest_status_display(spark, sf_dir):

@@ -74,16 +74,20 @@ def latest_status(m: DataFrame) -> DataFrame:
 
 def latest_status_display(m: DataFrame) -> DataFrame:
     """Latest status as shown: times as text, temperatures to 2 and quality to
-    3 digits (half-even), plus the treatment label."""
+    3 digits (``rint(x * 10^d) / 10^d``, the rounding of a pandas column),
+    plus the treatment label."""
     fmt = "yyyy-MM-dd HH:mm:ss"
+
+    def rounded(c: str, digits: int):
+        return (F.rint(F.col(c) * 10 ** digits) / 10 ** digits).alias(c)
+
     return latest_status(m).select(
         "location", "treatment_id", "sensor_id",
         F.date_format("window_start", fmt).alias("window_start"),
         F.date_format("window_end", fmt).alias("window_end"),
-        F.bround("control_temp", 2).alias("control_temp"),
-        F.bround("treatment_temp", 2).alias("treatment_temp"),
+        rounded("control_temp", 2), rounded("treatment_temp", 2),
         "received_packets", "expected_packets",
-        F.bround("connection_quality", 3).alias("connection_quality"),
+        rounded("connection_quality", 3),
         treatment_label(F.col("treatment_id")).alias("treatment_label"),
     )
 
