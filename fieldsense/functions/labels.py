@@ -36,9 +36,22 @@ def percent_text(ratio: Column) -> Column:
     return F.concat(F.rint(ratio * 100).cast("bigint").cast("string"), F.lit("%"))
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """Number as text with ``digits`` decimals, rounded like Python's
+    ``format(x, '.nf')``: half to even on the exact binary value (Java's
+    DecimalFormat, without grouping separators)."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
+def round_like_python(x: Column, digits: int) -> Column:
+    """``round(x, digits)`` with Python's result (exact binary value, half to
+    even), e.g. 0.15 -> 0.1 and 2.675 -> 2.67."""
+    return fixed_text(x, digits).cast("double")
+
+
 def two_digits(x: Column) -> Column:
-    """Number as text with exactly two decimals (halves to even)."""
-    return F.format_string("%.2f", F.bround(x, 2))
+    """Number as text with exactly two decimals (``f"{x:.2f}"``)."""
+    return fixed_text(x, 2)
 
 
 def sensor_option_label(sid: Column) -> Column:

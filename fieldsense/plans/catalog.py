@@ -306,7 +306,7 @@ SELECT 'Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' ||
        sensor_id, time_bin, location, ratio,
        {_COLOR_SQL} AS color,
        CAST(CAST(round_even(ratio * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS ratio_text,
-       printf('%.2f', round_even(avg_quality, 2)) AS quality_text,
+       printf('%.2f', avg_quality) AS quality_text,
        CAST(received_count AS VARCHAR) || ' / ' || CAST(expected_count AS VARCHAR) AS packets_text
 FROM st"""))
 def q_connectivity_series(spark, sf_dir):
@@ -338,11 +338,11 @@ silent AS (
   WHERE sensor_id NOT IN (SELECT sensor_id FROM pts)
 ),
 alerts AS (
-  SELECT sensor_id, location, max_gap_s, round_even(max_gap_s / 3600.0, 1) AS max_gap_hours,
+  SELECT sensor_id, location, max_gap_s, CAST(printf('%.1f', max_gap_s / 3600.0) AS DOUBLE) AS max_gap_hours,
          0 AS kind, CAST(NULL AS INT) AS pos
   FROM mg WHERE max_gap_s >= 3.0 * 3600
   UNION ALL
-  SELECT sensor_id, location, CAST(86400 AS BIGINT), round_even(86400 / 3600.0, 1), 1, pos FROM silent
+  SELECT sensor_id, location, CAST(86400 AS BIGINT), CAST(printf('%.1f', 86400 / 3600.0) AS DOUBLE), 1, pos FROM silent
 )"""
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsense.functions.labels import treatment_label
+from fieldsense.functions.labels import round_like_python, treatment_label
 from fieldsense.functions.time import (connectivity_bin, expected_windows, seconds_between,
                                        time_floor, to_datetime, ts_lit)
 from fieldsense.operators.dedup import surrogate_id
@@ -206,7 +206,7 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
                 hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
     """Alerts: groups whose largest gap is >= threshold, then silent
     configured sensors at 24 h. ``max_gap_hours`` is rounded to one digit
-    (half-even); the threshold test uses the exact value. The alert order is
+    like Python's ``round``; the threshold test uses the exact value. The alert order is
     ``kind, pos, sensor_id, location``: gap groups by sensor and location,
     then silent sensors in configuration order. The per-group gaps are computed once and feed
     both the threshold test and the seen-sensor set.
@@ -224,7 +224,7 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
                       F.lit(1).alias("kind"), "pos"))
     return (gaps.unionByName(silent)
             .select("sensor_id", "location", "max_gap_s",
-                    F.bround(F.col("max_gap_s") / 3600.0, 1).alias("max_gap_hours"),
+                    round_like_python(F.col("max_gap_s") / 3600.0, 1).alias("max_gap_hours"),
                     "kind", "pos")
             .orderBy("kind", "pos", "sensor_id", "location"))
 

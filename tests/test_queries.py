@@ -180,3 +180,14 @@ def test_filter_options(spark):
     assert [(r.facet, r.label, r.value) for r in opts if r.facet != "location"] == [
         ("sensor", "Sensor 2", "2"), ("sensor", "Sensor 3", "3"), ("treatment", "+4.5°C", "3")]
     assert sorted(r.value for r in opts if r.facet == "location") == ["A", "B"]
+
+
+def test_rounding_helpers_match_python(spark):
+    from fieldsense.functions.labels import round_like_python, two_digits
+    vals = [0.15, 2.675, 0.125, 0.375, 1.005, 3.25, 3.35, 1234.565, 0.005, 18.0, 23.9999, 0.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.select(round_like_python(F.col("x"), 1).alias("r1"), round_like_python(F.col("x"), 2).alias("r2"),
+                    two_digits(F.col("x")).alias("t")).collect()
+    assert [g.r1 for g in got] == [round(v, 1) for v in vals]
+    assert [g.r2 for g in got] == [round(v, 2) for v in vals]
+    assert [g.t for g in got] == [f"{v:.2f}" for v in vals]
