@@ -103,9 +103,8 @@ def gap_stats(m: DataFrame, start, end, freq_minutes: int = DEFAULT_FREQUENCY_MI
     return (in_range(m, start, end)
             .groupBy("sensor_id", "treatment_id", "location")
             .agg(F.count(F.lit(1)).alias("actual_count"))
-            .select("sensor_id", "treatment_id", "location",
+            .select("sensor_id", "treatment_id", "location", "actual_count",
                     F.lit(expected).cast("bigint").alias("expected_count"),
-                    "actual_count",
                     F.greatest(F.lit(expected).cast("bigint") - F.col("actual_count"), F.lit(0).cast("bigint"))
                     .alias("missing_count"))
             .orderBy("sensor_id", "treatment_id", "location"))

@@ -88,7 +88,7 @@ def test_empty_results_keep_schema(spark):
                Q.latest_status(m), Q.fetch_measurements(m, "2026-01-01 00:00:00", "2026-01-02 00:00:00")):
         assert df.count() == 0 and len(df.columns) > 0
     assert Q.gap_stats(m, "2026-01-01", "2026-01-02").columns == [
-        "sensor_id", "treatment_id", "location", "expected_count", "actual_count", "missing_count"]
+        "sensor_id", "treatment_id", "location", "actual_count", "expected_count", "missing_count"]
 
 
 def test_sensor_gaps_threshold_and_silent(spark):
