@@ -7,13 +7,14 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldsense.schema import NO_QUALITY_COLOR, TREATMENT_LABELS
+from fieldsense.schema import (ALERT_FORMAT, COLOR_FORMAT, NO_QUALITY_COLOR, SENSOR_LABEL_FORMAT,
+                               TREATMENT_LABEL_FORMAT, TREATMENT_LABELS)
 
 
 def treatment_label(tid: Column, labels: dict | None = None) -> Column:
     """Configured label of a treatment, else ``Treatment <id>``."""
     labels = TREATMENT_LABELS if labels is None else labels
-    default = F.concat(F.lit("Treatment "), tid.cast("string"))
+    default = F.format_string(TREATMENT_LABEL_FORMAT, tid.cast("string"))
     if not labels:
         return default
     lookup = F.create_map(*chain.from_iterable((F.lit(int(k)), F.lit(v)) for k, v in labels.items()))
@@ -27,7 +28,7 @@ def quality_color(q: Column, max_quality: float = 1.0) -> Column:
     r = (F.lit(255) * (F.lit(1.0) - ratio)).cast("int")
     g = (F.lit(255) * ratio).cast("int")
     return (F.when(q.isNull() | F.isnan(q), F.lit(NO_QUALITY_COLOR))
-            .otherwise(F.concat(F.lit("rgb("), r.cast("string"), F.lit(","), g.cast("string"), F.lit(",0)"))))
+            .otherwise(F.format_string(COLOR_FORMAT, r.cast("string"), g.cast("string"))))
 
 
 def percent_text(ratio: Column) -> Column:
@@ -55,10 +56,9 @@ def two_digits(x: Column) -> Column:
 
 
 def sensor_option_label(sid: Column) -> Column:
-    return F.concat(F.lit("Sensor "), sid.cast("string"))
+    return F.format_string(SENSOR_LABEL_FORMAT, sid.cast("string"))
 
 
 def alert_text(sid: Column, location: Column, hours: Column) -> Column:
     """``Sensor <id> (<location>): <hours> h without signal``."""
-    return F.format_string("Sensor %s (%s): %s h without signal",
-                           sid.cast("string"), location, hours.cast("string"))
+    return F.format_string(ALERT_FORMAT, sid.cast("string"), location, hours.cast("string"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.schema import KEY, PARTITION_COLUMN
+from fieldsense.schema import DISPLAY_TIME_FORMAT, KEY, PARTITION_COLUMN
 
 
 def dedup_first(df: DataFrame, order_by: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
@@ -39,7 +39,7 @@ def surrogate_id(key: Sequence[str] = KEY) -> Column:
     The same value for the same key in every run (the original's
     auto-increment ids were not consecutive either).
     """
-    parts = [F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss") if c == "window_start" else F.col(c).cast("string")
+    parts = [F.date_format(F.col(c), DISPLAY_TIME_FORMAT) if c == "window_start" else F.col(c).cast("string")
              for c in key]
     return F.md5(F.concat_ws("|", *parts))
 

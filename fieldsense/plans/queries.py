@@ -18,7 +18,8 @@ from fieldsense.functions.time import (connectivity_bin, expected_windows, secon
                                        time_floor, to_datetime, ts_lit)
 from fieldsense.operators.dedup import surrogate_id
 from fieldsense.operators.filters import in_range, with_filters
-from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS, PARTITION_COLUMN,
+from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS, DISPLAY_TIME_FORMAT,
+                               GAP_LABEL_FORMAT, PARTITION_COLUMN,
                                SILENCE_LOOKBACK_HOURS, SILENT_DEFAULT_LOCATION,
                                SILENT_SENSOR_GAP_HOURS)
 
@@ -76,7 +77,7 @@ def latest_status_display(m: DataFrame) -> DataFrame:
     """Latest status as shown: times as text, temperatures to 2 and quality to
     3 digits (``rint(x * 10^d) / 10^d``, the rounding of a pandas column),
     plus the treatment label."""
-    fmt = "yyyy-MM-dd HH:mm:ss"
+    fmt = DISPLAY_TIME_FORMAT
 
     def rounded(c: str, digits: int):
         return (F.rint(F.col(c) * 10 ** digits) / 10 ** digits).alias(c)
@@ -113,8 +114,8 @@ def gap_stats(m: DataFrame, start, end, freq_minutes: int = DEFAULT_FREQUENCY_MI
 def gaps_only(gaps: DataFrame) -> DataFrame:
     """Groups with at least one missing window, labelled ``S<sensor>/T<treatment>``."""
     return (gaps.where(F.col("missing_count") > 0)
-            .select(F.concat(F.lit("S"), F.col("sensor_id").cast("string"),
-                             F.lit("/T"), F.col("treatment_id").cast("string")).alias("label"),
+            .select(F.format_string(GAP_LABEL_FORMAT, F.col("sensor_id").cast("string"),
+                                    F.col("treatment_id").cast("string")).alias("label"),
                     "sensor_id", "treatment_id", "missing_count")
             .orderBy("sensor_id", "treatment_id"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldsense.functions.labels import (alert_text, percent_text, quality_color,
                                          sensor_option_label, treatment_label, two_digits)
 from fieldsense.plans.queries import distinct_locations, sensors_by_location, treatments_by
+from fieldsense.schema import ALERT_SEPARATOR, SENSOR_SERIES_FORMAT
 
 
 def control_series(m: DataFrame) -> DataFrame:
@@ -60,8 +61,7 @@ def connectivity_series(stats: DataFrame) -> DataFrame:
     w = Window.partitionBy("sensor_id")
     first_loc = F.min_by("location", "time_bin").over(w)
     return (stats.select(
-        F.concat(F.lit("Sensor "), F.col("sensor_id").cast("string"), F.lit(" ("), first_loc, F.lit(")"))
-        .alias("series"),
+        F.format_string(SENSOR_SERIES_FORMAT, F.col("sensor_id").cast("string"), first_loc).alias("series"),
         "sensor_id", "time_bin", "location", "ratio",
         quality_color(F.col("avg_quality")).alias("color"),
         percent_text(F.col("ratio")).alias("ratio_text"),
@@ -95,5 +95,5 @@ def gap_alert_text(alerts: DataFrame) -> DataFrame:
     ordered = F.struct(F.col("kind"), F.col("pos"), F.col("sensor_id"), F.col("location"), txt.alias("t"))
     return alerts.agg(
         F.count(F.lit(1)).alias("n_alerts"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(ordered)), lambda s: s["t"]), "; ")
+        F.array_join(F.transform(F.array_sort(F.collect_list(ordered)), lambda s: s["t"]), ALERT_SEPARATOR)
         .alias("text"))

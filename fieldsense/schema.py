@@ -29,6 +29,27 @@ NO_QUALITY_COLOR = "rgb(128,128,128)"
 # adaptive connectivity bins: (largest range, bin width)
 CONNECTIVITY_BINS = ((3 * 86400, "1 hour"), (30 * 86400, "6 hours"))
 CONNECTIVITY_BIN_LONG = "1 day"
+# texts: rejection reasons (first failing check), labels, alert line, colours
+MSG_JSON_ERROR = "JSON parse error: not a well-formed JSON document"
+MSG_MISSING_FIELD = "Missing required field: %s"
+MSG_INVALID_SITE = "Invalid site_id: %s"
+MSG_INVALID_OBSERVATIONS = "Invalid n_observations: %s"
+MSG_INVALID_DATETIME = "Invalid datetime field: %s %s"
+MSG_EMPTY_TREATMENTS = "treatments must be a non-empty list"
+MSG_TREATMENT_MISSING_FIELD = "Treatment missing required field: %s"
+MSG_INVALID_TREATMENT_ID = "Invalid treatment_id: %s"
+MSG_INVALID_TEMPERATURE = "Invalid temperature field: %s"
+MSG_INVALID_PACKETS = "Invalid packets field: %s"
+MSG_INVALID_QUALITY = "Invalid connection_quality field: %s"
+MSG_QUALITY_RANGE = "Connection quality %s out of valid range (%s-%s)"
+TREATMENT_LABEL_FORMAT = "Treatment %s"
+SENSOR_LABEL_FORMAT = "Sensor %s"
+SENSOR_SERIES_FORMAT = "Sensor %s (%s)"
+GAP_LABEL_FORMAT = "S%s/T%s"
+ALERT_FORMAT = "Sensor %s (%s): %s h without signal"
+ALERT_SEPARATOR = "; "
+COLOR_FORMAT = "rgb(%s,%s,0)"
+DISPLAY_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ---------------------------------------------------------------------------
 
 KEY = ("sensor_id", "treatment_id", "window_start")
