@@ -443,6 +443,9 @@ FROM batch b WHERE NOT EXISTS (
   SELECT 1 FROM stored s WHERE s.sensor_id = b.sensor_id AND s.treatment_id = b.treatment_id
                            AND s.window_start = b.window_start)""")
 def q_insert_if_absent(spark, sf_dir):
+    """Stored: the table built from all windows before 2024-01-16; batch: all
+    readings from 2024-01-10 on (the overlapping days arrive again). Result:
+    the rows the append would insert."""
     raw = E.raw_measurements(spark, sf_dir)
     stored = dedup_first(raw.where(F.col("window_start") < F.lit(_CUT).cast("timestamp_ntz")), ["event_id"])
     batch = raw.where(F.col("window_start") >= F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
@@ -452,6 +455,8 @@ def q_insert_if_absent(spark, sf_dir):
 @register("add_location", "WITH " + _RAW + """
 SELECT event_id, sensor_id, treatment_id, location, window_start FROM raw""")
 def q_add_location(spark, sf_dir):
+    """The dimension-DataFrame path of the lookup (a join); the measurement
+    keys use the literal-map path of the configuration list."""
     readings = E.raw_readings(spark, sf_dir)
     return add_location(readings, E.fixture_sensors(spark)).select(
         "event_id", "sensor_id", "treatment_id", "location", "window_start")
