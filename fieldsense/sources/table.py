@@ -47,8 +47,9 @@ def ensure_table(spark: SparkSession, path: str, name: str | None = None) -> Non
          .partitionBy(PARTITION_COLUMN).parquet(path))
     if name:
         cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLE_SCHEMA.fields)
+        location = path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet "
-                  f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{path}'")
+                  f"PARTITIONED BY ({PARTITION_COLUMN}) LOCATION '{location}'")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
