@@ -29,11 +29,17 @@ def ts_lit(value) -> Column:
 
 
 def to_datetime(value) -> _dt.datetime:
+    """A naive UTC ``datetime`` from a datetime, date or ISO text (naive
+    input is UTC; an offset is converted to UTC)."""
     if isinstance(value, _dt.datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, _dt.date):
+        d = value
+    elif isinstance(value, _dt.date):
         return _dt.datetime(value.year, value.month, value.day)
-    return _dt.datetime.fromisoformat(str(value).strip().replace("Z", "+00:00")).replace(tzinfo=None)
+    else:
+        d = _dt.datetime.fromisoformat(str(value).strip().replace("Z", "+00:00").replace("z", "+00:00"))
+    if d.tzinfo is not None:
+        d = d.astimezone(_dt.timezone.utc)
+    return d.replace(tzinfo=None)
 
 
 def ntz_from_seconds(secs: Column) -> Column:

@@ -191,3 +191,13 @@ def test_rounding_helpers_match_python(spark):
     assert [g.r1 for g in got] == [round(v, 1) for v in vals]
     assert [g.r2 for g in got] == [round(v, 2) for v in vals]
     assert [g.t for g in got] == [f"{v:.2f}" for v in vals]
+
+
+def test_argument_times_are_utc():
+    from fieldsense.functions.time import to_datetime
+    assert to_datetime("2026-01-01 02:00:00+02:00") == dt.datetime(2026, 1, 1, 0, 0)
+    assert to_datetime("2026-01-01T00:00:00Z") == dt.datetime(2026, 1, 1, 0, 0)
+    assert to_datetime("2026-01-01 00:00:00") == dt.datetime(2026, 1, 1, 0, 0)
+    assert to_datetime(dt.date(2026, 1, 1)) == dt.datetime(2026, 1, 1, 0, 0)
+    aware = dt.datetime(2026, 1, 1, 1, 0, tzinfo=dt.timezone(dt.timedelta(hours=1)))
+    assert to_datetime(aware) == dt.datetime(2026, 1, 1, 0, 0)
