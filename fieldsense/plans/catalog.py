@@ -651,3 +651,13 @@ def q_stream_connectivity_watermark(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.table(name)
+
+
+@register("latest_status_stored", with_m(", " + _LATEST_SQL.strip() + "\nSELECT * FROM latest"))
+def q_latest_status_stored(spark, sf_dir):
+    """Latest status on the stored, date-partitioned table: the readings are
+    appended (insert-if-absent) to a new table under the checkpoint folder,
+    then the three-column group maximum and the partition-pruned fetch run."""
+    table = _scratch(spark, "table")
+    append_new(add_location(E.raw_readings(spark, sf_dir), E.FIXTURE_SENSORS), table, order_by=["event_id"])
+    return Q.latest_status(read_table(spark, table))
