@@ -653,11 +653,30 @@ def q_stream_connectivity_watermark(spark, sf_dir):
     return spark.table(name)
 
 
+def _stored(spark, sf_dir):
+    """The readings appended (insert-if-absent) to a new date-partitioned
+    table under the checkpoint folder, read back as the stored table."""
+    table = _scratch(spark, "table")
+    append_new(add_location(E.raw_readings(spark, sf_dir), E.FIXTURE_SENSORS), table, order_by=["event_id"])
+    return read_table(spark, table)
+
+
 @register("latest_status_stored", with_m(", " + _LATEST_SQL.strip() + "\nSELECT * FROM latest"))
 def q_latest_status_stored(spark, sf_dir):
     """Latest status on the stored, date-partitioned table: the readings are
     appended (insert-if-absent) to a new table under the checkpoint folder,
     then the three-column group maximum and the partition-pruned fetch run."""
-    table = _scratch(spark, "table")
-    append_new(add_location(E.raw_readings(spark, sf_dir), E.FIXTURE_SENSORS), table, order_by=["event_id"])
-    return Q.latest_status(read_table(spark, table))
+    return Q.latest_status(_stored(spark, sf_dir))
+
+
+@register("connectivity_6h_stored", ORACLE_SQL["connectivity_6h"])
+def q_connectivity_6h_stored(spark, sf_dir):
+    """Connectivity on the stored table: the range prunes date partitions."""
+    return Q.connectivity_stats(_stored(spark, sf_dir), *RANGE_6H, locations=["Site 1", "Site 2", "Unknown"],
+                                sensor_ids=[1, 3, 4, 8])
+
+
+@register("sensor_gaps_stored", ORACLE_SQL["sensor_gaps"])
+def q_sensor_gaps_stored(spark, sf_dir):
+    """Silence alerts on the stored table: one scan of the look-back days."""
+    return Q.sensor_gaps(_stored(spark, sf_dir), E.fixture_sensors(spark), NOW)
