@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldsense.llm import bpe, exact_dedup, langid, mix, shard, simhash
+from fieldsense.llm import bpe, exact_dedup, langid, licenses, lz, mix, shard, simhash, token_counts
 from fieldsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
+@register("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+
+
+@register("op3_lz_fingerprint")
+def op3_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.lz_report(read_table(spark, sf_dir, "documents"))
+
+
 @register("op4_simhash_near_dedup")
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(read_table(spark, sf_dir, "documents"))
@@ -88,6 +98,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op8_license_scan", licenses.sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 @register("op9_byte_shards")
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.byte_shards(read_table(spark, sf_dir, "documents"))
