@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldsense.llm import bpe, exact_dedup, langid, licenses, lz, mix, shard, simhash, token_counts
+from fieldsense.llm import (bpe, exact_dedup, html_extract, langid, licenses, lz, mix, shard, simhash,
+                            token_counts)
 from fieldsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op7_html_extract")
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main(read_table(spark, sf_dir, "pages"))
+
+
 @register("op8_license_scan", licenses.sql())
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
