@@ -1,0 +1,128 @@
+import base64
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from fieldsense.llm import bpe as B
+from fieldsense.llm import token_counts as T
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+MODEL = B.Bpe(PATH)
+EDGES = ["", " ", "\n\t", "a<|endoftext|>B c <|startoftext|><|x", "ΑΣ ΟΔΟΣ İstanbul é \x1c\x1d a\x1cb\x00 \x85 x y I'll don't 'S",
+         "中文字 १२३ ½ ²", "a" * 20_000, "ab" * 3000 + "!", "<|endoftext|>", "x́́ ́a ﬁ Ⅳ", "👨‍👩‍👧 a‍b",
+         "".join(map(chr, range(0, 0x250))), " ".join(map(chr, range(0, 0x250))), "x" * 50 + "é" * 50, "It's WE'LL"]
+
+
+def expected(text):
+    e = LIBRARY.encode(text or "", add_special_tokens=False)
+    return e.ids, LIBRARY.decode(e.ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", EDGES)
+def test_edge_texts_like_the_library(text):
+    ids = MODEL.encode_batch([text])[0]
+    assert (ids, MODEL.decode(ids)) == expected(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
+def test_any_text_like_the_library(text):
+    ids = MODEL.encode_batch([text])[0]
+    assert (ids, MODEL.decode(ids)) == expected(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcdehinorst", min_size=1, max_size=60))
+def test_both_merging_loops_agree(word):
+    assert MODEL.merge(MODEL.symbols(word)) == MODEL.merge_long(MODEL.symbols(word))
+
+
+def test_full_caches_are_emptied_without_harm(monkeypatch, documents):
+    monkeypatch.setattr(B, "PIECES_KEPT", 50)
+    monkeypatch.setattr(B, "WORDS_KEPT", 50)
+    model = B.Bpe(PATH)
+    for r in documents.limit(20).collect():
+        assert model.encode_batch([r.text])[0] == expected(r.text)[0]
+
+
+def test_report_on_documents(spark, documents):
+    from fieldsense.llm.catalog import QUERIES
+    got = {r.doc_id: r for r in QUERIES["op10_bpe"](spark, "/root/testdata/sf0.001").collect()}
+    for r in documents.collect():
+        ids, text = expected(r.text)
+        g = got[r.doc_id]
+        assert g.n_tokens == len(ids)
+        assert g.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert g.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_report_on_edges(docs_of, clashing):
+    rows = [(i, t) for i, t in enumerate([*EDGES, None])] + [(None, "the end"), (3, "the end"), (3, "the end")]
+    got = B.bpe_report(clashing(docs_of(rows))).collect()
+    want = []
+    for i, t in rows:
+        ids, text = expected(t)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert B.bpe_report(docs_of([])).collect() == []
+
+
+def lengths(texts):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return [len(enc.encode_ordinary(t or "")) for t in texts]
+
+
+def check_counts(df, texts):
+    ns = lengths(texts)
+    rows = {r.n_tokens: r for r in df.collect()}
+    assert set(rows) == set(ns)
+    for x, r in rows.items():
+        assert r.n_docs == ns.count(x)
+        assert r.docs_at_least == sum(n >= x for n in ns)
+        assert r.tokens_at_least == sum(n for n in ns if n >= x)
+        assert r.truncated_total == sum(min(n, x) for n in ns)
+        assert r.docs_up_to == sum(n <= x for n in ns)
+        assert (r.total_docs, r.total_tokens) == (len(ns), sum(ns))
+    return ns
+
+
+def test_token_counts(spark, documents, docs_of, clashing):
+    from fieldsense.llm.catalog import QUERIES
+    texts = [r.text for r in documents.collect()]
+    sums = QUERIES["op2_token_counts"](spark, "/root/testdata/sf0.001")
+    ns = check_counts(sums, texts)
+    limits = [0, 1, 100, 128, max(ns), max(ns) + 1, 10 ** 9]
+    for r in T.at_limits(sums, limits).collect():
+        x = r.context_limit
+        assert r.docs_longer == sum(n > x for n in ns)
+        assert r.truncated_total == sum(min(n, x) for n in ns)
+        assert r.lost_tokens == sum(max(0, n - x) for n in ns)
+    import math
+    for r in T.quantiles(sums, [0.0, 0.1, 0.5, 0.99, 1.0]).collect():
+        assert r.n_tokens == sorted(ns)[max(0, math.ceil(r.share * len(ns) - 1e-9) - 1)]
+    edges = [*EDGES, None, "same", "same"]
+    check_counts(T.token_counts(clashing(docs_of([(None, t) for t in edges]))), edges)
+
+
+def test_token_counts_across_blocks(spark):
+    ns = [0, 0, 1, 5, 1023, 1024, 1025, 5000, 5000]
+    df = T.suffix_sums(T.histogram(spark.createDataFrame([(n,) for n in ns], "n_tokens bigint")), block=4)
+    for r in df.collect():
+        assert r.truncated_total == sum(min(n, r.n_tokens) for n in ns)
+        assert r.docs_at_least == sum(n >= r.n_tokens for n in ns)
+
+
+def test_token_counts_of_nothing(docs_of):
+    s = T.token_counts(docs_of([]))
+    assert s.collect() == []
+    assert [tuple(r) for r in T.at_limits(s, [5]).collect()] == [(5, 0, 0, 0)]
+    assert [r.n_tokens for r in T.quantiles(s, [0.5]).collect()] == [None]
