@@ -14,7 +14,7 @@ class BoostedTrees:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, f = x.shape
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(f)]
+        self.edges = [self._edges(x[:, j]) for j in range(f)]
         codes = np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(self.edges)], axis=1)
         flat = codes + np.arange(f) * self.bins
         p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -28,6 +28,14 @@ class BoostedTrees:
             score += self._leaf_values(tree, codes)
         return self
 
+    def _edges(self, values: np.ndarray) -> np.ndarray:
+        """Cut points between distinct values where they are few (rare values
+        of a flag count too), else quantiles."""
+        distinct = np.unique(values)
+        if len(distinct) <= self.bins:
+            return (distinct[1:] + distinct[:-1]) / 2
+        return np.unique(np.quantile(values, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _grow(self, codes, flat, grad, hess):
         """Complete tree by levels: feature, bin and value of every slot."""
         n, f = codes.shape

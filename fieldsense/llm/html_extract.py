@@ -26,7 +26,7 @@ from fieldsense.llm.boost import BoostedTrees
 from fieldsense.llm.common import bounded_batches
 from fieldsense.llm.dom import Node, features, read
 
-TRAIN_PAGES = 800
+TRAIN_PAGES = 1000
 SEED = 11
 NODES_AT_ONCE = 20_000
 
@@ -125,10 +125,13 @@ class PageWriter:
     def article(self) -> str:
         r, m = self.r, " data-main"
         out = []
-        brief = r.random() < .35                 # a few short sentences only
+        brief = r.random() < .45                 # a few short sentences only
+        title = self.some(1, 12)
         if r.random() < .8:
-            out.append(f"<h1{m}>{self.some(1, 12)}</h1>")
-        for _ in range(r.choice((1, 1, 1, 2) if brief else (1, 2, 3, 4, 6, 8, 12, 20))):
+            out.append(f"<h1{m}>{title}</h1>")
+        if brief and r.random() < .5:            # the first block says the same as the title
+            out.append(f"<p{m}>" + r.choice((f"{title}.</p>", f"{title}</p>", f"<b>{title}<br>", f"<b>{title}.<br>")))
+        for _ in range(r.choice((0, 1, 1, 2) if brief and out else (1, 2, 3, 4, 6, 8, 12, 20))):
             k = r.random()
             if brief:
                 out.append(f"<p{m}>{self.sentence(1, 8)}{self.close('p')}")
@@ -151,8 +154,8 @@ class PageWriter:
                 out.append(f"<pre{m}>{self.some(4, 20)}</pre>")
             else:
                 out.append(f"<div{m}>{self.prose(1, 5)}</div>")
-            if r.random() < .05:
-                out.append(self.junk(r.choice(("ad", "side", "social", "form", "notice"))))
+            if r.random() < (.25 if brief else .1):
+                out.append(self.junk(r.choice(("ad", "ad", "side", "social", "form", "notice", "comment", "nav"))))
         body = "".join(out)
         if r.random() < .3:
             body = f"<div{self.attr('content', 'entry-content', 'post-body', 'text', 'story', 'article-body')}>{body}</div>"
@@ -171,6 +174,8 @@ class PageWriter:
         after = [self.junk(k) for k in ("ad", "side", "comment", "social", "form", "notice", "footer")
                  if r.random() < {"footer": .8, "comment": .35, "side": .35}.get(k, .2)]
         r.shuffle(before)
+        if r.random() < .12:                     # an article and little else
+            before, after = before[:1] * (r.random() < .3), after[-1:] * (r.random() < .5)
         middle = [self.article()]
         if r.random() < .25:
             middle.insert(r.randrange(2), self.junk("side"))
