@@ -97,8 +97,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def edited_fingerprint(text: str, starts: list[int], keep: int, tail: str) -> np.ndarray:
     """Fingerprint of ``text[:keep] + tail``, reusing the phrases of ``text``
-    that end before the change."""
-    same = int(np.searchsorted(np.asarray(starts + [len(text)]), keep, side="right")) - 1
+    that end before the change (the last one may be cut short by the text's
+    end and is read again)."""
+    same = min(int(np.searchsorted(np.asarray(starts + [len(text)]), keep, side="right")) - 1, len(starts) - 1)
+    same = max(same, 0)
     whole = text[:keep] + tail
     at = starts[:same]
     cut = starts[same] if same < len(starts) else len(text)

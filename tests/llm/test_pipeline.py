@@ -1,0 +1,78 @@
+import re
+
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline as P
+from fieldsense.llm import langid, mix
+from fieldsense.llm.bpe import default_path
+from tests_llm_brute import exact_keep, near_keep
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs]
+    for i, (name, stage) in enumerate(P.STAGES):
+        stage(spark, out[-1], SF).write.parquet(f"{folder}/{i}")
+        out.append(spark.read.parquet(f"{folder}/{i}"))
+    return out
+
+
+def test_shape(steps):
+    assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "mix_sources", "bpe"]
+    assert all(s.columns == steps[0].columns for s in steps[1:-1])
+    assert P.ORACLE_SQL is None
+
+
+def test_language_stage_drops_only_what_it_cannot_tell(steps):
+    kept = {r.doc_id for r in steps[1].collect()}
+    model = langid.train(steps[0])
+    for r in langid.identify(steps[0], model).collect():
+        assert (r.doc_id in kept) == (r.lang_pred != "und" and r.score >= langid.MIN_SCORE)
+
+
+def test_dedup_stages_keep_one_a_group(steps):
+    one = [(r.doc_id, r.text) for r in steps[1].collect()]
+    assert sorted(r.doc_id for r in steps[2].collect()) == exact_keep(one)
+    two = [(r.doc_id, r.text) for r in steps[2].collect()]
+    assert sorted(r.doc_id for r in steps[3].collect()) == near_keep(two)
+
+
+def test_mix_stage_is_the_report(steps):
+    want = {r.doc_id: r.taken for r in mix.mix_report(steps[3]).collect()}
+    got = {}
+    for r in steps[4].collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert {i: n for i, n in want.items() if n} == got
+
+
+def test_bpe_stage_is_the_library(steps):
+    lib = Tokenizer.from_file(default_path())
+    texts = {r.doc_id: r.text for r in steps[4].collect()}
+    rows = steps[5].collect()
+    assert len(rows) == steps[4].count()
+    for r in rows:
+        ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.text == lib.decode(ids, skip_special_tokens=False)
+
+
+def test_run_is_the_stages(spark, steps):
+    def key(df):
+        return sorted((r.doc_id, tuple(r.ids)) for r in df.collect())
+    assert key(P.run(spark, SF)) == key(steps[-1])
+
+
+def test_unusual_documents_pass_all_stages(docs_of, clashing, spark, tmp_path):
+    words = {"en": "the thing of that and with", "de": "der und die nicht mit das", "fr": "le la les des est une"}
+    rows = [(100 + i, f"{words[k]} {k * (i + 1)} " * 5, k, "c") for i, k in enumerate(["en", "de", "fr"] * 6)]
+    rows += [(1, None, "en", "a"), (2, "", None, None), (3, "the thing of that", "en", "a"), (3, "the thing of that", "en", "a"),
+            (None, "der und die das", "de", None), (4, "le la les des " * 20_000, "fr", "b"), (5, "le la les des", None, "b")]
+    for k, d in enumerate((clashing(docs_of(rows)), docs_of([]))):
+        for i, (name, stage) in enumerate(P.STAGES):
+            stage(spark, d, SF).write.parquet(f"{tmp_path}/{k}-{i}")
+            d = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+        assert (d.count() > 0) == (k == 0)
