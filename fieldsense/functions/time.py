@@ -4,6 +4,7 @@ here depends on the session time zone."""
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,12 +12,25 @@ from pyspark.sql import functions as F
 from fieldsense.schema import CONNECTIVITY_BIN_LONG, CONNECTIVITY_BINS
 
 
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def _epoch_ntz() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
+_ISO_RE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?$"
 # a zone after the time of day: Z, +hh, +hhmm, +hh:mm or a region id (UTC, CET, Europe/Berlin)
-_ZONE_RE = (r"(?i)[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*"
-            r"(z|[+-][0-9]{2}(:?[0-9]{2})?|[a-z][a-z0-9_+-]*(/[a-z0-9_+-]+)*)$")
+_ZONE = r"(z|[+-][0-9]{2}(:?[0-9]{2})?|[a-z][a-z0-9_+-]*(/[a-z0-9_+-]+)*)$"
+_ZONE_RE = r"(?i)[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*" + _ZONE
+# further forms, tried in this order where the text is no ISO form (patterns of Spark's
+# to_timestamp); day and month by numbers: the month comes first where both readings are possible
+DATE_FORMATS = (
+    "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmm", "yyyyMMdd",
+    "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d",
+    "M.d.yyyy H:m:s", "M.d.yyyy H:m", "M.d.yyyy", "d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy",
+    "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy",
+    "MMM d yyyy H:m:s", "MMM d yyyy H:m", "MMM d yyyy", "d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy",
+)
 
 
 def ts_lit(value) -> Column:
@@ -58,26 +72,37 @@ def epoch_seconds_ntz(ts: Column) -> Column:
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
-def parse_utc(text: Column) -> Column:
-    """ISO date/time text to UTC TIMESTAMP_NTZ truncated to whole seconds.
+def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Date/time text to UTC TIMESTAMP_NTZ truncated to whole seconds.
 
-    Text without a zone is UTC; ``Z``, an offset or a region id after the
-    time is converted to UTC. Accepts ``yyyy-MM-dd``, ``yyyy-MM-dd
-    HH:mm[:ss[.f]]`` with ``T`` or a space, and the zone forms above.
-    Returns NULL for anything else.
+    ISO forms are read first: ``yyyy-MM-dd``, ``yyyy-MM-dd HH:mm[:ss[.f]]`` with
+    ``T`` or a space, optionally followed by ``Z``, an offset or a region id
+    (converted to UTC; without a zone the text is UTC). Other texts are tried
+    with ``formats`` in order, as UTC. A year or a year and month alone, and
+    anything else, give NULL.
     """
     s = F.regexp_replace(F.trim(text), r"([0-9])z$", "$1Z")
-    zoned = s.rlike(_ZONE_RE)
-    secs = (F.when(zoned, F.unix_seconds(s.try_cast("timestamp")))
-            .otherwise(epoch_seconds_ntz(s.try_cast("timestamp_ntz"))))
+    # the cast wants seconds before a region id
+    s = F.regexp_replace(s, r"(?i)([T ][0-9]{1,2}:[0-9]{2})\s+(?=[a-z][a-z0-9_+-]*(/[a-z0-9_+-]+)*$)", "$1:00 ")
+    iso, zoned = s.rlike(_ISO_RE), s.rlike(_ZONE_RE)
+    secs = (F.when(iso & zoned, F.unix_seconds(s.try_cast("timestamp")))
+            .when(iso, epoch_seconds_ntz(s.try_cast("timestamp_ntz"))))
+    if formats:
+        loose = F.regexp_replace(s, ",", "")
+        # a fixed offset is added to text and pattern: the session time zone plays no part
+        tried = [F.unix_seconds(F.try_to_timestamp(F.concat(loose, F.lit(" +0000")), F.lit(f + " xx"))
+                                .cast("timestamp")) for f in formats]
+        secs = F.when(iso, secs).otherwise(F.coalesce(*tried))
     return ntz_from_seconds(secs)
 
 
 def time_floor(ts: Column, width: str) -> Column:
-    """Floor to a bin of ``width`` ('1 hour', '6 hours', '1 day'), aligned to
-    the epoch, NTZ in and out, no time zone involved. Spark allows one such
-    window expression per projection: add several floors in separate steps."""
-    return F.window(ts, width).start
+    """Floor to a bin of ``width`` ('15 minutes', '1 hour', '6 hours', '1 day'),
+    aligned to the epoch, NTZ in and out, no time zone involved; NULL stays NULL."""
+    amount, unit = width.split()
+    step = int(amount) * _UNIT_SECONDS[unit.rstrip("s")]
+    secs = epoch_seconds_ntz(ts)
+    return ntz_from_seconds(secs - F.pmod(secs, F.lit(step)))
 
 
 def connectivity_bin(start, end) -> str:
@@ -89,16 +114,23 @@ def connectivity_bin(start, end) -> str:
     return CONNECTIVITY_BIN_LONG
 
 
-def expected_windows(start, end, freq_minutes: int = 15) -> int:
-    """Whole ``freq`` steps between ``start`` and ``end`` plus one (truncated)."""
-    seconds = (to_datetime(end) - to_datetime(start)).total_seconds()
-    step = freq_minutes * 60
-    return int(seconds / step) + 1
+def expected_windows(start, end, freq: int | _dt.timedelta = 15) -> int:
+    """Whole ``freq`` steps (minutes or a duration) between ``start`` and
+    ``end`` plus one (truncated)."""
+    step = freq if isinstance(freq, _dt.timedelta) else _dt.timedelta(minutes=freq)
+    return int((to_datetime(end) - to_datetime(start)) / step) + 1
+
+
+def whole_second(value) -> _dt.datetime:
+    """``value`` cut to the second."""
+    return to_datetime(value).replace(microsecond=0)
 
 
-def seconds_between(a: Column, b: Column) -> Column:
-    """Whole seconds from ``a`` to ``b`` (both TIMESTAMP_NTZ, whole seconds)."""
-    return epoch_seconds_ntz(b) - epoch_seconds_ntz(a)
+def micros_between(a: Column, b: Column) -> Column:
+    """Microseconds from ``a`` to ``b`` (both TIMESTAMP_NTZ), exact."""
+    def micros(ts: Column) -> Column:
+        return epoch_seconds_ntz(ts) * 1000000 + F.pmod(F.extract(F.lit("SECOND"), ts) * 1000000, F.lit(1000000)).cast("bigint")
+    return micros(b) - micros(a)
 
 
 def day_bounds(start_date=None, end_date=None, today=None) -> tuple[str, str]:

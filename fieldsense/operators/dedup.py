@@ -1,11 +1,11 @@
 """Insert-if-absent on the logical key (sensor_id, treatment_id, window_start).
 
-``dedup_first`` keeps the first row per key in a given order, as an
-aggregate (``min_by`` over a struct): the partial aggregate collapses
-duplicates inside every map task before the shuffle, so a key that holds a
-large share of the rows never lands whole in one reduce task. ``insert_if_absent`` removes keys already stored with a
-left anti join; after ``dedup_first`` both sides are unique per key, so the
-join itself cannot be skewed by a hot key.
+``dedup_first`` keeps the first row per key in a given order: ``row_number``
+limited to 1, which Spark also applies inside every map task before the
+shuffle (WindowGroupLimit), so a key that holds a large share of the rows
+never lands whole in one reduce task. ``insert_if_absent`` first finds which
+keys of the batch are stored already (a semi join from the stored side, whose
+other side is the small batch) and then removes those from the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldsense.schema import DISPLAY_TIME_FORMAT, KEY, PARTITION_COLUMN
@@ -24,13 +24,8 @@ def dedup_first(df: DataFrame, order_by: Sequence[str], key: Sequence[str] = KEY
 
     Output keeps the input column order.
     """
-    key = list(key)
-    payload = [c for c in df.columns if c not in key]
-    if not payload:
-        return df.select(*key).distinct()
-    order = F.struct(*[F.col(c) for c in order_by])
-    picked = df.groupBy(*key).agg(F.min_by(F.struct(*payload), order).alias("_first"))
-    return picked.select(*key, "_first.*").select(*df.columns)
+    w = Window.partitionBy(*key).orderBy(*order_by)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def surrogate_id(key: Sequence[str] = KEY) -> Column:
@@ -51,30 +46,31 @@ def with_window_date(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, F.to_date("window_start"))
 
 
-def _literal(value) -> Column:
-    """A literal of the value's own type; datetimes as TIMESTAMP_NTZ wall clock."""
-    if isinstance(value, _dt.datetime):
-        return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-    return F.lit(value)
+def stored_keys(batch: DataFrame, existing: DataFrame, key: Sequence[str] = KEY,
+                dates: Sequence[_dt.date] | None = None) -> DataFrame:
+    """Keys of ``batch`` that ``existing`` holds.
+
+    A left semi join from the stored key columns to the batch's distinct keys.
+    Only the batch side can be broadcast or used as a run-time filter, and Spark
+    does so behind its own size check; with a small batch the stored side is then
+    scanned in place, never shuffled. ``dates`` (the exact set of the batch's
+    dates) prunes the stored partitions: one late document adds its own day, not
+    all days between.
+    """
+    stored = existing
+    cols = list(key)
+    if PARTITION_COLUMN in existing.columns:
+        cols = [PARTITION_COLUMN, *cols]
+        if dates is not None:
+            stored = stored.where(F.col(PARTITION_COLUMN).isin(list(dates)))
+    keys = with_window_date(batch).select(*cols).distinct()
+    return stored.select(*cols).join(keys, on=cols, how="left_semi").select(*key).distinct()
 
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, order_by: Sequence[str],
-                     key: Sequence[str] = KEY, bounds: dict | None = None) -> DataFrame:
+                     key: Sequence[str] = KEY, dates: Sequence[_dt.date] | None = None) -> DataFrame:
     """Rows of ``batch`` that would be inserted: first per key, key not stored
-    (columns in the order of ``batch``).
-
-    ``bounds`` (``{column: (lowest, highest)}`` of the batch, e.g. for
-    ``window_date``, ``window_start`` and ``sensor_id``) restricts the stored
-    side to those ranges: the date prunes partitions, the others reach the
-    Parquet scan as pushed filters so row-group statistics skip data (files
-    are sorted by sensor). Keys outside the batch's ranges cannot match, so
-    the result is the same; without ``bounds`` the stored side is read in
-    full (key columns only).
-    """
+    (columns in the order of ``batch``). ``dates``: see ``stored_keys``."""
     firsts = dedup_first(batch, order_by, key)
-    stored = existing
-    for column, (lo, hi) in (bounds or {}).items():
-        if column in existing.columns and lo is not None and hi is not None:
-            stored = stored.where(F.col(column).between(_literal(lo), _literal(hi)))
-    stored = stored.select(*key)
-    return firsts.join(stored, on=list(key), how="left_anti").select(*batch.columns)
+    hits = stored_keys(batch, existing, key, dates)
+    return firsts.join(hits, on=list(key), how="left_anti").select(*batch.columns)

@@ -1,18 +1,11 @@
-"""Sensor location lookup: a literal map for a configuration, a join for a dimension."""
+"""Sensor location lookup: one join with the sensor dimension."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.schema import UNKNOWN_LOCATION, sensor_entries
-
-# Up to this many configured sensors the location is a literal map lookup.
-INLINE_LOOKUP_MAX = 256
-
+from fieldsense.schema import UNKNOWN_LOCATION, sensor_dim
 
 def unique_sensors(dim: DataFrame) -> DataFrame:
     """One row per sensor id: the first configuration entry wins.
@@ -29,24 +22,6 @@ def unique_sensors(dim: DataFrame) -> DataFrame:
                     F.col("_s.location").alias("sensor_location")))
 
 
-def location_of(sensor_id: Column, sensors: Sequence[Mapping]) -> Column:
-    """Location of a sensor from a configuration list, as one expression.
-
-    A literal ``map<bigint,string>`` built from the configuration (first
-    entry of an id wins; entries without location are left out) is folded to
-    a constant; the lookup runs inside whole-stage codegen with no join.
-    """
-    first = {}
-    for e in sensor_entries(sensors):
-        if e["first"] and e["location"] is not None:
-            first[e["id"]] = e["location"]
-    if not first:
-        return F.lit(UNKNOWN_LOCATION)
-    entries = json.dumps([{"k": k, "v": v} for k, v in first.items()])
-    lookup = F.map_from_entries(F.from_json(F.lit(entries), "array<struct<k:bigint,v:string>>"))
-    return F.coalesce(lookup[sensor_id.cast("bigint")], F.lit(UNKNOWN_LOCATION))
-
-
 def _place_location(base: DataFrame, loc: Column) -> list:
     cols = list(base.columns)
     at = cols.index("treatment_id") + 1 if "treatment_id" in cols else len(cols)
@@ -57,20 +32,15 @@ def add_location(facts: DataFrame, sensors) -> DataFrame:
     """Set ``location`` from the sensor configuration; a sensor that is not
     configured, or has no location, gets 'Unknown'.
 
-    ``sensors`` is the configuration list (small: a literal map lookup, no
-    join) or a dimension DataFrame with ``id, location`` and optionally the
-    ``first``/``pos`` columns of ``sensor_dim``. A dimension is joined with
-    Spark's own size check: a broadcast hash join when its statistics are
-    under ``spark.sql.autoBroadcastJoinThreshold`` (exact for ``sensor_dim``;
-    AQE re-checks runtime sizes), else a shuffle join, where AQE splits a hot
-    sensor.
+    ``sensors`` is a configuration list of any length or a dimension DataFrame
+    with ``id, location`` and optionally the ``first``/``pos`` columns of
+    ``sensor_dim``. It is one left join that Spark sizes: broadcast when the
+    dimension's statistics are under ``spark.sql.autoBroadcastJoinThreshold``
+    (exact for a list; AQE re-checks run-time sizes), else a shuffle join, where
+    AQE splits a hot sensor.
     """
     base = facts.drop("location") if "location" in facts.columns else facts
-    if not isinstance(sensors, DataFrame) and len(list(sensors)) <= INLINE_LOOKUP_MAX:
-        return base.select(*_place_location(base, location_of(F.col("sensor_id"), sensors)))
-    dim = sensors if isinstance(sensors, DataFrame) else None
-    if dim is None:
-        raise ValueError("a large configuration must be passed as a DataFrame (sensor_dim)")
+    dim = sensors if isinstance(sensors, DataFrame) else sensor_dim(facts.sparkSession, sensors)
     lookup = unique_sensors(dim).select("sensor_id", "sensor_location")
     joined = base.join(lookup, on="sensor_id", how="left")
     loc = F.coalesce(F.col("sensor_location"), F.lit(UNKNOWN_LOCATION))

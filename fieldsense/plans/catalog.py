@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldsense.operators.dedup import dedup_first, insert_if_absent, surrogate_id
@@ -93,10 +93,8 @@ def _m(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- latest status
 _LATEST_SQL = """
 latest AS (
-  SELECT m.location, m.treatment_id, m.sensor_id, m.window_start, m.window_end, m.control_temp,
-         m.treatment_temp, m.received_packets, m.expected_packets, m.connection_quality
-  FROM m JOIN (SELECT location, treatment_id, max(window_start) AS mx FROM m GROUP BY location, treatment_id) g
-    ON m.location = g.location AND m.treatment_id = g.treatment_id AND m.window_start = g.mx
+  SELECT * EXCLUDE (n_observations) FROM m
+  QUALIFY rank() OVER (PARTITION BY treatment_id, location ORDER BY window_start DESC) = 1
 )"""
 
 
@@ -302,7 +300,7 @@ def q_quality_color(spark, sf_dir):
 @register("connectivity_series", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H, _6H_FILTER).strip() + f""",
 st AS ({_CONN_OUT})
 SELECT 'Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' ||
-         arg_min(location, time_bin) OVER (PARTITION BY sensor_id) || ')' AS series,
+         first_value(location) OVER (PARTITION BY sensor_id ORDER BY time_bin, location) || ')' AS series,
        sensor_id, time_bin, location, ratio,
        {_COLOR_SQL} AS color,
        CAST(CAST(round_even(ratio * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS ratio_text,
@@ -310,8 +308,8 @@ SELECT 'Sensor ' || CAST(sensor_id AS VARCHAR) || ' (' ||
        CAST(received_count AS VARCHAR) || ' / ' || CAST(expected_count AS VARCHAR) AS packets_text
 FROM st"""))
 def q_connectivity_series(spark, sf_dir):
-    st = Q.connectivity_stats(_m(spark, sf_dir), *RANGE_6H, locations=["Site 1", "Site 2", "Unknown"],
-                              sensor_ids=[1, 3, 4, 8])
+    st = Q.connectivity_rows(_m(spark, sf_dir), *RANGE_6H, locations=["Site 1", "Site 2", "Unknown"],
+                             sensor_ids=[1, 3, 4, 8])
     return S.connectivity_series(st)
 
 
@@ -368,7 +366,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_alerts,
                   ORDER BY kind, pos NULLS FIRST, sensor_id, location), '') AS text
 FROM alerts""", dim=True))
 def q_gap_alert_text(spark, sf_dir):
-    return S.gap_alert_text(Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW))
+    return S.gap_alert_text(Q.gap_rows(_m(spark, sf_dir), E.fixture_sensors(spark), NOW))
 
 
 # ---------------------------------------------------------------- temperature series
@@ -455,8 +453,8 @@ def q_insert_if_absent(spark, sf_dir):
 @register("add_location", "WITH " + _RAW + """
 SELECT event_id, sensor_id, treatment_id, location, window_start FROM raw""")
 def q_add_location(spark, sf_dir):
-    """The dimension-DataFrame path of the lookup (a join); the measurement
-    keys use the literal-map path of the configuration list."""
+    """The lookup with a dimension DataFrame; the measurement keys give the
+    configuration list."""
     readings = E.raw_readings(spark, sf_dir)
     return add_location(readings, E.fixture_sensors(spark)).select(
         "event_id", "sensor_id", "treatment_id", "location", "window_start")
@@ -474,11 +472,12 @@ _RANGE_ERR = "Connection quality 1.5 out of valid range (0.0-1.0)"
 
 _DOCS_SQL = """
 dr AS (
-  SELECT *, 'site' || CAST(sensor_id AS VARCHAR) || '_' || strftime(window_start, '%Y%m%dT%H%M%S') || '.json'
-              AS file_name,
-         CAST(row_number() OVER (PARTITION BY sensor_id, window_start ORDER BY event_id) - 1 AS INT) AS pos,
-         max(control_temp) OVER (PARTITION BY sensor_id, window_start) > 150 AS doc_bad
-  FROM raw
+  SELECT * EXCLUDE (n),
+         'site' || CAST(sensor_id AS VARCHAR) || '_' || strftime(window_start, '%Y%m%dT%H%M%S') || '_'
+           || printf('%03d', n // 3) || '.json' AS file_name,
+         CAST(n % 3 AS INT) AS pos,
+         max(control_temp) OVER (PARTITION BY sensor_id, window_start, n // 3) > 150 AS doc_bad
+  FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id, window_start ORDER BY event_id) - 1 AS n FROM raw) x
 )"""
 
 
@@ -582,8 +581,9 @@ def q_ingest_stats(spark, sf_dir):
 import uuid  # noqa: E402
 
 from fieldsense.session import ensure_checkpoint_dir  # noqa: E402
-from fieldsense.sources.table import append_new, read_table  # noqa: E402
-from fieldsense.streaming.connectivity import start_memory_sink, stream_connectivity  # noqa: E402
+from fieldsense.sources.table import append_new, read_series, read_table  # noqa: E402
+from fieldsense.streaming.ingest import ingest_folder, ingest_stream  # noqa: E402
+from fieldsense.streaming.connectivity import start_parquet_sink, stream_connectivity  # noqa: E402
 
 
 def _scratch(spark, name: str) -> str:
@@ -625,12 +625,10 @@ def q_stream_connectivity(spark, sf_dir):
     from fieldsense.sources.table import TABLE_SCHEMA
     table = _stream_ingest_events(spark, sf_dir)
     rows = spark.readStream.schema(TABLE_SCHEMA).parquet(table)
-    name = f"conn_{uuid.uuid4().hex[:12]}"
-    q = start_memory_sink(stream_connectivity(rows, *RANGE_6H), name, _scratch(spark, "conn-ckpt"))
+    out = _scratch(spark, "conn")
+    q = start_parquet_sink(stream_connectivity(rows, *RANGE_6H), out, out + "-ledger")
     q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return spark.read.parquet(out)
 
 
 @register("stream_connectivity_watermark", with_m(", " + _conn_sql("6 HOUR", *RANGE_6H).strip() + f"""
@@ -644,29 +642,31 @@ def q_stream_connectivity_watermark(spark, sf_dir):
     from fieldsense.sources.table import TABLE_SCHEMA
     table = _stream_ingest_events(spark, sf_dir)
     rows = spark.readStream.schema(TABLE_SCHEMA).parquet(table)
-    name = f"connw_{uuid.uuid4().hex[:12]}"
-    q = start_memory_sink(stream_connectivity(rows, *RANGE_6H, watermark="3 hours"), name,
-                          _scratch(spark, "connw-ckpt"), output_mode="append")
+    out = _scratch(spark, "connw")
+    agg = stream_connectivity(rows, *RANGE_6H, watermark="3 hours")
+    q = start_parquet_sink(agg, out, out + "-ledger", output_mode="append")
     q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    return spark.read.schema(agg.schema).parquet(out)
 
 
-def _stored(spark, sf_dir):
+def _stored_path(spark, sf_dir) -> str:
     """The readings appended (insert-if-absent) to a new date-partitioned
-    table under the checkpoint folder, read back as the stored table."""
+    table under the checkpoint folder."""
     table = _scratch(spark, "table")
     append_new(add_location(E.raw_readings(spark, sf_dir), E.FIXTURE_SENSORS), table, order_by=["event_id"])
-    return read_table(spark, table)
+    return table
+
+
+def _stored(spark, sf_dir):
+    return read_table(spark, _stored_path(spark, sf_dir))
 
 
 @register("latest_status_stored", with_m(", " + _LATEST_SQL.strip() + "\nSELECT * FROM latest"))
 def q_latest_status_stored(spark, sf_dir):
-    """Latest status on the stored, date-partitioned table: the readings are
-    appended (insert-if-absent) to a new table under the checkpoint folder,
-    then the three-column group maximum and the partition-pruned fetch run."""
-    return Q.latest_status(_stored(spark, sf_dir))
+    """Latest status on the stored table: the latest windows come from the
+    series catalog, the rows from the date partitions that hold them."""
+    path = _stored_path(spark, sf_dir)
+    return Q.latest_status(read_table(spark, path), read_series(spark, path))
 
 
 @register("connectivity_6h_stored", ORACLE_SQL["connectivity_6h"])
@@ -680,3 +680,191 @@ def q_connectivity_6h_stored(spark, sf_dir):
 def q_sensor_gaps_stored(spark, sf_dir):
     """Silence alerts on the stored table: one scan of the look-back days."""
     return Q.sensor_gaps(_stored(spark, sf_dir), E.fixture_sensors(spark), NOW)
+
+
+# facets on the series catalog: no scan of the table
+def _series(spark, sf_dir):
+    return read_series(spark, _stored_path(spark, sf_dir))
+
+
+@register("distinct_locations_stored", ORACLE_SQL["distinct_locations"])
+def q_distinct_locations_stored(spark, sf_dir):
+    return Q.distinct_locations(_series(spark, sf_dir))
+
+
+@register("distinct_sensors_stored", ORACLE_SQL["distinct_sensors"])
+def q_distinct_sensors_stored(spark, sf_dir):
+    return Q.distinct_sensors(_series(spark, sf_dir))
+
+
+@register("distinct_treatments_stored", ORACLE_SQL["distinct_treatments"])
+def q_distinct_treatments_stored(spark, sf_dir):
+    return Q.distinct_treatments(_series(spark, sf_dir))
+
+
+@register("filter_options_stored", ORACLE_SQL["filter_options"])
+def q_filter_options_stored(spark, sf_dir):
+    return S.filter_options(_series(spark, sf_dir), ["Site 3"], [5])
+
+
+# ---------------------------------------------------------------- one sensor per user
+_USER_RAW = _RAW.replace("CAST(user_id % 8 + 1 AS BIGINT) AS sensor_id", "CAST(user_id AS BIGINT) AS sensor_id").replace(
+    """CASE WHEN user_id % 8 = 7 THEN 'Unknown' WHEN user_id % 8 < 2 THEN 'Site 1'
+         WHEN user_id % 8 < 4 THEN 'Site 2' WHEN user_id % 8 < 6 THEN 'Site 3'
+         ELSE 'Site 4' END AS location""",
+    "CASE WHEN user_id % 2 = 0 THEN 'Site ' || CAST(user_id // 10 AS VARCHAR) ELSE 'Unknown' END AS location")
+
+
+def _user_readings(spark, sf_dir):
+    readings = E.readings_from_events(E.read_events(spark, sf_dir), sensor_per_user=True)
+    return add_location(readings, E.user_sensors(spark, sf_dir))
+
+
+@register("add_location_large", "WITH " + _USER_RAW + """
+SELECT event_id, sensor_id, treatment_id, location, window_start FROM raw""")
+def q_add_location_large(spark, sf_dir):
+    """The lookup with a dimension that grows with the input."""
+    return _user_readings(spark, sf_dir).select("event_id", "sensor_id", "treatment_id", "location", "window_start")
+
+
+@register("append_twice", "WITH " + _USER_RAW + f"""
+SELECT {_COLS} FROM raw
+WHERE window_start < TIMESTAMP '{_CUT}' OR window_start >= TIMESTAMP '2024-01-10 00:00:00'
+QUALIFY row_number() OVER (PARTITION BY sensor_id, treatment_id, window_start
+                           ORDER BY window_start >= TIMESTAMP '{_CUT}', event_id) = 1""")
+def q_append_twice(spark, sf_dir):
+    """Two appends to one table: all windows before 2024-01-16, then those from
+    2024-01-10 on and, again, the very first day. Overlapping days and the
+    stray old day add nothing that is stored."""
+    raw = _user_readings(spark, sf_dir)
+    ws = F.col("window_start")
+
+    def at(text):
+        return F.lit(text).cast("timestamp_ntz")
+
+    path = _scratch(spark, "twice")
+    append_new(raw.where(ws < at(_CUT)), path, order_by=["event_id"])
+    first_day = E.read_events(spark, sf_dir).agg(F.min(F.to_date("ts")).alias("d"))
+    again = raw.where(ws >= at("2024-01-10 00:00:00")).unionByName(
+        raw.where(ws < at("2024-01-10 00:00:00")).join(first_day, F.to_date("window_start") == F.col("d"), "left_semi"))
+    append_new(again, path, order_by=["event_id"])
+    return read_table(spark, path).select(*_COLS.split(", "))
+
+
+# ---------------------------------------------------------------- files through the real ingest
+def _drops(spark, sf_dir):
+    """The documents (bad ones too) in two drops: two thirds of them, then the
+    last third and, once more, a twelfth of all. As in a real inbox one file
+    holds one document and files arrive in any time order."""
+    docs = E.document_structs(spark, sf_dir, bad_quality_above=_BAD)
+    part = F.pmod(F.xxhash64("file_name"), F.lit(12))
+    return docs.where(part < 8), docs.where(part >= 7)
+
+
+def _deliver(docs, inbox):
+    docs.select("doc.*").write.mode("append").option("maxRecordsPerFile", 1).json(inbox)
+
+
+@register("ingest_files", with_docs("""
+SELECT DISTINCT sensor_id, treatment_id, location, window_start FROM dr WHERE NOT doc_bad"""))
+def q_ingest_files(spark, sf_dir):
+    """Files through the real ingest into one inbox: the first drop by the
+    one-shot call, the second by the stream in several micro-batches on the same
+    ledger. Only new files are read; re-sent and late documents are among them."""
+    base = _scratch(spark, "files")
+    inbox, table = f"{base}/inbox", f"{base}/table"
+    first, second = _drops(spark, sf_dir)
+    _deliver(first, inbox)
+    ingest_folder(spark, inbox, table, E.FIXTURE_SENSORS, checkpoint_location=f"{base}/ledger")
+    _deliver(second, inbox)
+    ingest_stream(spark, inbox, table, f"{base}/ledger", E.FIXTURE_SENSORS, once=True,
+                  max_files_per_trigger=2500).awaitTermination()
+    return read_table(spark, table).select("sensor_id", "treatment_id", "location", "window_start")
+
+
+@register("normalize_utc_formats", with_docs("SELECT DISTINCT file_name, window_start, window_end FROM dr"))
+def q_normalize_utc_formats(spark, sf_dir):
+    """Window times rewritten in eight forms, by hash of the file name."""
+    fmts = ["yyyyMMdd'T'HHmmss", "yyyy/MM/dd HH:mm", "d.M.yyyy HH:mm:ss", "MMM dd yyyy HH:mm", "dd MMM yyyy HH:mm:ss",
+            "yyyy-MM-dd HH:mm 'UTC'", "yyyy-MM-dd'T'HH:mm:ss'z'", "yyyy-MM-dd HH:mm:ss.SSS"]
+    p = parse_documents(E.documents(spark, sf_dir))
+    pick = F.pmod(F.xxhash64("file_name"), F.lit(len(fmts)))
+    cols = []
+    for c in ("window_start", "window_end"):
+        ts = F.try_variant_get("doc", f"$.{c}", "string").cast("timestamp_ntz")
+        # day and month by numbers are only written where the day tells them apart
+        clear = F.dayofmonth(ts) > 12
+        text = F.date_format(ts, fmts[0])
+        for i, f in enumerate(fmts):
+            use = (pick == i) & (clear if f.startswith("d.") else F.lit(True))
+            text = F.when(use, F.date_format(ts, f)).otherwise(text)
+        cols.append(text.alias(c))
+    return normalize_utc(p.select("file_name", *cols))
+
+
+# ---------------------------------------------------------------- output order
+def _positions(df, *cols):
+    """Place of every row in the output with the columns it is ordered by."""
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.select((F.row_number().over(Window.orderBy("_at"))).alias("place"), *cols)
+
+
+@register("order_fetch", with_m(f"""
+SELECT CAST(row_number() OVER (ORDER BY window_start) AS INT) AS place, window_start FROM m
+WHERE window_start BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"""))
+def q_order_fetch(spark, sf_dir):
+    return _positions(Q.fetch_measurements(_m(spark, sf_dir), START, END), "window_start")
+
+
+@register("order_latest", with_m(", " + _LATEST_SQL.strip() + """
+SELECT CAST(row_number() OVER (ORDER BY location, treatment_id, sensor_id) AS INT) AS place,
+       location, treatment_id, sensor_id FROM latest"""))
+def q_order_latest(spark, sf_dir):
+    return _positions(Q.latest_status(_m(spark, sf_dir)), "location", "treatment_id", "sensor_id")
+
+
+@register("order_sensors", with_m("""
+SELECT CAST(row_number() OVER (ORDER BY sensor_id) AS INT) AS place, sensor_id
+FROM (SELECT DISTINCT sensor_id FROM m) s"""))
+def q_order_sensors(spark, sf_dir):
+    return _positions(Q.distinct_sensors(_m(spark, sf_dir)), "sensor_id")
+
+
+@register("order_options", with_m(f"""
+, o AS (
+SELECT DISTINCT 0 AS f, 0 AS n, location AS value FROM m
+UNION ALL SELECT DISTINCT 1, sensor_id, CAST(sensor_id AS VARCHAR) FROM m WHERE location IN ('Site 3')
+UNION ALL SELECT DISTINCT 2, treatment_id, CAST(treatment_id AS VARCHAR) FROM m
+          WHERE location IN ('Site 3') AND sensor_id IN (5))
+SELECT CAST(row_number() OVER (ORDER BY f, n, value) AS INT) AS place, value FROM o"""))
+def q_order_options(spark, sf_dir):
+    return _positions(S.filter_options(_m(spark, sf_dir), ["Site 3"], [5]), "value")
+
+
+@register("order_gaps", with_m(", " + _GAP_SQL.strip() + """
+SELECT CAST(row_number() OVER (ORDER BY sensor_id, treatment_id, location) AS INT) AS place,
+       sensor_id, treatment_id, location FROM gaps"""))
+def q_order_gaps(spark, sf_dir):
+    return _positions(Q.gap_stats(_m(spark, sf_dir), START, END), "sensor_id", "treatment_id", "location")
+
+
+@register("order_connectivity", with_m(", " + _conn_sql("1 DAY", *RANGE_1D).strip() + """
+SELECT CAST(row_number() OVER (ORDER BY time_bin, sensor_id, location) AS INT) AS place, time_bin, sensor_id, location
+FROM conn"""))
+def q_order_connectivity(spark, sf_dir):
+    return _positions(Q.connectivity_stats(_m(spark, sf_dir), *RANGE_1D), "time_bin", "sensor_id", "location")
+
+
+@register("order_alerts", with_m(", " + _GAPS_SQL.strip() + """
+SELECT CAST(row_number() OVER (ORDER BY kind, pos NULLS FIRST, sensor_id, location) AS INT) AS place,
+       kind, pos, sensor_id, location FROM alerts""", dim=True))
+def q_order_alerts(spark, sf_dir):
+    return _positions(Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW),
+                      "kind", "pos", "sensor_id", "location")
+
+
+@register("order_series", with_m(f"""
+SELECT CAST(row_number() OVER (ORDER BY encode({_LABEL}), sensor_id, window_start) AS INT) AS place,
+       sensor_id, window_start FROM m"""))
+def q_order_series(spark, sf_dir):
+    return _positions(S.temperature_series(_m(spark, sf_dir), mode="delta"), "sensor_id", "window_start")

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldsense.functions.labels import round_like_python, treatment_label
-from fieldsense.functions.time import (connectivity_bin, expected_windows, seconds_between,
-                                       time_floor, to_datetime, ts_lit)
+from fieldsense.functions.time import (connectivity_bin, expected_windows, micros_between,
+                                       time_floor, to_datetime, ts_lit, whole_second)
 from fieldsense.operators.dedup import surrogate_id
 from fieldsense.operators.filters import in_range, with_filters
 from fieldsense.schema import (DEFAULT_FREQUENCY_MINUTES, DEFAULT_GAP_THRESHOLD_HOURS, DISPLAY_TIME_FORMAT,
@@ -42,25 +42,32 @@ def fetch_measurements(m: DataFrame, start, end, locations=None, sensor_ids=None
 
 
 # --------------------------------------------------------------------- Q2
-def latest_status(m: DataFrame) -> DataFrame:
+def latest_status(m: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """All rows at the latest window_start per (location, treatment_id).
 
     Ties between sensors of one location are kept (``rank``, not
     ``row_number``). Two plans, by input:
 
-    * the stored table (partitioned by ``window_date``): a partial ``max``
-      per group reads three columns; the full rows are then fetched only
-      from the date partitions that hold a group's latest window (the dates
-      come from a scalar subquery, so the scan is pruned at run time) and
-      joined back on (location, treatment_id, window_start). A 100 TB table
-      is read in full for three columns only.
+    * the stored table (partitioned by ``window_date``): the latest window of
+      every group comes from ``series`` (the series catalog, one row per series
+      and batch) or, without it, from a partial ``max`` over three columns of
+      the table; the full rows are then fetched only from the date partitions
+      that hold a group's latest window (the dates come from a scalar subquery,
+      so the scan is pruned at run time) and joined back on (location,
+      treatment_id, window_start). The subquery and the join share one
+      aggregate.
     * any other frame: ``rank() = 1``, planned as a WindowGroupLimit before
       the shuffle as well, so each map task forwards only its own latest
       rows per group however large a group is.
     """
     keys = ["location", "treatment_id"]
     if PARTITION_COLUMN in m.columns:
-        latest = m.groupBy(*keys).agg(F.max("window_start").alias("_latest"))
+        source = m if series is None else series.withColumnRenamed("last_window", "window_start")
+        # the join's own NULL filters stand here already, so that Spark sees one aggregate, used twice
+        known = source.where(F.col("location").isNotNull() & F.col("treatment_id").isNotNull()
+                             & F.col("window_start").isNotNull())
+        latest = (known.groupBy(*keys).agg(F.max("window_start").alias("_latest"))
+                  .where(F.col("_latest").isNotNull()))
         dates = latest.select(F.collect_set(F.to_date("_latest"))).scalar()
         recent = m.where(F.array_contains(dates, F.col(PARTITION_COLUMN))).select(*LATEST_COLUMNS)
         out = recent.join(latest, on=keys).where(F.col("window_start") == F.col("_latest"))
@@ -94,13 +101,15 @@ def latest_status_display(m: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- Q3
-def gap_stats(m: DataFrame, start, end, freq_minutes: int = DEFAULT_FREQUENCY_MINUTES) -> DataFrame:
-    """Missing windows per (sensor, treatment, location) in the range.
+def gap_stats(m: DataFrame, start, end,
+              freq: int | _dt.timedelta = DEFAULT_FREQUENCY_MINUTES) -> DataFrame:
+    """Missing windows per (sensor, treatment, location) in the range;
+    ``freq`` is in minutes or any duration.
 
     expected = trunc((end - start) / freq) + 1, actual = rows,
     missing = max(expected - actual, 0); groups without rows do not appear.
     """
-    expected = expected_windows(start, end, freq_minutes)
+    expected = expected_windows(start, end, freq)
     return (in_range(m, start, end)
             .groupBy("sensor_id", "treatment_id", "location")
             .agg(F.count(F.lit(1)).alias("actual_count"))
@@ -149,13 +158,15 @@ def connectivity_stats(m: DataFrame, start, end, locations=None, sensor_ids=None
 
 # --------------------------------------------------------------------- Q10
 def _lookback(now, hours: int = SILENCE_LOOKBACK_HOURS):
+    """The range of the look-back, cut to whole seconds (rows at its edges count)."""
     now = to_datetime(now)
-    return now - _dt.timedelta(hours=hours), now
+    return whole_second(now - _dt.timedelta(hours=hours)), whole_second(now)
 
 
 def max_gap(m: DataFrame, now, hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
     """Largest silence per (sensor, location) within ``[now - hours, now]``,
-    counting the range start and ``now`` as points; ``max_gap_s`` exact.
+    counting the exact range start and ``now`` as points; ``max_gap_us`` is the
+    exact gap in microseconds, ``max_gap_s`` its whole seconds.
 
     Duplicated window starts (one per treatment) are first reduced to
     distinct points; that shuffle is on (sensor, location, time), so a hot
@@ -164,16 +175,23 @@ def max_gap(m: DataFrame, now, hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame
     ``hours * 3600 + 1`` points and the ``lag`` window over it is bounded
     however many rows a sensor sends.
     """
+    return _max_gap(m, now, hours).select("sensor_id", "location", "last_seen",
+                                          F.expr("max_gap_us div 1000000").alias("max_gap_s"))
+
+
+def _max_gap(m: DataFrame, now, hours: int) -> DataFrame:
     lo, hi = _lookback(now, hours)
+    exact = to_datetime(now)
+    begin = ts_lit(exact - _dt.timedelta(hours=hours))
     points = (in_range(m, lo, hi).select("sensor_id", "location", "window_start").distinct())
     w = Window.partitionBy("sensor_id", "location").orderBy("window_start")
     prev = F.lag("window_start", 1, None).over(w)
-    steps = points.withColumn("_gap", seconds_between(F.coalesce(prev, ts_lit(lo)), F.col("window_start")))
+    steps = points.withColumn("_gap", micros_between(F.coalesce(prev, begin), F.col("window_start")))
     return (steps.groupBy("sensor_id", "location")
             .agg(F.max("_gap").alias("_inner"), F.max("window_start").alias("last_seen"))
             .select("sensor_id", "location", "last_seen",
-                    F.greatest(F.col("_inner"), seconds_between(F.col("last_seen"), ts_lit(hi)))
-                    .alias("max_gap_s")))
+                    F.greatest(F.col("_inner"), micros_between(F.col("last_seen"), ts_lit(exact)))
+                    .alias("max_gap_us")))
 
 
 def _not_seen(seen_ids: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -198,13 +216,14 @@ def silent_sensors(m: DataFrame, sensors: DataFrame, now,
     defaults to lower-case 'unknown'.
     """
     lo, hi = _lookback(now, hours)
-    return _not_seen(in_range(m, lo, hi).select("sensor_id"), sensors)
+    # distinct ids first: the anti join sees one row per sensor, however many rows a sensor sends
+    return _not_seen(in_range(m, lo, hi).select("sensor_id").distinct(), sensors)
 
 
-def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
-                threshold_hours: float = DEFAULT_GAP_THRESHOLD_HOURS,
-                hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
-    """Alerts: groups whose largest gap is >= threshold, then silent
+def gap_rows(m: DataFrame, sensors: DataFrame, now,
+             threshold_hours: float = DEFAULT_GAP_THRESHOLD_HOURS,
+             hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
+    """Alerts, unordered: groups whose largest gap is >= threshold, then silent
     configured sensors at 24 h. ``max_gap_hours`` is rounded to one digit
     like Python's ``round``; the threshold test uses the exact value. The alert order is
     ``kind, pos, sensor_id, location``: gap groups by sensor and location,
@@ -213,20 +232,26 @@ def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
     """
     # both branches read identical group rows (same filters and aggregate
     # outputs), so Spark computes the groups once and reuses the exchange
-    groups = max_gap(m, now, hours).where(F.col("sensor_id").isNotNull())
-    gaps = (groups.where(F.col("max_gap_s") >= F.lit(threshold_hours * 3600.0))
-            .select("sensor_id", "location", "max_gap_s",
+    groups = _max_gap(m, now, hours).where(F.col("sensor_id").isNotNull())
+    gaps = (groups.where(F.col("max_gap_us") >= F.lit(threshold_hours * 3600.0 * 1e6))
+            .select("sensor_id", "location", "max_gap_us",
                     F.lit(0).alias("kind"), F.lit(None).cast("int").alias("pos")))
-    seen = groups.where(F.col("max_gap_s").isNotNull()).select("sensor_id")
+    seen = groups.where(F.col("max_gap_us").isNotNull()).select("sensor_id")
     silent = (_not_seen(seen, sensors)
               .select("sensor_id", "location",
-                      F.lit(int(SILENT_SENSOR_GAP_HOURS * 3600)).cast("bigint").alias("max_gap_s"),
+                      F.lit(int(SILENT_SENSOR_GAP_HOURS * 3600) * 1000000).cast("bigint").alias("max_gap_us"),
                       F.lit(1).alias("kind"), "pos"))
     return (gaps.unionByName(silent)
-            .select("sensor_id", "location", "max_gap_s",
-                    round_like_python(F.col("max_gap_s") / 3600.0, 1).alias("max_gap_hours"),
-                    "kind", "pos")
-            .orderBy("kind", "pos", "sensor_id", "location"))
+            .select("sensor_id", "location", F.expr("max_gap_us div 1000000").alias("max_gap_s"),
+                    round_like_python(F.col("max_gap_us") / 1000000.0 / 3600.0, 1).alias("max_gap_hours"),
+                    "kind", "pos"))
+
+
+def sensor_gaps(m: DataFrame, sensors: DataFrame, now,
+                threshold_hours: float = DEFAULT_GAP_THRESHOLD_HOURS,
+                hours: int = SILENCE_LOOKBACK_HOURS) -> DataFrame:
+    """``gap_rows`` in alert order."""
+    return gap_rows(m, sensors, now, threshold_hours, hours).orderBy("kind", "pos", "sensor_id", "location")
 
 
 # --------------------------------------------------------------------- facets

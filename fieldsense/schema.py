@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -79,8 +79,15 @@ def empty_measurements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MEASUREMENT_SCHEMA)
 
 
-SENSOR_DIM_DDL = ("array<struct<id:bigint,name:string,location:string,frequency_minutes:int,"
-                  "max_gap_hours:double,pos:int,first:boolean>>")
+SENSOR_DIM_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType(), False),
+    T.StructField("name", T.StringType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("frequency_minutes", T.IntegerType()),
+    T.StructField("max_gap_hours", T.DoubleType()),
+    T.StructField("pos", T.IntegerType(), False),
+    T.StructField("first", T.BooleanType(), False),
+])
 
 
 def sensor_entries(sensors: Iterable[Mapping] | None) -> list[dict]:
@@ -100,56 +107,32 @@ def sensor_entries(sensors: Iterable[Mapping] | None) -> list[dict]:
 
 
 def sensor_dim(spark: SparkSession, sensors: Iterable[Mapping] | None) -> DataFrame:
-    """Sensor dimension from the parsed configuration (a list of mappings).
+    """Sensor dimension from the parsed configuration (a list of mappings of
+    any length). ``None`` or no file means no sensors.
 
-    The entries travel as one JSON literal expanded over a one-row range, so
-    the optimizer knows the exact (tiny) size and joins with it can be
-    broadcast behind the size check. ``None`` or no file means no sensors.
+    The entries enter the plan as Arrow rows, so the optimizer knows their exact
+    size and Spark itself decides whether a join may broadcast them. A dimension
+    that is a table already can be passed to the operators as it is.
     Columns: id, name, location, frequency_minutes, max_gap_hours, pos, first.
     """
-    import json
-    payload = json.dumps(sensor_entries(sensors))
-    return spark.range(1).select(F.inline(F.from_json(F.lit(payload), SENSOR_DIM_DDL)))
-
-
-def load_sensor_config(path: str) -> list[dict]:
-    """Read the sensor YAML (or JSON) file; an absent file means no sensors."""
-    import json
-    import os
-    if not os.path.exists(path):
-        return []
-    with open(path, encoding="utf-8") as fh:
-        text = fh.read()
+    import pyarrow as pa
+    arrow = pa.schema([("id", pa.int64()), ("name", pa.string()), ("location", pa.string()),
+                       ("frequency_minutes", pa.int32()), ("max_gap_hours", pa.float64()),
+                       ("pos", pa.int32()), ("first", pa.bool_())])
+    rows = [{**e, "name": None if e["name"] is None else str(e["name"]),
+             "location": None if e["location"] is None else str(e["location"])} for e in sensor_entries(sensors)]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=arrow), SENSOR_DIM_SCHEMA)
+
+
+def load_sensor_config(spark: SparkSession, path: str) -> list[dict]:
+    """Read the sensor configuration (YAML, of which JSON is a part) from any
+    path Spark can read; an absent file means no sensors. Needs PyYAML."""
+    import yaml
     try:
-        import yaml  # optional
-        data = yaml.safe_load(text) or {}
-    except ImportError:
-        data = json.loads(text) if text.strip().startswith("{") else _tiny_yaml_sensors(text)
+        text = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    data = yaml.safe_load("\n".join(r["value"] for r in text.collect())) or {}
     return list(data.get("sensors", []) or [])
-
-
-def _tiny_yaml_sensors(text: str) -> dict:
-    """Reads the flat ``sensors:`` list form of the config without PyYAML."""
-    sensors, cur = [], None
-    for raw in text.splitlines():
-        line = raw.split("#", 1)[0].rstrip()
-        if not line.strip() or line.strip() == "sensors:":
-            continue
-        item = line.strip()
-        if item.startswith("- "):
-            cur = {}
-            sensors.append(cur)
-            item = item[2:]
-        if cur is None or ":" not in item:
-            continue
-        k, v = (p.strip() for p in item.split(":", 1))
-        v = v.strip('"').strip("'")
-        try:
-            cur[k] = int(v)
-        except ValueError:
-            try:
-                cur[k] = float(v)
-            except ValueError:
-                cur[k] = v
-    return {"sensors": sensors}
-

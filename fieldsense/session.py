@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,8 @@ RECOMMENDED_CONF = {
     "spark.sql.files.openCostInBytes": str(1 << 20),
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
     "spark.sql.parquet.filterPushdown": "true",
+    # a repeated member of a JSON object: the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     # no Python call-site capture for every column expression (error-message
     # context only); it costs several JVM round trips per expression built
@@ -47,8 +50,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster that setting points at shared storage and is used as is; without
+    it this raises, because executors cannot see each other's local folders.
+    Only a local master (tests, bench) gets a temporary folder, which is removed
+    when Python ends.
     """
     try:
         sc = spark.sparkContext
@@ -60,7 +65,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = tempfile.mkdtemp(prefix="fieldsense-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="fieldsense-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)

@@ -8,9 +8,10 @@ the library's operators on the result, which must not rely on how it is made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldsense.functions.time import time_floor
 from fieldsense.operators.dedup import dedup_first
 from fieldsense.operators.lookup import add_location
 from fieldsense.schema import sensor_dim
@@ -46,14 +47,16 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings_from_events(read_events(spark, sf_dir))
 
 
-def readings_from_events(ev: DataFrame) -> DataFrame:
-    """Reshape ``events`` rows (batch or stream) into readings."""
+def readings_from_events(ev: DataFrame, sensor_per_user: bool = False) -> DataFrame:
+    """Reshape ``events`` rows (batch or stream) into readings of eight sensors,
+    or of one sensor per user (as many as the table has users)."""
     k = F.get_json_object("props", "$.k").cast("int")
     tid = F.col("event_id") % 3 + 1
-    start = F.window("ts", "15 minutes").start
+    start = time_floor(F.col("ts"), "15 minutes")
+    sensor = F.col("user_id") if sensor_per_user else F.col("user_id") % 8 + 1
     return ev.select(
         "event_id",
-        (F.col("user_id") % 8 + 1).cast("bigint").alias("sensor_id"),
+        sensor.cast("bigint").alias("sensor_id"),
         tid.cast("bigint").alias("treatment_id"),
         start.alias("window_start"),
         (start + F.expr("INTERVAL 15 MINUTES")).alias("window_end"),
@@ -72,23 +75,45 @@ def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The de-duplicated fact table: first event per key wins."""
-    return dedup_first(raw_measurements(spark, sf_dir), order_by=["event_id"]).drop("event_id")
+    """The de-duplicated fact table: first event per key wins; the location is
+    looked up for the rows that stay."""
+    firsts = dedup_first(raw_readings(spark, sf_dir), order_by=["event_id"]).drop("event_id")
+    return add_location(firsts, FIXTURE_SENSORS)
+
+
+READINGS_PER_DOCUMENT = 3
+
+
+def user_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large sensor dimension, one sensor per user of ``events`` that has an
+    even id; sensors share a location in groups of ten."""
+    users = read_events(spark, sf_dir).select(F.col("user_id").alias("id")).where("user_id % 2 = 0").distinct()
+    return users.select("id", F.format_string("Sensor %d", "id").alias("name"),
+                        F.format_string("Site %d", F.expr("id div 10")).alias("location"), F.lit(0).alias("pos"))
 
 
 def documents(spark: SparkSession, sf_dir: str, offset: str | None = None,
               bad_quality_above: float | None = None) -> DataFrame:
-    """One JSON document per (sensor, window) in the ingest file format.
+    """``document_structs`` as text: ``(file_name, value)`` like a whole-text file scan."""
+    return document_structs(spark, sf_dir, offset, bad_quality_above).select(
+        "file_name", F.to_json("doc").alias("value"))
+
+
+def document_structs(spark: SparkSession, sf_dir: str, offset: str | None = None,
+                     bad_quality_above: float | None = None) -> DataFrame:
+    """Documents in the ingest file format, each with up to three readings
+    of one sensor in one window (as a real document has one per treatment); a
+    window with more readings has several documents.
 
-    Returns ``(file_name, value)`` like a whole-text file scan. ``offset``
+    Returns ``(file_name, doc)``. ``offset``
     (for example ``"+02:00"``) writes the window times as local time with
     that offset; ``bad_quality_above`` writes quality 1.5 into every treatment
     whose control temperature is above the value, so that document must be
-    rejected. Treatments keep event order inside a document. A document holds
-    the readings of one sensor in one 15-minute window (a handful in the
-    driver data), which is what one input file holds in the real inbox.
+    rejected. Treatments keep event order inside a document.
     """
-    r = raw_readings(spark, sf_dir)
+    order = Window.partitionBy("sensor_id", "window_start").orderBy("event_id")
+    r = (raw_readings(spark, sf_dir).withColumn("_rn", F.row_number().over(order))
+         .withColumn("part", F.expr(f"(_rn - 1) div {READINGS_PER_DOCUMENT}")))
     fmt = "yyyy-MM-dd'T'HH:mm:ss"
     if offset:
         sign = -1 if offset.startswith("-") else 1
@@ -110,7 +135,7 @@ def documents(spark: SparkSession, sf_dir: str, offset: str | None = None,
         F.col("expected_packets"),
         q.alias("connection_quality"),
     )
-    grouped = (r.groupBy("sensor_id", "window_start")
+    grouped = (r.groupBy("sensor_id", "window_start", "part")
                .agg(F.first(ws).alias("ws"), F.first(we).alias("we"),
                     F.first("n_observations").alias("n_obs"),
                     F.array_sort(F.collect_list(treatment)).alias("ts")))
@@ -121,6 +146,6 @@ def documents(spark: SparkSession, sf_dir: str, offset: str | None = None,
         F.col("n_obs").alias("n_observations"),
         F.transform("ts", lambda t: t.dropFields("event_id")).alias("treatments"),
     )
-    name = F.format_string("site%d_%s.json", F.col("sensor_id"),
-                           F.date_format("window_start", "yyyyMMdd'T'HHmmss"))
-    return grouped.select(name.alias("file_name"), F.to_json(doc).alias("value"))
+    name = F.format_string("site%d_%s_%03d.json", F.col("sensor_id"),
+                           F.date_format("window_start", "yyyyMMdd'T'HHmmss"), F.col("part"))
+    return grouped.select(name.alias("file_name"), doc.alias("doc"))

@@ -7,37 +7,35 @@ writers could both pass the anti join for the same new key.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from fieldsense.operators.dedup import insert_if_absent, with_window_date
 from fieldsense.schema import KEY, MEASUREMENT_COLUMNS, MEASUREMENT_SCHEMA, PARTITION_COLUMN
 
 TABLE_SCHEMA = T.StructType(list(MEASUREMENT_SCHEMA.fields) +
                             [T.StructField(PARTITION_COLUMN, T.DateType(), True)])
+SERIES_SCHEMA = T.StructType([T.StructField("location", T.StringType()), T.StructField("sensor_id", T.LongType()),
+                              T.StructField("treatment_id", T.LongType()),
+                              T.StructField("last_window", T.TimestampNTZType())])
 # row order inside each written file: min/max statistics per row group then
 # let location / sensor / time predicates skip row groups
 FILE_SORT = (PARTITION_COLUMN, "location", "sensor_id", "treatment_id", "window_start")
 
 
-def _missing_path(err: AnalysisException) -> bool:
-    cond = getattr(err, "getCondition", None) or getattr(err, "getErrorClass", None)
-    return (cond() if cond else None) == "PATH_NOT_FOUND" or "PATH_NOT_FOUND" in str(err)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, asked of the file system it lies on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema(TABLE_SCHEMA).parquet(path)
-        return True
-    except AnalysisException as err:
-        if _missing_path(err):
-            return False
-        raise
+    return path_exists(spark, path)
 
 
 def ensure_table(spark: SparkSession, path: str, name: str | None = None) -> None:
@@ -54,12 +52,47 @@ def ensure_table(spark: SparkSession, path: str, name: str | None = None) -> Non
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows (empty with the table schema when nothing is stored)."""
-    try:
-        return spark.read.schema(TABLE_SCHEMA).parquet(path)
-    except AnalysisException as err:
-        if _missing_path(err):
-            return spark.createDataFrame([], TABLE_SCHEMA)
-        raise
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], TABLE_SCHEMA)
+    return spark.read.schema(TABLE_SCHEMA).parquet(path)
+
+
+def series_path(path: str) -> str:
+    """The series catalog beside a measurements table."""
+    return path.rstrip("/") + "_series"
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """The series of the table at ``path``: ``location, sensor_id,
+    treatment_id, last_window``, one row each (empty when nothing is stored).
+
+    Every append adds one row per series it touches; the largest window counts,
+    so a repeated append changes nothing.
+    """
+    if not path_exists(spark, series_path(path)):
+        return spark.createDataFrame([], SERIES_SCHEMA)
+    rows = spark.read.schema(SERIES_SCHEMA).parquet(series_path(path))
+    return rows.groupBy("location", "sensor_id", "treatment_id").agg(F.max("last_window").alias("last_window"))
+
+
+def compact_series(spark: SparkSession, path: str) -> None:
+    """Rewrite the series catalog as one row per series."""
+    rows = read_series(spark, path).checkpoint()
+    rows.coalesce(1).write.mode("overwrite").parquet(series_path(path))
+
+
+def compact_dates(spark: SparkSession, path: str, dates: Sequence[_dt.date], files_per_date: int = 1) -> None:
+    """Rewrite the given days as few files, sorted like an append sorts them.
+
+    Micro-batches add at least one small file per day they touch. The days'
+    rows are first saved in the shared checkpoint folder, then replace
+    exactly their partitions (dynamic partition overwrite); run it while no
+    writer is active.
+    """
+    days = read_table(spark, path).where(F.col(PARTITION_COLUMN).isin(list(dates)))
+    saved = days.repartitionByRange(max(1, files_per_date * len(dates)), *FILE_SORT).checkpoint()
+    (saved.sortWithinPartitions(*FILE_SORT).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION_COLUMN).parquet(path))
 
 
 def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name", "pos"),
@@ -67,42 +100,42 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
     """Append the rows whose key is not stored yet; first row per key wins.
 
     ``rows`` carries the measurement columns plus the ``order_by`` columns.
-    The batch is persisted once; one aggregate over it gives its date,
-    window and sensor ranges, which restrict the stored side (partition
-    pruning and Parquet row-group skipping); the new rows are persisted, counted and, when
-    there are any, written with a REBALANCE on the partition column (AQE
-    splits a hot day, merges small ones) and sorted inside each file.
-    Re-running a batch after a failure is harmless: keys written by the first
-    attempt are skipped. With ``table_name`` (a catalog table made by
-    ``ensure_table``) the rows are read and appended through the catalog
-    (``insertInto``), which also registers new date partitions.
+    The typed batch is persisted once. One aggregate over it gives its
+    row count and the exact set of its dates, which prunes the stored side;
+    stored keys are found with a semi join whose small side is the batch. The new
+    rows are counted by series and those few rows appended to the series catalog
+    first; then the new rows are written with a REBALANCE on the partition column
+    (AQE splits a hot day, merges small ones), sorted inside each file. Re-running a batch after a failure is harmless: keys
+    written by the first attempt are skipped. With ``table_name`` (a catalog
+    table made by ``ensure_table``) the rows are read and appended through the
+    catalog (``insertInto``), which also registers new date partitions.
     Returns ``{"rows", "inserted", "duplicates"}``.
     """
     spark = rows.sparkSession
     cols = list(MEASUREMENT_COLUMNS) + [c for c in order_by if c not in MEASUREMENT_COLUMNS]
     batch = with_window_date(rows.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ranged = (PARTITION_COLUMN, "window_start", "sensor_id")
-        b = batch.agg(F.count(F.lit(1)).alias("n"),
-                      *[F.min(c).alias(f"lo_{c}") for c in ranged],
-                      *[F.max(c).alias(f"hi_{c}") for c in ranged]).first()
+        b = batch.agg(F.count(F.lit(1)).alias("n"), F.collect_set(PARTITION_COLUMN).alias("dates")).first()
         if not b["n"]:
             return {"rows": 0, "inserted": 0, "duplicates": 0}
-        bounds = {c: (b[f"lo_{c}"], b[f"hi_{c}"]) for c in ranged}
         existing = spark.table(table_name) if table_name else read_table(spark, path)
-        new = (insert_if_absent(batch, existing, order_by, key, bounds=bounds)
-               .select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields])
-               .persist(StorageLevel.MEMORY_AND_DISK))
+        new = (insert_if_absent(batch, existing, order_by, key, dates=sorted(b["dates"]))
+               .select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMA.fields]))
+        touched = (new.groupBy("location", "sensor_id", "treatment_id")
+                   .agg(F.max("window_start").alias("last_window"), F.count(F.lit(1)).alias("n"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
         try:
-            inserted = new.count()
+            inserted = int(touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
             if inserted:
-                out = new.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*FILE_SORT)
-                if table_name:
-                    out.write.insertInto(table_name)
-                else:
-                    out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
+                touched.drop("n").coalesce(1).write.mode("append").parquet(series_path(path))
         finally:
-            new.unpersist()
-        return {"rows": int(b["n"]), "inserted": int(inserted), "duplicates": int(b["n"]) - int(inserted)}
+            touched.unpersist()
+        if inserted:
+            out = new.hint("rebalance", PARTITION_COLUMN).sortWithinPartitions(*FILE_SORT)
+            if table_name:
+                out.write.insertInto(table_name)
+            else:
+                out.write.mode("append").partitionBy(PARTITION_COLUMN).parquet(path)
+        return {"rows": int(b["n"]), "inserted": inserted, "duplicates": int(b["n"]) - inserted}
     finally:
         batch.unpersist()

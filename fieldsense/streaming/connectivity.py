@@ -40,10 +40,17 @@ def stream_connectivity(rows: DataFrame, start, end, locations=None, sensor_ids=
         .alias("ratio"))
 
 
-def start_memory_sink(agg: DataFrame, name: str, checkpoint_location: str,
-                      once: bool = True, output_mode: str = "complete") -> StreamingQuery:
-    """Run ``agg`` into an in-memory table ``name`` (small aggregate results only)."""
-    w = (agg.writeStream.outputMode(output_mode).format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint_location))
+def start_parquet_sink(agg: DataFrame, path: str, checkpoint_location: str,
+                       once: bool = True, output_mode: str = "complete") -> StreamingQuery:
+    """Run ``agg`` into the Parquet folder ``path``: closed bins are appended
+    (``append``, with a watermark), or every batch replaces the whole result
+    (``complete``). Executors write; nothing is gathered in the driver."""
+    if output_mode == "append":
+        w = agg.writeStream.outputMode("append").format("parquet").option("path", path)
+    else:
+        def replace(batch: DataFrame, epoch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
+        w = agg.writeStream.outputMode(output_mode).foreachBatch(replace)
+    w = w.option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if once else w
     return w.start()

@@ -8,9 +8,9 @@ from conftest import SENSORS, VALID_1, VALID_2, write_docs
 from fieldsense.operators.dedup import dedup_first
 from fieldsense.operators.lookup import add_location
 from fieldsense.plans import queries as Q
-from fieldsense.plans.ingest import ingest_folder
+from fieldsense.streaming.ingest import ingest_folder
 from fieldsense.schema import MEASUREMENT_SCHEMA, sensor_dim
-from fieldsense.sources.table import read_table
+from fieldsense.sources.table import read_series, read_table
 
 
 def plan(df) -> str:
@@ -42,16 +42,26 @@ def test_latest_status_limits_before_shuffle(spark):
     assert p.count("WindowGroupLimit") >= 2          # partial (map side) and final
 
 
-def test_dedup_first_aggregates_map_side(spark):
+def test_dedup_first_limits_map_side(spark):
     m = empty(spark)
     p = plan(dedup_first(m.withColumn("seq", m.sensor_id), ["seq"]))
-    assert "partial_min_by" in p
+    assert p.count("WindowGroupLimit") >= 2
 
 
 def test_latest_status_on_table_prunes_partitions_at_run_time(spark, stored):
     p = final_plan(Q.latest_status(read_table(spark, stored)))
     assert "array_contains(Subquery" in p or "array_contains(scalar-subquery" in p
     assert "PartitionFilters: [isnotnull(window_date" in p
+    assert "ReusedExchange" in p                     # the group maximum is computed once
+
+
+def test_latest_status_with_series_catalog_reads_no_unpruned_table(spark, stored):
+    m, series = read_table(spark, stored), read_series(spark, stored)
+    df = Q.latest_status(m, series)
+    assert sorted(map(str, df.collect())) == sorted(map(str, Q.latest_status(m).collect()))
+    scans = re.findall(r"Location: [^\[]*\[([^\]]*)\]\n(.*)", plan(df))
+    assert {where.endswith("_series") for where, _ in scans} == {True, False}
+    assert all("PartitionFilters" in more for where, more in scans if not where.endswith("_series"))
 
 
 def test_range_queries_push_filters_to_scan(spark, stored):
@@ -64,9 +74,9 @@ def test_range_queries_push_filters_to_scan(spark, stored):
     assert "hashpartitioning" not in fetch and "rangepartitioning(window_start" in fetch
 
 
-def test_location_lookup_from_config_has_no_join(spark):
+def test_location_lookup_is_one_join_without_exchange(spark):
     p = plan(add_location(empty(spark).drop("location"), SENSORS))
-    assert "Join" not in p and "Exchange" not in p
+    assert p.count("BroadcastHashJoin") >= 1 and "hashpartitioning" not in p
 
 
 def test_dimension_join_is_broadcast_by_size(spark):
@@ -100,15 +110,30 @@ def test_silence_alerts_scan_once(spark, stored):
     assert len(set(re.findall(r"Scan parquet\s+\((\d+)\)", final))) == 1      # one scan node
 
 
-def test_insert_if_absent_reads_only_the_batch_ranges(spark, stored):
+def test_insert_reads_exact_dates_and_never_shuffles_the_stored_side(spark, stored):
     import datetime as dt
     from fieldsense.operators.dedup import insert_if_absent
     table = read_table(spark, stored)
-    batch = table.drop("window_date").limit(2).withColumn("seq", table.sensor_id)
-    bounds = {"window_date": (dt.date(2026, 1, 1), dt.date(2026, 1, 1)),
-              "window_start": (dt.datetime(2026, 1, 1, 0, 0), dt.datetime(2026, 1, 1, 0, 15)),
-              "sensor_id": (1, 1)}
-    p = plan(insert_if_absent(batch, table, ["seq"], bounds=bounds))
-    assert "PartitionFilters: [isnotnull(window_date" in p
-    assert "GreaterThanOrEqual(window_start,2026-01-01T00:00)" in p
-    assert "LessThanOrEqual(sensor_id,1)" in p
+    batch = (spark.range(3).selectExpr("id AS seq", "id + 1 AS sensor_id", "id + 1 AS treatment_id",
+                                       "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, id) AS window_start"))
+    df = insert_if_absent(batch, table, ["seq"], dates=[dt.date(2026, 1, 1), dt.date(2026, 3, 5)])
+    p = plan(df)
+    assert re.search(r"PartitionFilters: \[.*window_date#\d+ IN \(2026-01-01,2026-03-05\)", p)
+    # the semi join from the scan: its other side is broadcast, no exchange lies between scan and join
+    tree = p.split("\n\n")[0]
+    at = tree.index("Scan parquet")
+    above = tree[:at].splitlines()[::-1]
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert "BroadcastHashJoin LeftSemi" in above[join] and not any("Exchange" in line for line in above[:join])
+    assert {r.sensor_id for r in df.collect()} == {2, 3}
+
+
+def test_small_outputs_are_sorted_once(spark):
+    from fieldsense.plans import series as S
+    m = empty(spark)
+    bars = S.connectivity_series(Q.connectivity_rows(m, "2026-01-01", "2026-01-02"))
+    assert plan(bars).count("rangepartitioning") == 1
+    assert plan(S.temperature_series(m)).count("rangepartitioning") == 1
+    assert plan(S.filter_options(m, ["A"], [1])).count("rangepartitioning") == 1
+    lines = S.alert_lines(Q.gap_rows(m, sensor_dim(spark, SENSORS), "2026-01-02"))
+    assert "SinglePartition" not in plan(lines) and "rangepartitioning" not in plan(lines)

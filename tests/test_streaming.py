@@ -2,12 +2,11 @@
 watermark emits closed bins only, compared with a brute-force count."""
 
 import datetime as dt
-import uuid
 
 from fieldsense.plans.queries import connectivity_stats
 from fieldsense.schema import MEASUREMENT_SCHEMA
 from fieldsense.sources.table import TABLE_SCHEMA, append_new, read_table
-from fieldsense.streaming.connectivity import start_memory_sink, stream_connectivity
+from fieldsense.streaming.connectivity import start_parquet_sink, stream_connectivity
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -33,10 +32,9 @@ def test_complete_mode_equals_batch(spark, tmp_path):
     path = _table(spark, tmp_path, _rows(30))
     lo, hi = "2026-01-01 00:00:00", "2026-01-02 23:59:59"
     stream = spark.readStream.schema(TABLE_SCHEMA).parquet(path)
-    name = f"c_{uuid.uuid4().hex[:8]}"
-    q = start_memory_sink(stream_connectivity(stream, lo, hi), name, str(tmp_path / "ck"))
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.table(name).collect())
+    out = str(tmp_path / "bins")
+    start_parquet_sink(stream_connectivity(stream, lo, hi), out, str(tmp_path / "ck")).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     want = sorted(tuple(r) for r in connectivity_stats(read_table(spark, path), lo, hi).collect())
     assert got == want and len(got) == 30
 
@@ -45,11 +43,10 @@ def test_append_mode_with_watermark_emits_closed_bins(spark, tmp_path):
     path = _table(spark, tmp_path, _rows(30))          # points up to 05:45 on day 2
     lo, hi = "2026-01-01 00:00:00", "2026-01-02 23:59:59"
     stream = spark.readStream.schema(TABLE_SCHEMA).parquet(path)
-    name = f"a_{uuid.uuid4().hex[:8]}"
-    q = start_memory_sink(stream_connectivity(stream, lo, hi, watermark="2 hours"), name,
-                          str(tmp_path / "ck"), output_mode="append")
-    q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.table(name).collect())
+    out = str(tmp_path / "bins")
+    start_parquet_sink(stream_connectivity(stream, lo, hi, watermark="2 hours"), out,
+                       str(tmp_path / "ck"), output_mode="append").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     batch = sorted(tuple(r) for r in connectivity_stats(read_table(spark, path), lo, hi).collect())
     # watermark = last event (day 2, 05:45) - 2 h = 03:45: bins ending by then are final
     mark = T0 + dt.timedelta(hours=29, minutes=45) - dt.timedelta(hours=2)

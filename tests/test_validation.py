@@ -160,7 +160,15 @@ def test_reject_table_keeps_text(spark):
     ("2026-07-01", dt.datetime(2026, 7, 1, 0, 0)),
     ("2026-07-01 00:00", dt.datetime(2026, 7, 1, 0, 0)),
     ("2026-07-01T00:00:59.999999", dt.datetime(2026, 7, 1, 0, 0, 59)),
-    ("20260701T000000", None),
+    ("20260701T000000", dt.datetime(2026, 7, 1, 0, 0)),
+    ("2026/07/01 10:00", dt.datetime(2026, 7, 1, 10, 0)),
+    ("07.01.2026 10:00", dt.datetime(2026, 7, 1, 10, 0)),
+    ("25.07.2026 10:00", dt.datetime(2026, 7, 25, 10, 0)),
+    ("Feb 20 2026 10:00", dt.datetime(2026, 2, 20, 10, 0)),
+    ("20 Feb, 2026 10:00:30", dt.datetime(2026, 2, 20, 10, 0, 30)),
+    ("2026-01-01 00:00 CET", dt.datetime(2025, 12, 31, 23, 0)),
+    ("2026-01-01T12:00 Europe/Berlin", dt.datetime(2026, 1, 1, 11, 0)),
+    ("2026", None), ("2026-01", None), ("soon", None), ("", None),
     ("2026-07-01T02:00:00 CEST", None),
 ])
 def test_parse_utc_forms_independent_of_session_zone(spark, text, expected):
