@@ -755,8 +755,9 @@ def q_append_twice(spark, sf_dir):
 def _drops(spark, sf_dir):
     """The documents (bad ones too) in two drops: two thirds of them, then the
     last third and, once more, a twelfth of all. As in a real inbox one file
-    holds one document and files arrive in any time order."""
-    docs = E.document_structs(spark, sf_dir, bad_quality_above=_BAD)
+    holds one document and files arrive in any time order. Windows begin every
+    six hours, so that documents are full and keys repeat across files."""
+    docs = E.document_structs(spark, sf_dir, bad_quality_above=_BAD, width="6 hours")
     part = F.pmod(F.xxhash64("file_name"), F.lit(12))
     return docs.where(part < 8), docs.where(part >= 7)
 
@@ -766,7 +767,8 @@ def _deliver(docs, inbox):
 
 
 @register("ingest_files", with_docs("""
-SELECT DISTINCT sensor_id, treatment_id, location, window_start FROM dr WHERE NOT doc_bad"""))
+SELECT DISTINCT sensor_id, treatment_id, location, window_start FROM dr WHERE NOT doc_bad""").replace(
+    "time_bucket(INTERVAL 15 MINUTE, ts)", "time_bucket(INTERVAL 6 HOUR, ts)"))
 def q_ingest_files(spark, sf_dir):
     """Files through the real ingest into one inbox: the first drop by the
     one-shot call, the second by the stream in several micro-batches on the same

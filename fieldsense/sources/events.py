@@ -47,12 +47,13 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings_from_events(read_events(spark, sf_dir))
 
 
-def readings_from_events(ev: DataFrame, sensor_per_user: bool = False) -> DataFrame:
+def readings_from_events(ev: DataFrame, sensor_per_user: bool = False, width: str = "15 minutes") -> DataFrame:
     """Reshape ``events`` rows (batch or stream) into readings of eight sensors,
-    or of one sensor per user (as many as the table has users)."""
+    or of one sensor per user (as many as the table has users), in windows that
+    begin at multiples of ``width``."""
     k = F.get_json_object("props", "$.k").cast("int")
     tid = F.col("event_id") % 3 + 1
-    start = time_floor(F.col("ts"), "15 minutes")
+    start = time_floor(F.col("ts"), width)
     sensor = F.col("user_id") if sensor_per_user else F.col("user_id") % 8 + 1
     return ev.select(
         "event_id",
@@ -100,7 +101,7 @@ def documents(spark: SparkSession, sf_dir: str, offset: str | None = None,
 
 
 def document_structs(spark: SparkSession, sf_dir: str, offset: str | None = None,
-                     bad_quality_above: float | None = None) -> DataFrame:
+                     bad_quality_above: float | None = None, width: str = "15 minutes") -> DataFrame:
     """Documents in the ingest file format, each with up to three readings
     of one sensor in one window (as a real document has one per treatment); a
     window with more readings has several documents.
@@ -112,7 +113,8 @@ def document_structs(spark: SparkSession, sf_dir: str, offset: str | None = None
     rejected. Treatments keep event order inside a document.
     """
     order = Window.partitionBy("sensor_id", "window_start").orderBy("event_id")
-    r = (raw_readings(spark, sf_dir).withColumn("_rn", F.row_number().over(order))
+    readings = readings_from_events(read_events(spark, sf_dir), width=width)
+    r = (readings.withColumn("_rn", F.row_number().over(order))
          .withColumn("part", F.expr(f"(_rn - 1) div {READINGS_PER_DOCUMENT}")))
     fmt = "yyyy-MM-dd'T'HH:mm:ss"
     if offset:
