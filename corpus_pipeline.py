@@ -39,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, text``: tokens and the text they decode to."""
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode_decode(docs)
 
 
 STAGES = [

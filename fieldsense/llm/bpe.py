@@ -18,18 +18,21 @@ import heapq
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldsense.llm.common import bounded_batches, id_text
 
-PIECES_KEPT = 400_000          # white-space pieces a worker remembers
+PIECES_KEPT = 250_000          # white-space pieces a worker remembers
 WORDS_KEPT = 500_000           # words a worker remembers
-OUT_TOKENS = 1 << 20           # tokens of one output batch
+ROWS_AT_ONCE = 250             # texts that are cut into pieces at once
 
 # fixed values: the white space of the tokenizer's normaliser, and its word
 # pattern restricted to lower-case Latin-1 text without white space
@@ -69,15 +72,22 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        # longest token by its first two characters
+        # tokens that end a word, by their text; longest other token by its first three characters
+        self.final = {t.removesuffix(self.suffix): i for t, i in self.vocab.items() if t.endswith(self.suffix)}
         self.reach: dict[str, int] = {}
         for t in self.vocab:
-            body = t.removesuffix(self.suffix)
-            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
+            if not t.endswith(self.suffix):
+                self.reach[t[:3]] = max(self.reach.get(t[:3], 1), len(t))
+        self.longest_final = max(map(len, self.final))
         self.alphabet = "".join(byte_alphabet())
         self.pair_ok: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        # pieces by number; their tokens lie one after the other in ``flat``
+        self.pieces: dict[str, int] = {}
+        self.flat, self.start, self.count = array("i"), array("q"), array("i")
+        top = max(self.token) + 1
+        self.token_text = pa.array([self.token.get(i, "") for i in range(top)], pa.string())
+        self.is_token = np.array([i in self.token for i in range(top)])
         self.merged_words = 0
         self._path, self._library = path, None
 
@@ -104,6 +114,13 @@ class Bpe:
                 ranks[i] = get((parts[i], parts[i + 1]), none)
         return [vocab[p] for p in parts]
 
+    def merge_word(self, word: str) -> list[int]:
+        """Exact BPE of a whole word: the library's own merging where it has
+        one for a word, this class's loop for the very long (n log n)."""
+        if len(word) > 400:
+            return self.merge_long(self.symbols(word))
+        return [t.id for t in self.library.model.tokenize(word)]
+
     def merge_long(self, parts: list[str]) -> list[int]:
         """The same with a heap over a linked list: n log n for a very long word."""
         n = len(parts)
@@ -142,13 +159,13 @@ class Bpe:
 
     # ------------------------------------------------------ speculate and verify
     def greedy(self, word: str) -> list[int]:
-        get, reach, suffix, n, i, out = self.vocab.get, self.reach, self.suffix, len(word), 0, []
+        get, final, reach, longest, n, i, out = (self.vocab.get, self.final.get, self.reach.get, self.longest_final,
+                                                 len(word), 0, [])
         while i < n:
-            far = reach.get(word[i:i + 2], 1)
-            if n - i <= far and (t := get(word[i:] + suffix)) is not None:
+            if n - i <= longest and (t := final(word[i:])) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + far), i, -1):
+            for j in range(min(n - 1, i + reach(word[i:i + 3], 2)), i, -1):
                 if (t := get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -182,7 +199,7 @@ class Bpe:
         failing = np.add.reduceat(bad, last - counts + 1) > 0
         words = self.words
         for w, p, f in zip(new, proposals, failing.tolist()):
-            words[w] = tuple(self.merge(self.symbols(w)) if f else p)
+            words[w] = tuple(self.merge_word(w) if f else p)
         self.merged_words += int(failing.sum())
 
     # ------------------------------------------------------------------- pieces
@@ -233,26 +250,55 @@ class Bpe:
                     ids.append(w)
                 else:
                     ids += words[w]
-            self.pieces[piece] = tuple(ids)
+            self.pieces[piece] = len(self.start)
+            self.start.append(len(self.flat))
+            self.count.append(len(ids))
+            self.flat.extend(ids)
 
     def cut(self, text: str) -> list[str]:
         return [x for x in _WHITE_RUN.split(text) if x] if _OTHER_SPACE.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of every text (None: empty)."""
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts (None: empty) in one array, and where each text
+        begins and ends in it."""
         cut = [self.cut(t or "") for t in texts]
         if len(self.pieces) > PIECES_KEPT:
             self.pieces.clear()
+            self.flat, self.start, self.count = array("i"), array("q"), array("i")
         known = self.pieces
-        new = {p for ps in cut for p in ps if p not in known}
-        self.learn_pieces(new)
-        return [[t for p in ps for t in known[p]] for ps in cut]
+        self.learn_pieces(set().union(*cut) - known.keys())
+        number = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.int64,
+                             count=sum(map(len, cut)))
+        count = np.frombuffer(self.count, dtype=np.int32)[number] if len(number) else np.zeros(0, dtype=np.int32)
+        ends = np.cumsum(count, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        bounds = np.concatenate([[0], np.cumsum([len(ps) for ps in cut], dtype=np.int64)])
+        offsets = np.concatenate([[0], ends])[bounds]
+        if not total:
+            return np.zeros(0, dtype=np.int32), offsets
+        # token k of a piece lies k places after the piece's start
+        begin = np.frombuffer(self.start, dtype=np.int64)[number] - (ends - count)
+        return np.frombuffer(self.flat, dtype=np.int32)[np.repeat(begin, count) + np.arange(total)], offsets
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of every text (None: empty)."""
+        values, offsets = self.encode_flat(texts)
+        return [values[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+
+    def decode_flat(self, values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of token rows: token texts joined by one space, special tokens
+        included (the file names no decoder, so this is what its library
+        gives); ids that are no token are left out."""
+        known = (values >= 0) & (values < len(self.is_token))
+        known[known] = self.is_token[values[known]]
+        if not known.all():
+            offsets = np.concatenate([[0], np.cumsum(known, dtype=np.int64)])[offsets]
+            values = values[known]
+        rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.token_text.take(pa.array(values)))
+        return pc.binary_join(rows, " ")
 
     def decode(self, ids) -> str:
-        """Token texts joined by one space, special tokens included: the file
-        names no decoder, so this is what its library gives."""
-        token = self.token
-        return " ".join([token[i] for i in ids if i in token])
+        return self.decode_flat(np.asarray(ids, dtype=np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
@@ -265,16 +311,35 @@ def _local(path: str | None) -> str:
     return path or os.environ.get("WORD_BPE_FILE") or default_path()
 
 
-def _batches(ids: list, tokens: list[list[int]], make):
-    """Output batches of at most about OUT_TOKENS tokens (one row at least)."""
-    lo = 0
-    while lo < len(ids):
-        hi, n = lo, 0
-        while hi < len(ids) and (hi == lo or n + len(tokens[hi]) <= OUT_TOKENS):
-            n += len(tokens[hi])
-            hi += 1
-        yield make(lo, hi)
-        lo = hi
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_BOTH = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+
+def _encode(path: str | None):
+    def run(batches):
+        model = bpe(_local(path))
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
+                values, offsets = model.encode_flat(part.column("text").to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), ids], schema=_IDS)
+    return run
+
+
+def _decode(path: str | None):
+    def run(batches):
+        model = bpe(_local(path))
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
+                ids = part.column("ids").cast(pa.list_(pa.int32()))
+                size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+                values = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), ids,
+                                                  model.decode_flat(values, offsets)], schema=_BOTH)
+    return run
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,39 +352,27 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     public file).
     """
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-    def run(batches):
-        model = bpe(_local(path))
-        for b in batches:
-            key = b.column("doc_id").cast(pa.int64())
-            tokens = model.encode_batch(b.column("text").to_pylist())
-            yield from _batches(key, tokens, lambda lo, hi: pa.RecordBatch.from_arrays(
-                [key[lo:hi], pa.array(tokens[lo:hi], pa.list_(pa.int32()))], schema=schema))
-
-    return id_text(docs).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return id_text(docs).mapInArrow(_encode(path), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, text`` from ``doc_id, ids``; unknown ids are left out
     and NULL ids decode to the empty text, as no tokens do."""
     bounded_batches(encoded.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id bigint, ids array<int>, text string")
 
-    def run(batches):
-        model = bpe(_local(path))
-        for b in batches:
-            texts = [model.decode(x or ()) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("ids").cast(
-                pa.list_(pa.int32())), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one worker per task (one vocabulary in memory)."""
+    bounded_batches(docs.sparkSession)
+    there, back = _encode(path), _decode(path)
+    return id_text(docs).mapInArrow(lambda batches: back(there(batches)), "doc_id bigint, ids array<int>, text string")
 
 
 def bpe_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` from the encoded and
     decoded rows."""
-    both = decode(encode(docs, path), path)
+    both = encode_decode(docs, path)
     return both.select("doc_id", F.size("ids").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
