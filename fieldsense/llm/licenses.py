@@ -2,16 +2,22 @@
 
 A text is brought to one canonical form: ASCII lower case, copyright lines
 removed, punctuation to space, equivalent spellings to one of them, white space
-collapsed. The SHA-256 of the whole canonical text is joined with the digests
-of known licences, and that of every line with the digests of known one-line
-notices. Both are hash joins with a small fixed table; texts do not move.
+collapsed. Tasks take the SHA-256 of the whole canonical text and of each of its
+lines; only digests leave them. The whole text's digest is hash-joined with
+the digests of known licences, those of the lines with the digests of known
+one-line notices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldsense.llm.common import bounded_batches, id_text, saved
 from fieldsense.llm.license_texts import known
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,26 +39,73 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form with line breaks kept (single spaces, no outer spaces)."""
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    t = F.regexp_replace(t, PUNCTUATION, " ")
-    # two spaces around every word: neighbours do not share one, so one pass per rule replaces all
-    t = F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), "[ \n]", " $0 ")
-    for pattern, to in SPELLINGS:
-        t = F.regexp_replace(t, f" {pattern} ", " " + to.replace("{1}", "$1").replace("{2}", "$2") + " ")
-    t = F.regexp_replace(t, " +", " ")
-    t = F.regexp_replace(t, " ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")
+WORDS_KEPT = 200_000           # spellings a worker remembers
+
+_LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# ASCII except letters, digits and the line feed becomes a space
+_SPACED = bytes(b if b == 10 or 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_MARKS = re.compile("|".join(re.escape(c) for c in "“”‘’–—…•©®™").encode())
+_COPYRIGHT = re.compile(COPYRIGHT_LINE.encode())
+_MAY_BE_COPYRIGHT = re.compile("copyright|copr\\.|©|\\(c\\)".encode())
+_RULES = [(re.compile(f" {p} ".encode()), f" {to} ".replace("{1}", "\\1").replace("{2}", "\\2").encode())
+          for p, to in SPELLINGS]
+_spelled: dict[bytes, bytes] = {}
+
+
+def spelled(word: bytes) -> bytes:
+    """The word in its canonical spelling (remembered)."""
+    t = b" " + word + b" "
+    for rule, to in _RULES:
+        t = rule.sub(to, t)
+    if len(_spelled) > WORDS_KEPT:
+        _spelled.clear()
+    out = _spelled[word] = b" ".join(t.split(b" ")).strip(b" ")
+    return out
+
+
+def canonical_lines(text: str | None) -> list[bytes]:
+    """Canonical form of every line that has any."""
+    t = (text or "").encode("utf-8").translate(_LOWER_BYTES)
+    if _MAY_BE_COPYRIGHT.search(t):
+        t = _COPYRIGHT.sub(b"", t)
+    if not t.isascii():
+        t = _MARKS.sub(b" ", t)
+    get = _spelled.get
+    lines = []
+    for line in t.translate(_SPACED).split(b"\n"):
+        words = [get(w) or spelled(w) for w in line.split(b" ") if w]
+        if words:
+            lines.append(b" ".join(words))
+    return lines
+
+
+def digests(lines: list[bytes]) -> tuple[bytes, list[bytes]]:
+    """SHA-256 of the whole canonical text and of each line."""
+    return hashlib.sha256(b" ".join(lines)).digest(), [hashlib.sha256(x).digest() for x in lines]
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """``known_digest, kind, license_id``: the canonical digests of the known texts."""
-    rows = spark.createDataFrame(known(), "license_id string, kind string, text string")
-    return (rows.select("license_id", "kind", F.sha2(F.translate(canonical(F.col("text")), "\n", " "), 256)
-                        .alias("known_digest"))
-            .groupBy("known_digest", "kind").agg(F.min("license_id").alias("license_id")))
+    rows = {}
+    for name, kind, text in known():
+        key = digests(canonical_lines(text))[0], kind
+        rows[key] = min(name, rows.get(key, name))
+    table = pa.table({"known_digest": pa.array([d for d, _ in rows], pa.binary()),
+                      "kind": pa.array([k for _, k in rows], pa.string()),
+                      "license_id": pa.array(list(rows.values()), pa.string())})
+    return spark.createDataFrame(table)
+
+
+_DIGEST_ROWS = "doc_id bigint, text_digest binary, line_digests array<binary>"
+
+
+def _digest_rows(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_digest", pa.binary()), ("line_digests", pa.list_(pa.binary()))])
+    for b in batches:
+        both = [digests(canonical_lines(t)) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            b.column("doc_id").cast(pa.int64()), pa.array([w for w, _ in both], pa.binary()),
+            pa.array([x for _, x in both], pa.list_(pa.binary()))], schema=schema)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -66,26 +119,24 @@ def license_scan(docs: DataFrame) -> DataFrame:
     no rows.
     """
     spark = docs.sparkSession
-    table = known_digests(spark)
-    # one row of the digest table per known text: a few hundred
+    bounded_batches(spark)
+    table = known_digests(spark)           # one row per known text: a few hundred, sized by Spark
     notices = table.where("kind = 'notice'").select("known_digest", F.col("license_id").alias("notice_id"))
     texts = table.where("kind = 'text'").select("known_digest", "license_id")
-    rows = docs.select("doc_id", canonical(F.col("text")).alias("c"))
-    whole = F.sha2(F.translate(F.col("c"), "\n", " "), 256)
-    found = (rows.select("doc_id", whole.alias("text_digest"), F.explode(F.split("c", "\n")).alias("line"))
-             .withColumn("known_digest", F.sha2("line", 256))
+    rows = saved(id_text(docs).mapInArrow(_digest_rows, _DIGEST_ROWS))
+    found = (rows.select("doc_id", "text_digest", F.explode("line_digests").alias("known_digest"))
              .join(notices, "known_digest")
              .groupBy("doc_id", "text_digest")
              .agg(F.array_join(F.array_sort(F.collect_set("notice_id")), ",").alias("notice_ids"),
-                  F.count(F.lit(1)).alias("lines"), F.min("line").alias("_l"))
+                  F.count(F.lit(1)).alias("lines"))
              .select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_digest"), "notice_ids", "lines"))
-    per_row = (rows.select("doc_id", whole.alias("text_digest"))
-               .groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("m"))
+    per_row = (rows.groupBy("doc_id", "text_digest").agg(F.count(F.lit(1)).alias("m"))
                .join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_digest") == F.col("_digest")),
                      "left")
                .join(texts, F.col("text_digest") == F.col("known_digest"), "left"))
     return (per_row.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("_k"))
-            .select("doc_id", "text_digest", "license_id", F.coalesce("notice_ids", F.lit("")).alias("notice_ids"),
+            .select("doc_id", F.lower(F.hex("text_digest")).alias("text_digest"), "license_id",
+                    F.coalesce("notice_ids", F.lit("")).alias("notice_ids"),
                     F.coalesce(F.expr("lines div m"), F.lit(0)).cast("bigint").alias("n_notices")))
 
 
