@@ -24,7 +24,7 @@ from fieldsense.llm.common import bounded_batches, id_text
 DIM = 4096
 PER_LANG = 500
 MAX_ROWS = 2000
-MIN_SCORE = 0.3
+MIN_SCORE = 0.25         # no better than a toss between two families and between two languages
 UNKNOWN = "und"
 BYTES_AT_ONCE = 1 << 20
 STEEPNESS = 4.0
@@ -157,16 +157,20 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``per_lang`` rows a language and ``max_rows`` in all.
 
-    The rows are those of the smallest hash of the id; each map task forwards
-    at most ``per_lang`` ids a language. Ids on several rows are not learned
+    The rows are those of the smallest hash of the id. Ids on several rows are not learned
     from twice in the sample but every row of a sampled id counts towards the
     bound. Rows whose text has no letter are no use and left out.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                         & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (usable.select("doc_id", "lang").withColumn("rn", F.row_number().over(order))
+    ids = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("h"))
+    # the smallest hashes of a language lie below a limit known from its count: about
+    # eight times the wanted rows pass it, however many tasks read the table
+    n = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    near = ids.join(n, "lang").where(F.col("h") * F.col("n") < F.lit(8 * per_lang * (1 << 32)).cast("double"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    picked = (near.withColumn("rn", F.row_number().over(order))
               .where(F.col("rn") <= per_lang).orderBy("rn", "lang").limit(max_rows)
               .select(F.col("doc_id").alias("_id")).distinct())
     rows = (usable.select("doc_id", "lang", "text")
