@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import bounded_batches, id_text
+from fieldsense.llm.common import bounded_batches, id_text, saved
 
 BLOCK = 1024          # lengths of one block of the histogram
-RUN = 20_000          # characters without white space that are encoded in one go by the library
 
 
 def default_path() -> str:
@@ -127,6 +126,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Histogram of encoded lengths of whole texts with its suffix sums.
 
     NULL and empty texts count with length 0; repeated rows count each time;
-    ids play no part; other columns are not read. An empty table gives no rows.
+    ids play no part; other columns are not read. An empty table gives no rows. The histogram is saved once, so
+    texts are encoded once.
     """
-    return suffix_sums(histogram(lengths(docs, path)))
+    return suffix_sums(saved(histogram(lengths(docs, path))))
