@@ -157,9 +157,10 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``per_lang`` rows a language and ``max_rows`` in all.
 
-    The rows are those of the smallest hash of the id. Ids on several rows are not learned
-    from twice in the sample but every row of a sampled id counts towards the
-    bound. Rows whose text has no letter are no use and left out.
+    The rows are those of the smallest hash of the id; the ``max_rows`` most
+    frequent languages at most are learned (so the counts broadcast are
+    bounded). Every row of a sampled id counts towards the bound. Rows whose
+    text has no letter are no use and left out.
     """
     bounded_batches(docs.sparkSession)
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
@@ -167,8 +168,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -
     ids = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("h"))
     # the smallest hashes of a language lie below a limit known from its count: about
     # eight times the wanted rows pass it, however many tasks read the table
-    n = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = ids.join(n, "lang").where(F.col("h") * F.col("n") < F.lit(8 * per_lang * (1 << 32)).cast("double"))
+    n = (ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+         .orderBy(F.desc("n"), "lang").limit(max_rows))
+    near = (ids.join(F.broadcast(n), "lang")
+            .where(F.col("h").cast("double") * F.col("n") < F.lit(float(8 * per_lang * (1 << 32)))))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = (near.withColumn("rn", F.row_number().over(order))
               .where(F.col("rn") <= per_lang).orderBy("rn", "lang").limit(max_rows)
