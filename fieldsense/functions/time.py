@@ -24,13 +24,8 @@ _ZONE = r"(z|[+-][0-9]{2}(:?[0-9]{2})?|[a-z][a-z0-9_+-]*(/[a-z0-9_+-]+)*)$"
 _ZONE_RE = r"(?i)[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*" + _ZONE
 # further forms, tried in this order where the text is no ISO form (patterns of Spark's
 # to_timestamp); day and month by numbers: the month comes first where both readings are possible
-DATE_FORMATS = (
-    "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmm", "yyyyMMdd",
-    "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d",
-    "M.d.yyyy H:m:s", "M.d.yyyy H:m", "M.d.yyyy", "d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy",
-    "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy",
-    "MMM d yyyy H:m:s", "MMM d yyyy H:m", "MMM d yyyy", "d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy",
-)
+DATE_FORMATS = ("yyyyMMdd['T'HHmm[ss]]", "yyyy/M/d[ H:m[:s]]", "M.d.yyyy[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]",
+                "M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]", "MMM d yyyy[ H:m[:s]]", "d MMM yyyy[ H:m[:s]]")
 
 
 def ts_lit(value) -> Column:
