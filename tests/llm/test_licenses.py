@@ -43,3 +43,36 @@ def test_every_known_text_finds_itself(docs_of):
 
 def test_nothing(docs_of):
     assert S.license_scan(docs_of([])).collect() == []
+
+
+def test_whole_texts_and_usual_forms(docs_of, in_duckdb, same_rows):
+    from pathlib import Path
+    folder = Path(S.__file__).parent / "license_data"
+    body = {i: t.split("\n\n", 1)[1] for i, t in TEXTS.items()}
+    want = [(p.stem, p.read_text("utf-8")) for p in sorted(folder.iterdir())]
+    whole = dict(want)
+    want += [
+        ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2015 Jane Doe\n\n{body['MIT']}"), ("MIT", body["MIT"]),
+        ("BSD-3-Clause", f"Copyright (c) 2001, Jane Doe\nAll rights reserved.\n\n{body['BSD-3-Clause']}"),
+        ("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2001, Jane Doe\nAll rights reserved.\n\n"
+         + body["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")),
+        ("Apache-2.0", whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 Jane Doe")),
+        ("Apache-2.0", whole["Apache-2.0"].split("   APPENDIX:")[0].replace("http:", "https:")),
+        ("GPL-2.0", whole["GPL-2.0"].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n"),
+        ("GPL-2.0", whole["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+                                             "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+        ("Unlicense", "The Unlicense\n\n" + whole["Unlicense"])]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-2.0", "CC0-1.0"} <= set(whole)
+    rows = [(i, t) for i, (_, t) in enumerate(want)] + [(900, whole["GPL-3.0"][:-400]), (901, whole["MPL-2.0"] + "More.")]
+    got = S.license_scan(docs_of(rows)).collect()
+    ids = {r.doc_id: r.license_id for r in got}
+    assert [ids[i] for i in range(len(want))] == [i for i, _ in want]
+    assert ids[900] is None and ids[901] is None
+    same_rows(got, in_duckdb(ORACLE_SQL["op8_license_scan"], rows))
+
+
+def test_usual_header_lines(docs_of):
+    rows = [(1, '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file'),
+            (2, "// SPDX-License-Identifier: GPL-2.0-or-later"), (3, "SPDX-License-Identifier: AGPL-3.0-only")]
+    assert {r.doc_id: r.notice_ids for r in S.license_scan(docs_of(rows)).collect()} == {1: "Apache-2.0", 2: "GPL-2.0",
+                                                                                          3: "AGPL-3.0"}
