@@ -3,13 +3,17 @@
 The reader is forgiving: unclosed and stray tags, cut-off pages and broken
 attributes give a tree as browsers do. Inline elements do not make nodes; text
 that stands directly beside blocks gets a node of its own. Scripts, styles,
-comments, form controls and the head never enter the tree.
+comments, form controls and the title never enter the tree. Only raw text
+(``RAW``) without its end tag runs to the end of the page; any other skipped
+element whose end tag does not come before its parent's end stops at the first
+block tag, and a head stops where its tags and the title do.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 
@@ -19,8 +23,11 @@ ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # fixed values: element names by their part in HTML
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas audio video "
-                    "select textarea button datalist".split())
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("noscript template svg math iframe object canvas audio video select button datalist".split())
+UNNESTED = frozenset("button select noscript iframe".split())        # a second start ends the first
+# inline tags that end an open svg, as block tags do
+NOT_SVG = frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body article main section header footer nav aside div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl "
                    "dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset "
@@ -79,6 +86,75 @@ def attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
     return tuple(dict.fromkeys(groups)), hidden, label
 
 
+def raw_end(page: str, pos: int, tag: str, or_tag: str = "") -> int:
+    """Where the raw text that starts at ``pos`` ends, its end tag included."""
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>" + (rf"|(?=</{or_tag}[\s/>])" if or_tag else ""), re.I).search(page, pos)
+    return end.end() if end else len(page)
+
+
+def skipped_ends(page: str) -> dict[int, int]:
+    """End of every skipped element by the end of its start tag: after its end
+    tag, or at the first block tag if there is none before its parent's end."""
+    stack: list[tuple[str, int]] = []
+    n_open: dict[str, int] = {}
+    ends: dict[int, int] = {}
+    unclosed: list[tuple[str, int]] = []
+    blocks, not_svg, pos = [], [], 0
+
+    def leave(entry: tuple[str, int]) -> None:
+        n_open[entry[0]] -= 1
+        if entry[0] in SKIPPED and entry[1] not in ends:
+            unclosed.append(entry)
+
+    while (m := TAG.search(page, pos)) is not None:
+        pos = m.end()
+        tag = m[2] or m[5]
+        if tag is None:
+            continue
+        tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in RAW:
+            if not closing and not raw.endswith("/"):
+                pos = raw_end(page, pos, tag, "svg" if n_open.get("svg") else "")
+            continue
+        if tag in BLOCKS:
+            blocks.append(m.start())
+        elif tag in NOT_SVG:
+            not_svg.append(m.start())
+        if tag not in BLOCKS and tag not in SKIPPED or tag == "hr":
+            continue
+        if closing:
+            if n_open.get(tag):
+                while stack[-1][0] != tag:
+                    leave(stack.pop())
+                if tag in SKIPPED:
+                    ends[stack[-1][1]] = pos
+                leave(stack.pop())
+        elif tag in BLOCKS or not raw.endswith("/"):
+            if tag in UNNESTED and n_open.get(tag):
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                leave(stack.pop(i))
+            stack.append((tag, pos))
+            n_open[tag] = n_open.get(tag, 0) + 1
+    while stack:
+        leave(stack.pop())
+    if unclosed:
+        spans = list(ends.items())
+        # block tags inside elements that have their end tag end nothing
+        free: list[list[int]] = [[], []]
+        for out, tags in zip(free, (blocks, sorted(blocks + not_svg))):
+            closed, i, hi = sorted(spans), 0, 0
+            for at in tags:
+                while i < len(closed) and closed[i][0] <= at:
+                    hi, i = max(hi, closed[i][1]), i + 1
+                if at >= hi:
+                    out.append(at)
+        for tag, at in unclosed:
+            tags = free[tag == "svg"]
+            i = bisect_left(tags, at)
+            ends[at] = tags[i] if i < len(tags) else len(page)
+    return ends
+
+
 def read(page: str) -> list[Node]:
     """Nodes of the page in document order, leaves with their text."""
     root = Node("html", None, 0)
@@ -88,7 +164,7 @@ def read(page: str) -> list[Node]:
         if piece and not hidden:
             here.children.append((piece, in_link > 0))
 
-    hidden_node = None
+    hidden_node = ends = None
     while (m := TAG.search(page, pos)) is not None:
         put(page[pos:m.start()])
         pos = m.end()
@@ -96,11 +172,14 @@ def read(page: str) -> list[Node]:
         if tag is None:
             continue                             # comment, doctype
         tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in SKIPPED:
+        if tag in RAW or tag in SKIPPED:
             if not closing and not raw.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])",
-                                 re.I).search(page, pos)
-                pos = end.end() if end else len(page)
+                if tag in RAW:
+                    pos = raw_end(page, pos, tag)
+                else:
+                    if ends is None:
+                        ends = skipped_ends(page)
+                    pos = ends.get(pos, pos)
             continue
         if tag in VOID and tag != "hr":
             if tag != "wbr":

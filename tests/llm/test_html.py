@@ -99,3 +99,31 @@ def test_unusual_rows(spark):
     n = len(text_of(rows[2][2]))
     assert got == sorted([("1", "u", 0), ("1", "u", 0), ("None", "None", n), ("2", "v", 0)]) and n > 50
     assert H.extract_main(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>x</title><article>{ART}</article>",
+    f"<html><head><meta charset=utf-8><title>x</title><style>p {{}}</style><link href=x><script>1</script><main>{ART}",
+    f"<div class='menu'><button>Open</div><article>{ART}</article><div class='menu'><button>Close</button></div>",
+    f"<nav><button>Open<svg><path d=x></nav><article>{ART}</article>", f"<button>Open<article>{ART}</article>",
+    f"<svg><path d=x><article>{ART}</article><div class='share'><svg><path></svg></div>",
+    f"<svg><title>icon</svg><article>{ART}</article>",
+    f"<article><svg><path d=x>{ART}</article>", f"<article><button>Share{ART}</article>",
+    f"<article><video src=v>{ART.replace('</p><p>', '</p><select><option>a<p>')}</article>",
+    f"<article>{ART.replace('</p><p>', '</p><button>a<svg><g></button><noscript><div>none</div></noscript><p>')}</article>",
+])
+def test_article_after_unclosed_skipped_element(page):
+    assert text_of(page) == "First part of the story, told at some length and with care. Second part of it, longer still, and calm."
+
+
+def test_closed_skipped_elements_stay_out():
+    page = ("<article><p>one</p><button><div>no</div></button><svg><svg><g></svg><text>no</text></svg><template><p>no<template>no"
+            "</template>no</template><noscript><p>no</p></noscript><textarea><p>no</textarea><p>two<script>'<p>no'</script >x</p>"
+            "<style>no")
+    assert [n.text for n in read(page) if n.text] == ["one", "twox"]
+
+
+def test_many_unclosed_skipped_elements():
+    for tag in ("svg", "button", "video"):
+        nodes = read(f"<{tag}><p>x</p>" * 20_000 + f"</{tag}>")
+        assert sum(n.text == "x" for n in nodes) >= 19_999
