@@ -2,7 +2,7 @@
 
 The reader is forgiving: unclosed and stray tags, cut-off pages and broken
 attributes give a tree as browsers do. Inline elements do not make nodes; text
-that stands directly beside blocks gets a node of its own. Scripts, styles,
+that stands directly beside blocks or a rule gets a node of its own. Scripts, styles,
 comments, form controls and the title never enter the tree. Only raw text
 (``RAW``) without its end tag runs to the end of the page; any other skipped
 element whose end tag does not come before its parent's end stops at the first
@@ -24,7 +24,8 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # fixed values: element names by their part in HTML
 RAW = frozenset("script style textarea title".split())
-SKIPPED = frozenset("noscript template svg math iframe object canvas audio video select button datalist".split())
+SKIPPED = frozenset("noscript template svg iframe object canvas audio video select button datalist annotation "
+                    "annotation-xml".split())            # annotations: source of a formula, not its text
 UNNESTED = frozenset("button select noscript iframe".split())        # a second start ends the first
 # inline tags that end an open svg, as block tags do
 NOT_SVG = frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())
@@ -65,7 +66,7 @@ class Node:
     def __init__(self, tag, parent, at, groups=(), label=False):
         self.tag, self.parent, self.at, self.groups, self.label = tag, parent, at, groups, label
         self.depth = parent.depth + 1 if parent else 0
-        self.children: list = []        # nodes and, while reading, pieces of text
+        self.children: list = []        # nodes and, while reading, pieces of text and None for a rule
         self.text, self.link = "", 0
 
 
@@ -198,7 +199,7 @@ def read(page: str) -> list[Node]:
                 if hidden_node is not None and n.depth <= hidden_node.depth:
                     hidden, hidden_node = 0, None
             continue
-        if tag in ("hr", "html") or tag == "body" and bodies:
+        if tag == "html" or tag == "body" and bodies:
             continue
         bodies += tag == "body"
         # what this start ends
@@ -212,6 +213,9 @@ def read(page: str) -> list[Node]:
             elif n.tag in limits or n.tag not in ("p", *kinds):
                 break
             n = n.parent
+        if tag == "hr":
+            here.children.append(None)           # ends the run of text, makes no node
+            continue
         groups, hides, label = attributes(raw)
         new = Node(tag, here, m.start(), groups, label)
         here.children.append(new)
@@ -243,7 +247,9 @@ def settle(root: Node) -> list[Node]:
                 runs.clear()
 
         for c in n.children:
-            if isinstance(c, Node):
+            if c is None:
+                close()
+            elif isinstance(c, Node):
                 close()
                 kids.append(c)
             else:

@@ -127,3 +127,14 @@ def test_many_unclosed_skipped_elements():
     for tag in ("svg", "button", "video"):
         nodes = read(f"<{tag}><p>x</p>" * 20_000 + f"</{tag}>")
         assert sum(n.text == "x" for n in nodes) >= 19_999
+
+
+def test_rules_and_formulas():
+    def leaves(page):
+        return [n.text for n in read(page) if n.text]
+    assert leaves("<div>one<hr>two</div>") == ["one", "two"] and leaves("<p>one<hr/>two") == ["one", "two"]
+    assert leaves("<p>one<hr><p>two</p>") == ["one", "two"] and leaves("<hr><p>one</p><hr></hr>") == ["one"]
+    assert leaves("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds</p>"
+                  ) == ["so x=1 holds"]
+    assert text_of("<article>" + ART.replace("still", "<math><mi>still</mi></math>") + "</article>") == text_of(
+        f"<article>{ART}</article>")
