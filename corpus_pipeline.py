@@ -18,7 +18,7 @@ from fieldsense.session import ensure_checkpoint_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models tell; the others go."""
+    """Documents with a letter in them; a language that is only guessed is kept."""
     return langid.keep_identified(docs, langid.train(docs))
 
 

@@ -24,7 +24,7 @@ from fieldsense.llm.common import bounded_batches, id_text
 DIM = 4096
 PER_LANG = 500
 MAX_ROWS = 2000
-MIN_SCORE = 0.25         # no better than a toss between two families and between two languages
+MIN_SCORE = 0.25         # a toss between two families and two languages, their least score; less only by cyclic votes
 UNKNOWN = "und"
 BYTES_AT_ONCE = 1 << 20
 STEEPNESS = 4.0
@@ -235,8 +235,14 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` (all columns) without rows that are ``und`` or whose language
-    is a guess (score below ``min_score``)."""
+    """``docs`` (all columns) without rows that are ``und`` or score below
+    ``min_score``.
+
+    At the default only rows without a letter go (``und``): of two classes the
+    winner has a confidence of at least 0.5, of one class 1.0, so two steps of at
+    most two classes never score below 0.25. Guesses, noise with a few letters and
+    languages never learned keep their guessed label and stay. With more classes
+    cyclic votes can score lower and go."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
