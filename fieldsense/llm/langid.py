@@ -10,7 +10,6 @@ tasks turn the sampled texts into feature rows and only these reach the driver.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -43,7 +42,6 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
-_LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters (lower case) and bytes of other characters stay, the rest separates
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -64,7 +62,9 @@ def features(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter (``\\p{L}``, as in ``train``): fractions,
+    superscripts, circled digits and Roman numeral signs are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 40, seed: int = 7) -> np.ndarray:

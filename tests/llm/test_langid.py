@@ -76,3 +76,12 @@ def test_stage_keeps_clean_documents(docs_of, clashing, spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in sample()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert L.keep_identified(docs, L.train(docs)).count() >= 0.99 * docs.count()
+
+
+def test_numeric_signs_are_no_letters(docs_of):
+    rows = sample() + [(900, "½ ⅓", None, None), (901, "x² ³", None, None), (902, "² ³ ①②", None, None), (903, "Ⅷ ⅻ ৪", None, None)]
+    d = docs_of(rows)
+    model = L.train(d)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(d, model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (900, 902, 903)) and got[901][0] != "und"
+    assert {r.doc_id for r in L.keep_identified(d, model).where("doc_id >= 900").collect()} == {901}
