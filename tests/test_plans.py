@@ -137,3 +137,20 @@ def test_small_outputs_are_sorted_once(spark):
     assert plan(S.filter_options(m, ["A"], [1])).count("rangepartitioning") == 1
     lines = S.alert_lines(Q.gap_rows(m, sensor_dim(spark, SENSORS), "2026-01-02"))
     assert "SinglePartition" not in plan(lines) and "rangepartitioning" not in plan(lines)
+
+
+def test_positions_are_numbered_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from fieldsense.plans.catalog import _positions
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(1000).select((F.col("id") * 7919 % 1000 + 5).alias("v")).orderBy("v")
+        rows = _positions(df, "v").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, was)
+    assert sorted((r.place, r.v) for r in rows) == [(i + 1, i + 5) for i in range(1000)]
+    assert len({r.task for r in rows}) > 1
+    assert _positions(df.limit(0), "v").collect() == []
