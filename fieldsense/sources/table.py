@@ -77,10 +77,10 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_series(spark: SparkSession, path: str) -> None:
-    """Rewrite the series catalog as one row per series."""
+    """Rewrite the series catalog as one row per series, in as few files as its size asks for."""
     ensure_checkpoint_dir(spark)
     rows = read_series(spark, path).checkpoint()
-    rows.coalesce(1).write.mode("overwrite").parquet(series_path(path))
+    rows.hint("rebalance").write.mode("overwrite").parquet(series_path(path))
 
 
 def compact_dates(spark: SparkSession, path: str, dates: Sequence[_dt.date], files_per_date: int = 1) -> None:
@@ -130,7 +130,7 @@ def append_new(rows: DataFrame, path: str, order_by: Sequence[str] = ("file_name
         try:
             inserted = int(touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
             if inserted:
-                touched.drop("n").coalesce(1).write.mode("append").parquet(series_path(path))
+                touched.drop("n").hint("rebalance").write.mode("append").parquet(series_path(path))
         finally:
             touched.unpersist()
         if inserted:
