@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SENSORS
+from documents_fixture import SENSORS
 from fieldsense.functions.time import expected_windows, time_floor
 from fieldsense.operators.validate import parse_documents, validate_documents
 from fieldsense.plans import queries as Q

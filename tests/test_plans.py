@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SENSORS, VALID_1, VALID_2, write_docs
+from documents_fixture import SENSORS, VALID_1, VALID_2, write_docs
 from fieldsense.operators.dedup import dedup_first
 from fieldsense.operators.lookup import add_location
 from fieldsense.plans import queries as Q

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import (EXAMPLE_SITE_9, INVALID_QUALITY, MISSING_FIELD, SENSORS, VALID_1, document,
+from documents_fixture import (EXAMPLE_SITE_9, INVALID_QUALITY, MISSING_FIELD, SENSORS, VALID_1, document,
                       treatment)
 from fieldsense.operators.lookup import add_location
 from fieldsense.operators.validate import (flatten_documents, parse_documents, split_rejects,
