@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldsense.llm import (bpe, exact_dedup, html_extract, langid, licenses, lz, mix, shard, simhash,
-                            token_counts)
+                            token_counts, whitening)
 from fieldsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
