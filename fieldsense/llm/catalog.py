@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldsense.llm import (bpe, exact_dedup, html_extract, langid, licenses, lz, mix, shard, simhash,
+from fieldsense.llm import (bpe, conversations, exact_dedup, html_extract, langid, licenses, lz, mix, shard, simhash,
                             token_counts, whitening)
 from fieldsense.llm.common import read_table
 
@@ -119,6 +119,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damaged(rows), rows.select("conv_id"))
+
+
 @register("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
