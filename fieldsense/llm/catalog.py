@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldsense.llm import (bpe, conversations, exact_dedup, html_extract, langid, licenses, lz, mix, shard, simhash,
-                            token_counts, whitening)
+from fieldsense.llm import (bpe, conversations, exact_dedup, html_extract, langid, licenses, lz, mix, quality, shard,
+                            simhash, token_counts, whitening)
 from fieldsense.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_whitening")
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
