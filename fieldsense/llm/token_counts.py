@@ -11,6 +11,7 @@ blocks), so no task sees the whole histogram.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from fieldsense.llm.common import bounded_batches, id_text, saved
 
 BLOCK = 1024          # lengths of one block of the histogram
+LONG_BLANK = 1000     # white space from this length on does not go through the library's word pattern
+
+# fixed values: what the word pattern takes for white space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_path() -> str:
@@ -38,6 +43,24 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_count(enc, text: str) -> int:
+    """Number of tokens of a text.
+
+    A long run of white space overflows the stack of the library's pattern
+    matcher. The pattern makes one word of such a run at the text's end, and
+    elsewhere of all but its last character, and no other word reaches over its
+    start; so the run is cut out, encoded as that word, and the rest goes on with
+    its last character.
+    """
+    total, done = 0, 0
+    for run in re.finditer(f"[{WHITE}]{{{LONG_BLANK},}}", text):
+        end = run.end() - (run.end() < len(text))
+        total += len(enc.encode_ordinary(text[done:run.start()]))
+        total += len(enc._encode_single_piece(text[run.start():end]))
+        done = end
+    return total + len(enc.encode_ordinary(text[done:] if done else text))
+
+
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens`` per row; NULL and empty texts have 0 tokens."""
     bounded_batches(docs.sparkSession)
@@ -48,7 +71,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id").cast(pa.int64()),
-                pa.array([len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()], pa.int64())],
+                pa.array([token_count(enc, t) for t in b.column("text").to_pylist()], pa.int64())],
                 schema=schema)
 
     return id_text(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -126,7 +149,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Histogram of encoded lengths of whole texts with its suffix sums.
 
     NULL and empty texts count with length 0; repeated rows count each time;
-    ids play no part; other columns are not read. An empty table gives no rows. The histogram is saved once, so
-    texts are encoded once.
+    ids play no part; other columns are not read. An empty table gives no rows.
+    Texts of any length count, blank ones included (``token_count``). The
+    histogram is saved once, so texts are encoded once.
     """
     return suffix_sums(saved(histogram(lengths(docs, path))))

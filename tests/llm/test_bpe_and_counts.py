@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -126,3 +127,31 @@ def test_token_counts_of_nothing(docs_of):
     assert s.collect() == []
     assert [tuple(r) for r in T.at_limits(s, [5]).collect()] == [(5, 0, 0, 0)]
     assert [r.n_tokens for r in T.quantiles(s, [0.5]).collect()] == [None]
+
+
+def test_long_blank_texts():
+    enc = T.encoder(T.default_path())
+    rnd = random.Random(6)
+    # short runs take the library's way, so the cut can be compared with it
+    for _ in range(300):
+        text = "".join(rnd.choice(["word", "x.", "é", "7", " ", "\n", "\t", "　", "\x1c", " " * 9, "\n \n" * 4, "'s"])
+                       for _ in range(rnd.randint(0, 30)))
+        want = len(enc.encode_ordinary(text))
+        for least in (2, 3, 5):
+            old, T.LONG_BLANK = T.LONG_BLANK, least
+            try:
+                assert T.token_count(enc, text) == want, (least, text)
+            finally:
+                T.LONG_BLANK = old
+    space = T.token_count(enc, " " * 1000)
+    assert space == len(enc.encode_ordinary(" " * 1000))
+    assert T.token_count(enc, " " * 1_000_000) == 1000 * space
+    for text in ("\n" * 1_000_000, "\r\n\t " * 300_000, "a" + " " * 1_000_000 + "b", "ab " * 400_000, "x" * 1_000_000):
+        assert T.token_count(enc, text) > 0
+
+
+def test_long_blank_texts_on_spark(docs_of):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, None), (4, "a" + " " * 700_000 + "b")]
+    got = {r["doc_id"]: r["n_tokens"] for r in T.lengths(docs_of(rows)).collect()}
+    enc = T.encoder(T.default_path())
+    assert got == {i: T.token_count(enc, t or "") for i, t in rows}
