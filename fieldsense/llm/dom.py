@@ -17,8 +17,8 @@ from bisect import bisect_left
 
 import numpy as np
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile("[>\"']")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -87,15 +87,87 @@ def attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
     return tuple(dict.fromkeys(groups)), hidden, label
 
 
+class Tags:
+    """The tags of a page, each looked up from any place on, in time linear in
+    the page however it is cut off or quoted.
+
+    A tag ends at the first ``>`` outside quotes, or if there is none, at the
+    first ``>`` at all; without that either, ``<`` is text. What a search that
+    failed went through is remembered, so no later search goes through it again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_end = page.rfind(">")
+        self.bare = len(page)                        # nothing ends or opens quotes from here on
+        self.unclosed = {'"': len(page), "'": len(page)}     # no such quote from here on
+        self.dead: set[int] = set()                  # quotes no end was found behind
+
+    def _end(self, pos: int) -> int:
+        """The first ``>`` outside quotes, or -1."""
+        page, passed = self.page, []
+        while pos < self.bare:
+            m = STOP.search(page, pos)
+            if m is None:
+                self.bare = pos
+                break
+            at = m.start()
+            if page[at] == ">":
+                return at
+            if at in self.dead:
+                break
+            passed.append(at)
+            quote = page[at]
+            close = page.find(quote, at + 1) if at + 1 < self.unclosed[quote] else -1
+            if close < 0:
+                self.unclosed[quote] = min(self.unclosed[quote], at + 1)
+                break
+            pos = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def find(self, pos: int):
+        """``(start, end, name or None, closing, attributes)`` of the first tag or
+        comment at or after ``pos``, or None."""
+        page = self.page
+        while True:
+            # without a ``>`` ahead only a comment can follow
+            start = page.find("<", pos) if pos <= self.last_end else page.find("<!--", pos)
+            if start < 0:
+                return None
+            m = OPEN.match(page, start)
+            if m is None:
+                pos = start + 1
+                continue
+            if m[1]:
+                end = page.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(page)), None, False, ""
+            end = -1 if m[2] else self._end(m.end())
+            if end < 0:
+                end = page.find(">", m.end())
+                if end < 0:
+                    pos = start + 1
+                    continue
+            if m[2]:
+                return start, end + 1, None, False, ""
+            return start, end + 1, m[4].lower(), bool(m[3]), page[m.end():end]
+
+
 def raw_end(page: str, pos: int, tag: str, or_tag: str = "") -> int:
     """Where the raw text that starts at ``pos`` ends, its end tag included."""
-    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>" + (rf"|(?=</{or_tag}[\s/>])" if or_tag else ""), re.I).search(page, pos)
-    return end.end() if end else len(page)
+    names = f"({tag})|{or_tag}" if or_tag else f"({tag})"
+    end = re.compile(rf"</(?:{names})(?=[\s/>])", re.I).search(page, pos)
+    if end is None:
+        return len(page)
+    if end[1] is None:
+        return end.start()
+    return page.find(">", end.end()) + 1 or len(page)
 
 
-def skipped_ends(page: str) -> dict[int, int]:
+def skipped_ends(tags: Tags) -> dict[int, int]:
     """End of every skipped element by the end of its start tag: after its end
     tag, or at the first block tag if there is none before its parent's end."""
+    page = tags.page
     stack: list[tuple[str, int]] = []
     n_open: dict[str, int] = {}
     ends: dict[int, int] = {}
@@ -107,20 +179,18 @@ def skipped_ends(page: str) -> dict[int, int]:
         if entry[0] in SKIPPED and entry[1] not in ends:
             unclosed.append(entry)
 
-    while (m := TAG.search(page, pos)) is not None:
-        pos = m.end()
-        tag = m[2] or m[5]
+    while (found := tags.find(pos)) is not None:
+        start, pos, tag, closing, raw = found
         if tag is None:
             continue
-        tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not raw.endswith("/"):
                 pos = raw_end(page, pos, tag, "svg" if n_open.get("svg") else "")
             continue
         if tag in BLOCKS:
-            blocks.append(m.start())
+            blocks.append(start)
         elif tag in NOT_SVG:
-            not_svg.append(m.start())
+            not_svg.append(start)
         if tag not in BLOCKS and tag not in SKIPPED or tag == "hr":
             continue
         if closing:
@@ -142,44 +212,52 @@ def skipped_ends(page: str) -> dict[int, int]:
         spans = list(ends.items())
         # block tags inside elements that have their end tag end nothing
         free: list[list[int]] = [[], []]
-        for out, tags in zip(free, (blocks, sorted(blocks + not_svg))):
+        for out, starts in zip(free, (blocks, sorted(blocks + not_svg))):
             closed, i, hi = sorted(spans), 0, 0
-            for at in tags:
+            for at in starts:
                 while i < len(closed) and closed[i][0] <= at:
                     hi, i = max(hi, closed[i][1]), i + 1
                 if at >= hi:
                     out.append(at)
         for tag, at in unclosed:
-            tags = free[tag == "svg"]
-            i = bisect_left(tags, at)
-            ends[at] = tags[i] if i < len(tags) else len(page)
+            starts = free[tag == "svg"]
+            i = bisect_left(starts, at)
+            ends[at] = starts[i] if i < len(starts) else len(page)
     return ends
 
 
 def read(page: str) -> list[Node]:
     """Nodes of the page in document order, leaves with their text."""
-    root = Node("html", None, 0)
+    tags, root = Tags(page), Node("html", None, 0)
     here, pos, in_link, hidden, bodies = root, 0, 0, 0, 0
+    n_open: dict[str, int] = {}          # elements of a name from the root to here
 
     def put(piece: str) -> None:
         if piece and not hidden:
             here.children.append((piece, in_link > 0))
 
+    def leave(to: Node) -> None:
+        """Go up to ``to``."""
+        nonlocal here, hidden, hidden_node
+        while here is not to:
+            n_open[here.tag] -= 1
+            if here is hidden_node:
+                hidden, hidden_node = 0, None
+            here = here.parent
+
     hidden_node = ends = None
-    while (m := TAG.search(page, pos)) is not None:
-        put(page[pos:m.start()])
-        pos = m.end()
-        tag = m[2] or m[5]
+    while (found := tags.find(pos)) is not None:
+        put(page[pos:found[0]])
+        start, pos, tag, closing, raw = found
         if tag is None:
             continue                             # comment, doctype
-        tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW or tag in SKIPPED:
             if not closing and not raw.endswith("/"):
                 if tag in RAW:
                     pos = raw_end(page, pos, tag)
                 else:
                     if ends is None:
-                        ends = skipped_ends(page)
+                        ends = skipped_ends(tags)
                     pos = ends.get(pos, pos)
             continue
         if tag in VOID and tag != "hr":
@@ -191,13 +269,11 @@ def read(page: str) -> list[Node]:
         if tag not in BLOCKS:
             continue
         if closing:
-            n = here
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n.tag == tag and n is not root:
-                here = n.parent
-                if hidden_node is not None and n.depth <= hidden_node.depth:
-                    hidden, hidden_node = 0, None
+            if n_open.get(tag):
+                n = here
+                while n.tag != tag:
+                    n = n.parent
+                leave(n.parent)
             continue
         if tag == "html" or tag == "body" and bodies:
             continue
@@ -207,9 +283,7 @@ def read(page: str) -> list[Node]:
         n = here
         while n is not root:
             if n.tag == "p" and here is n or n.tag in kinds:
-                here = n.parent
-                if hidden_node is not None and n.depth <= hidden_node.depth:
-                    hidden, hidden_node = 0, None
+                leave(n.parent)
             elif n.tag in limits or n.tag not in ("p", *kinds):
                 break
             n = n.parent
@@ -217,9 +291,9 @@ def read(page: str) -> list[Node]:
             here.children.append(None)           # ends the run of text, makes no node
             continue
         groups, hides, label = attributes(raw)
-        new = Node(tag, here, m.start(), groups, label)
+        new = Node(tag, here, start, groups, label)
         here.children.append(new)
-        here = new
+        here, n_open[tag] = new, n_open.get(tag, 0) + 1
         if hides and hidden_node is None:
             hidden, hidden_node = 1, new
     put(page[pos:])

@@ -7,7 +7,7 @@ import pytest
 
 from fieldsense.llm import html_extract as H
 from fieldsense.llm.catalog import QUERIES
-from fieldsense.llm.dom import FEATURES, features, read
+from fieldsense.llm.dom import FEATURES, Tags, features, read
 
 ART = "<p>First part of the story, told at some length and with care.</p><p>Second part of it, longer still, and calm.</p>"
 
@@ -138,3 +138,26 @@ def test_rules_and_formulas():
                   ) == ["so x=1 holds"]
     assert text_of("<article>" + ART.replace("still", "<math><mi>still</mi></math>") + "</article>") == text_of(
         f"<article>{ART}</article>")
+
+
+@pytest.mark.parametrize("piece", ["<div ", "<a ", '<p "', "<a \">\" ", "<a \"' ", "<a '>\" ", "<a<", "<!", "<!-- ", "<a/", "&amp",
+                                   "<li><p>", "<button><div>", "<svg><p>", "</p>", "<script>x</script "])
+def test_cut_off_tags_take_linear_time(piece):
+    import time
+    began = time.monotonic()
+    assert isinstance(read("<div>" * 1000 + piece * (1_000_000 // len(piece))), list)
+    assert time.monotonic() - began < 20
+    assert read("<p>kept</p>" + piece * 50)[0].tag == "html"
+
+
+def test_tags_end_at_the_first_bracket_outside_quotes():
+    def found(page):
+        tags, pos, out = Tags(page), 0, []
+        while (t := tags.find(pos)) is not None:
+            out.append((page[t[0]:t[1]], t[2], t[3]))
+            pos = t[1]
+        return out
+    assert found("a<p x='>' y=\">\">b</p >") == [("<p x='>' y=\">\">", "p", False), ("</p >", "p", True)]
+    assert found("<p x='>c<b>") == [("<p x='>", "p", False), ("<b>", "b", False)]       # never closed: the first at all
+    assert found("<p x=\"'\">a<i y='\">b") == [("<p x=\"'\">", "p", False), ("<i y='\">", "i", False)]
+    assert found("< p><1><!d><!-- <p> --><x") == [("<!d>", None, False), ("<!-- <p> -->", None, False)]
