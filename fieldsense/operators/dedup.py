@@ -46,25 +46,28 @@ def with_window_date(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COLUMN, F.to_date("window_start"))
 
 
+def stored_rows(batch: DataFrame, existing: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The rows of ``existing`` whose key ``batch`` holds.
+
+    A left semi join from the stored side to the batch's distinct keys, on the key
+    columns alone. Only the batch side can be broadcast or used as a run-time
+    filter, and Spark does so behind its own size check; with a small batch the
+    stored side is then scanned in place, never shuffled. A table laid out in
+    buckets of the key is not shuffled for a large batch either.
+    """
+    keys = batch.select(*key).distinct()
+    return existing.join(keys, on=list(key), how="left_semi")
+
+
 def stored_keys(batch: DataFrame, existing: DataFrame, key: Sequence[str] = KEY,
                 dates: Sequence[_dt.date] | None = None) -> DataFrame:
-    """Keys of ``batch`` that ``existing`` holds.
-
-    A left semi join from the stored key columns to the batch's distinct keys.
-    Only the batch side can be broadcast or used as a run-time filter, and Spark
-    does so behind its own size check; with a small batch the stored side is then
-    scanned in place, never shuffled. ``dates`` (the exact set of the batch's
-    dates) prunes the stored partitions: one late document adds its own day, not
-    all days between.
-    """
+    """Keys of ``batch`` that ``existing`` holds. ``dates`` (the exact set of the
+    batch's dates) prunes the stored partitions: one late document adds its own
+    day, not all days between."""
     stored = existing
-    cols = list(key)
-    if PARTITION_COLUMN in existing.columns:
-        cols = [PARTITION_COLUMN, *cols]
-        if dates is not None:
-            stored = stored.where(F.col(PARTITION_COLUMN).isin(list(dates)))
-    keys = with_window_date(batch).select(*cols).distinct()
-    return stored.select(*cols).join(keys, on=cols, how="left_semi").select(*key).distinct()
+    if dates is not None and PARTITION_COLUMN in existing.columns:
+        stored = stored.where(F.col(PARTITION_COLUMN).isin(list(dates)))
+    return stored_rows(batch, stored.select(*key), key).distinct()
 
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, order_by: Sequence[str],
