@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldsense.functions.dates import free_form_seconds
 from fieldsense.schema import CONNECTIVITY_BIN_LONG, CONNECTIVITY_BINS
 
 
@@ -67,14 +68,15 @@ def epoch_seconds_ntz(ts: Column) -> Column:
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
-def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
+def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS, free_form: bool = True) -> Column:
     """Date/time text to UTC TIMESTAMP_NTZ truncated to whole seconds.
 
     ISO forms are read first: ``yyyy-MM-dd``, ``yyyy-MM-dd HH:mm[:ss[.f]]`` with
     ``T`` or a space, optionally followed by ``Z``, an offset or a region id
     (converted to UTC; without a zone the text is UTC). Other texts are tried
-    with ``formats`` in order, as UTC. A year or a year and month alone, and
-    anything else, give NULL.
+    with ``formats`` in order, as UTC, and then, with ``free_form``, read by their
+    tokens (``free_form_seconds``). A text without year, month or day, and
+    anything else, gives NULL.
     """
     s = F.regexp_replace(F.trim(text), r"([0-9])z$", "$1Z")
     # the cast wants seconds before a region id
@@ -88,6 +90,8 @@ def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
         tried = [F.unix_seconds(F.try_to_timestamp(F.concat(loose, F.lit(" +0000")), F.lit(f + " xx"))
                                 .cast("timestamp")) for f in formats]
         secs = F.when(iso, secs).otherwise(F.coalesce(*tried))
+    if free_form:
+        secs = F.coalesce(secs, free_form_seconds(text))
     return ntz_from_seconds(secs)
 
 

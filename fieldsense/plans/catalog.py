@@ -881,3 +881,7 @@ SELECT CAST(row_number() OVER (ORDER BY encode({_LABEL}), sensor_id, window_star
        sensor_id, window_start FROM m"""))
 def q_order_series(spark, sf_dir):
     return _positions(S.temperature_series(_m(spark, sf_dir), mode="delta"), "sensor_id", "window_start")
+
+
+# queries on stored aggregates, pages, alerts and interrupted runs add themselves
+from fieldsense.plans import catalog_stored  # noqa: E402, F401

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldsense.functions.time import ts_lit
 from fieldsense.operators.dedup import dedup_first, stored_rows, with_window_date
 from fieldsense.schema import KEY, MEASUREMENT_COLUMNS, MEASUREMENT_SCHEMA, PARTITION_COLUMN
 from fieldsense.session import ensure_checkpoint_dir
@@ -186,7 +187,7 @@ def probe(existing: DataFrame, lo: _dt.datetime, hi: _dt.datetime, dates: Sequen
     range and, for few sensors, the sensors by name. All reach the Parquet scan,
     where row-group statistics and Bloom filters skip what cannot match."""
     out = existing.where(F.col(PARTITION_COLUMN).isin(list(dates))
-                         & F.col("window_start").between(F.lit(lo), F.lit(hi)))
+                         & F.col("window_start").between(ts_lit(lo), ts_lit(hi)))
     if sensors is not None:
         # an OR of equalities is checked against Bloom filters; a long IN-list would only give its range
         named = [F.col("sensor_id") == F.lit(s) for s in sensors]

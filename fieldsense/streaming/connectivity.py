@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldsense.functions.time import connectivity_bin, epoch_seconds_ntz, ntz_from_seconds
 from fieldsense.operators.filters import in_range, with_filters
 from fieldsense.plans.queries import connectivity_rows
+from fieldsense.sources.daystore import DayStore
 
 
 def stream_connectivity(rows: DataFrame, start, end, locations=None, sensor_ids=None,
@@ -54,3 +58,23 @@ def start_parquet_sink(agg: DataFrame, path: str, checkpoint_location: str,
     w = w.option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if once else w
     return w.start()
+
+
+def maintain(rows: DataFrame, store: DayStore, partials: Callable[[DataFrame], DataFrame], checkpoint_location: str,
+             once: bool = True, interval_seconds: int = 60) -> StreamingQuery:
+    """Keep a day store (rollup, coverage) up to date with a stream of
+    measurement rows.
+
+    Every micro-batch becomes partials that are merged into the days it has rows
+    of; other days are not touched, and there is no streaming state, so late rows
+    of any age count. A batch that runs again after a failure is recognised by its
+    number and left out if it was committed.
+    """
+    writer = hashlib.md5(checkpoint_location.encode()).hexdigest()[:12]
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        store.commit(partials(batch), (writer, epoch_id))
+
+    w = rows.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint_location)
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{int(interval_seconds)} seconds")
+    return w.start()
