@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import bounded_batches, id_text
+from fieldsense.llm.common import bounded_batches, give_back, id_text
 
-PIECES_KEPT = 250_000          # white-space pieces a worker remembers
-WORDS_KEPT = 500_000           # words a worker remembers
+KEPT_BYTES = 48 << 20          # pieces and words a worker remembers, in bytes of memory
+PAIRS_KEPT = 200_000           # verdicts on pairs a worker remembers (about 110 bytes each)
 ROWS_AT_ONCE = 250             # texts that are cut into pieces at once
 
 # fixed values: the white space of the tokenizer's normaliser, and its word
@@ -58,6 +58,33 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(others)) for b in range(256)]
 
 
+class Kept:
+    """Words and pieces by number; their tokens lie one after the other in
+    ``flat``. ``held`` estimates the memory in bytes."""
+    __slots__ = ("words", "pieces", "flat", "start", "count", "held")
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.flat, self.start, self.count = array("i"), array("i"), array("i")
+        self.held = 0
+
+    def add(self, names: dict[str, int], name: str, ids) -> None:
+        """A word or piece with its tokens, or (an int) the number that has them."""
+        if not isinstance(ids, int):
+            self.start.append(len(self.flat))
+            self.count.append(len(ids))
+            self.flat.extend(ids)
+            self.held += 8 + 4 * len(ids)
+            ids = len(self.start) - 1
+        names[name] = ids
+        self.held += 150 + len(name)
+
+    def tokens(self, number: int) -> array:
+        at = self.start[number]
+        return self.flat[at:at + self.count[number]]
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as fh:
@@ -81,10 +108,7 @@ class Bpe:
         self.longest_final = max(map(len, self.final))
         self.alphabet = "".join(byte_alphabet())
         self.pair_ok: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        # pieces by number; their tokens lie one after the other in ``flat``
-        self.pieces: dict[str, int] = {}
-        self.flat, self.start, self.count = array("i"), array("q"), array("i")
+        self.kept, self.earlier = Kept(), Kept()
         top = max(self.token) + 1
         self.token_text = pa.array([self.token.get(i, "") for i in range(top)], pa.string())
         self.is_token = np.array([i in self.token for i in range(top)])
@@ -197,9 +221,9 @@ class Bpe:
         bad = np.zeros(len(flat), dtype=np.int64)
         bad[wanted] = ~verdict[where]
         failing = np.add.reduceat(bad, last - counts + 1) > 0
-        words = self.words
+        kept = self.kept
         for w, p, f in zip(new, proposals, failing.tolist()):
-            words[w] = tuple(self.merge_word(w) if f else p)
+            kept.add(kept.words, w, self.merge_word(w) if f else p)
         self.merged_words += int(failing.sum())
 
     # ------------------------------------------------------------------- pieces
@@ -221,11 +245,13 @@ class Bpe:
         return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(piece))]
 
     def learn_pieces(self, new: set[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+        kept, earlier = self.kept, self.earlier
         parts: dict[str, list] = {}
         unknown: dict[str, None] = {}
         for piece in new:
+            if (n := earlier.pieces.get(piece)) is not None:
+                kept.add(kept.pieces, piece, earlier.tokens(n))
+                continue
             if self.specials and "<" in piece:
                 cut = [x for x in self.specials.split(piece) if x]
             else:
@@ -238,22 +264,25 @@ class Bpe:
                 ws = self.split_words(x)
                 out += ws
                 for w in ws:
-                    if w not in self.words:
-                        unknown[w] = None
+                    if w not in kept.words:
+                        if (n := earlier.words.get(w)) is not None:
+                            kept.add(kept.words, w, earlier.tokens(n))
+                        else:
+                            unknown[w] = None
             parts[piece] = out
         self.learn(list(unknown))
-        words = self.words
+        words = kept.words
         for piece, out in parts.items():
-            ids: list[int] = []
-            for w in out:
-                if isinstance(w, int):
-                    ids.append(w)
-                else:
-                    ids += words[w]
-            self.pieces[piece] = len(self.start)
-            self.start.append(len(self.flat))
-            self.count.append(len(ids))
-            self.flat.extend(ids)
+            if len(out) == 1 and not isinstance(out[0], int):
+                kept.add(kept.pieces, piece, words[out[0]])         # one word: it shares the word's tokens
+            else:
+                ids = array("i")
+                for w in out:
+                    if isinstance(w, int):
+                        ids.append(w)
+                    else:
+                        ids.extend(kept.tokens(words[w]))
+                kept.add(kept.pieces, piece, ids)
 
     def cut(self, text: str) -> list[str]:
         return [x for x in _WHITE_RUN.split(text) if x] if _OTHER_SPACE.search(text) else text.split()
@@ -262,14 +291,15 @@ class Bpe:
         """Tokens of all texts (None: empty) in one array, and where each text
         begins and ends in it."""
         cut = [self.cut(t or "") for t in texts]
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-            self.flat, self.start, self.count = array("i"), array("q"), array("i")
-        known = self.pieces
+        if self.kept.held > KEPT_BYTES // 2:         # what is still in use comes over from the earlier half
+            self.earlier, self.kept = self.kept, Kept()
+        if len(self.pair_ok) > PAIRS_KEPT:
+            self.pair_ok.clear()
+        known, kept = self.kept.pieces, self.kept
         self.learn_pieces(set().union(*cut) - known.keys())
         number = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.int64,
                              count=sum(map(len, cut)))
-        count = np.frombuffer(self.count, dtype=np.int32)[number] if len(number) else np.zeros(0, dtype=np.int32)
+        count = np.frombuffer(kept.count, dtype=np.int32)[number] if len(number) else np.zeros(0, dtype=np.int32)
         ends = np.cumsum(count, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         bounds = np.concatenate([[0], np.cumsum([len(ps) for ps in cut], dtype=np.int64)])
@@ -277,8 +307,8 @@ class Bpe:
         if not total:
             return np.zeros(0, dtype=np.int32), offsets
         # token k of a piece lies k places after the piece's start
-        begin = np.frombuffer(self.start, dtype=np.int64)[number] - (ends - count)
-        return np.frombuffer(self.flat, dtype=np.int32)[np.repeat(begin, count) + np.arange(total)], offsets
+        begin = np.frombuffer(kept.start, dtype=np.int32)[number] - (ends - count)
+        return np.frombuffer(kept.flat, dtype=np.int32)[np.repeat(begin, count) + np.arange(total)], offsets
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Token ids of every text (None: empty)."""
@@ -324,6 +354,7 @@ def _encode(path: str | None):
                 values, offsets = model.encode_flat(part.column("text").to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), ids], schema=_IDS)
+        give_back()
     return run
 
 
@@ -348,6 +379,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     NULL, empty and blank texts have no tokens. Repeated rows stay repeated, NULL
     ids stay. Other columns are not read. An empty table gives no rows. The
     strings of special tokens in a text become those tokens, as in the library.
+    Texts and words of any length are encoded whole.
     ``path`` is the tokenizer file on the workers (default: the installed
     public file).
     """

@@ -45,8 +45,8 @@ def test_both_merging_loops_agree(word):
 
 
 def test_full_caches_are_emptied_without_harm(monkeypatch, documents):
-    monkeypatch.setattr(B, "PIECES_KEPT", 50)
-    monkeypatch.setattr(B, "WORDS_KEPT", 50)
+    monkeypatch.setattr(B, "KEPT_BYTES", 20_000)
+    monkeypatch.setattr(B, "PAIRS_KEPT", 50)
     model = B.Bpe(PATH)
     for r in documents.limit(20).collect():
         assert model.encode_batch([r.text])[0] == expected(r.text)[0]
