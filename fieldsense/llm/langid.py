@@ -245,9 +245,9 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
     cyclic votes can score lower and go."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def accepted(text):
-        langs, scores = predict_texts(model, text.tolist())
-        return text.__class__([a != UNKNOWN and s >= min_score for a, s in zip(langs, scores)], index=text.index)
+    @F.arrow_udf("boolean")
+    def accepted(text: pa.Array) -> pa.Array:
+        langs, scores = predict_texts(model, text.to_pylist())
+        return pa.array([a != UNKNOWN and s >= min_score for a, s in zip(langs, scores)], pa.bool_())
 
     return docs.where(accepted(F.coalesce(F.col("text"), F.lit(""))))

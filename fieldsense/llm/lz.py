@@ -181,14 +181,14 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     cuts, lo = cut_points(rows.select("doc_id"), ranges)
     last = len(cuts)
 
-    @F.pandas_udf("bigint")
-    def placed(ids):
+    @F.arrow_udf("bigint")
+    def placed(ids: pa.Array) -> pa.Array:
         """Twice the range of an id, plus one when the id begins it."""
         want = np.asarray(cuts, dtype=np.int64)
-        x = ids.to_numpy(dtype=np.int64, na_value=0)
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
         at = np.searchsorted(want, x, side="right")
         begins = (at > 0) & (np.append(want, 0)[at - 1] == x)
-        return ids.__class__(2 * at + begins, index=ids.index)
+        return pa.array(2 * at + begins, pa.int64())
 
     own = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(ranges))).otherwise(
         F.shiftright("place", 1))

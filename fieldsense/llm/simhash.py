@@ -283,8 +283,8 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS,
     d = rows.join(first, "root").select("doc_id", F.col("fp").alias("key"), "n", (
         F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("kept"))
 
-    @F.pandas_udf("bigint")
-    def fp_of(text):
-        return text.map(lambda t: signed(simhash(t, width)))
+    @F.arrow_udf("bigint")
+    def fp_of(text: pa.Array) -> pa.Array:
+        return pa.array([signed(simhash(t, width)) for t in text.to_pylist()], pa.int64())
 
     return keep_rows(docs, saved(d), lambda r: r.withColumn("_key", fp_of("text")))
