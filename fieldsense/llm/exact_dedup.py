@@ -192,7 +192,7 @@ def _compare_rows(piece_bytes: int):
             for want, fp, n, text in zip(*(b.column(c).to_pylist() for c in ("sha", "fp", "n_bytes", "text"))):
                 data = normalise(text)
                 if len(data) != n or hashlib.sha256(data).digest() != want:
-                    continue                       # another text under the same id
+                    raise ValueError("a text was joined with another text's hash")
                 for lo in range(0, len(data), piece_bytes * 64):
                     part = range(lo, min(lo + piece_bytes * 64, len(data)), piece_bytes)
                     k = len(part)
@@ -205,11 +205,16 @@ def _compare_rows(piece_bytes: int):
 
 def collided(docs: DataFrame, entries: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Fingerprints ``fp, n_bytes`` that stand for different texts, found by
-    comparing the documents of equal fingerprint piece by piece."""
+    comparing the documents of equal fingerprint piece by piece.
+
+    A row meets its own member by id and SHA-256 of its normalised text, so rows
+    that share an id, or have none, meet one member each.
+    """
     shared = (entries.groupBy("fp", "n_bytes").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     members = (entries.join(shared, ["fp", "n_bytes"])
                .select(F.col("doc_id").alias("_id"), "sha", "fp", "n_bytes"))
-    texts = (id_text(docs).join(members, F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = (text_key(id_text(docs)).join(members, F.col("doc_id").eqNullSafe(F.col("_id"))
+                                          & (F.col("_key") == F.col("sha")))
              .select("sha", "fp", "n_bytes", "text"))
     pieces = texts.mapInArrow(_compare_rows(piece_bytes), "fp bigint, n_bytes bigint, idx bigint, piece binary")
     return (pieces.groupBy("fp", "n_bytes", "idx", "piece").agg(F.count(F.lit(1)).alias("c"))
@@ -242,7 +247,8 @@ def exact_dedup(docs: DataFrame, huge_bytes: int = HUGE_BYTES, poly_args: tuple
     the empty text; empty texts are equal to each other. A NULL id is larger
     than every id (a group of NULL ids only has ``keep_id`` NULL). Of rows
     with equal id and equal text exactly one is ``kept``. Other columns of the
-    input are not read. An empty table gives no rows.
+    input are not read. An empty table gives no rows. Texts above ``HUGE_BYTES``
+    are hashed piece by piece in several tasks and compared like all others.
     """
     g = exact_groups(docs, huge_bytes, poly_args)
     return (g.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("_k"))

@@ -85,3 +85,11 @@ def test_stage_keeps_one_row_a_group_with_all_columns(docs_of, clashing):
 
 def test_query_and_sql(spark, in_duckdb, same_rows):
     same_rows(QUERIES["op1_exact_dedup"](spark, "/root/testdata/sf0.001").collect(), in_duckdb(ORACLE_SQL["op1_exact_dedup"]))
+
+
+def test_rows_without_id_do_not_meet_in_pairs(docs_of, same_rows):
+    """Every text once with an id and once without: each row meets its own member only."""
+    rows = [(i if k else None, f"text number {i}") for i in range(3000) for k in (0, 1)]
+    same_rows(exact_dedup(docs_of(rows)).drop("fp", "n_bytes").collect(), brute(rows))
+    shared = [(7, f"text number {i // 2}") for i in range(3000)]
+    same_rows(exact_dedup(docs_of(shared)).drop("fp", "n_bytes").collect(), brute(shared))
