@@ -5,9 +5,11 @@ hashes (XXH64, seed 42, of ``width`` lower-cased words) have it set. Distinct
 fingerprints that differ in at most ``radius`` bits are linked and the
 components of the links are the groups.
 
-Candidates: the 64 bits are cut into ``radius + 2`` blocks, of which two
-fingerprints within the radius share at least two, so each fingerprint enters
-one bucket per pair of blocks. A bucket above ``split`` fingerprints is dealt
+Candidates: the 64 bits are cut into blocks, of which two fingerprints within
+the radius share all but ``radius``, so each fingerprint enters one bucket for
+every choice of that many blocks. The more fingerprints there are, the more blocks
+(``blocks_for``), hence the longer the shared key: the fingerprints that meet in a
+bucket by chance stay few at any size. A bucket above ``split`` fingerprints is dealt
 into parts, and every pair of parts is a unit of its own; no bucket meets in
 one task and no candidate is left out. Inside a unit the fingerprints stand as
 bit planes (plane p holds bit p of 64 fingerprints per word). One fingerprint
@@ -33,6 +35,8 @@ WIDTH = 4
 RADIUS = 4
 SEED = 42
 SPLIT = 4096
+CHANCE = 8                      # fingerprints that share a bucket's key by chance
+MOST_BLOCKS = 9                 # 126 buckets a fingerprint, keys of 35 bits
 SHINGLES_AT_ONCE = 1 << 15
 ABANDON_EVERY = 8
 ROWS_AT_ONCE = 1 << 16          # candidate rows a task gathers before comparing whole units
@@ -82,12 +86,21 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return id_text(docs).mapInArrow(_fingerprint_rows(width), "doc_id bigint, fp bigint")
 
 
-def block_masks(radius: int) -> list[tuple[int, int]]:
-    """For each pair of the ``radius + 2`` blocks: (number, mask)."""
-    n = radius + 2
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks for ``n`` fingerprints: the fewest (two more than the radius at
+    least) with which at most ``CHANCE`` random ones share a key."""
+    blocks = radius + 2
+    while blocks < MOST_BLOCKS and n > CHANCE << (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def block_masks(radius: int, blocks: int | None = None) -> list[tuple[int, int]]:
+    """For each choice of ``blocks - radius`` of the blocks: (number, mask)."""
+    n = blocks or radius + 2
     cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
-    return [(t, blocks[i] | blocks[j]) for t, (i, j) in enumerate(combinations(range(n), 2))]
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:])]
+    return [(t, sum(masks[i] for i in pick)) for t, pick in enumerate(combinations(range(n), n - radius))]
 
 
 class Forest:
@@ -196,10 +209,11 @@ def _link_rows(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT, blocks: int | None = None) -> DataFrame:
     """``a, b``: links that connect all fingerprints of ``nodes`` (distinct
     ``fp``) within the radius, as spanning forests of the candidate units."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in block_masks(radius)])
+    masks = block_masks(radius, blocks or blocks_for(nodes.count(), radius))
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in masks])
     cand = nodes.select("fp", F.explode(keys).alias("bucket"))
     sizes = cand.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(split)).cast("int")
@@ -220,16 +234,15 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are linked to its smallest neighbour, then its smaller ones
     are. Each step is one aggregate and one join (a hot node's edges may be
     split by the join); the edges are saved after each round, so lineage stays
-    short and a lost executor costs one round at most.
+    short and a lost executor costs one round at most. The end is reached when a
+    round's edges are the very edges of the round before.
     """
     e = saved(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
               .where("hi > lo").distinct())
 
-    def mark(d):
-        return d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo") % 1000003)).first()
-
-    seen = mark(e)
-    while seen[0]:
+    n = e.count()
+    while n:
+        before, n_before = e, n
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -238,10 +251,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "hi")
         e = saved(small.select(F.greatest("lo", "m").alias("hi"), F.least("lo", "m").alias("lo")).where("hi > lo")
                   .unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct())
-        now = mark(e)
-        if now == seen:
+        n = e.count()
+        # both are sets: of one size and without a new edge they are the same
+        if n == n_before and e.join(before, ["hi", "lo"], "left_anti").isEmpty():
             break
-        seen = now
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
@@ -254,7 +267,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, split
     texts of white space only, have fingerprint 0 and are linked like any
     other. NULL ids are larger than any id (a group of NULL ids only has
     component NULL). Repeated rows are one group. Other columns are not read.
-    An empty table gives no rows.
+    An empty table gives no rows. Texts of any length are read whole, their
+    shingles hashed ``SHINGLES_AT_ONCE`` at a time.
     """
     bounded_batches(docs.sparkSession)
     fps = saved(fingerprints(docs, width))

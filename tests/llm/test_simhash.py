@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from fieldsense.llm.simhash import (Forest, close_links, components, drop_near_copies, links, near_groups, signed, simhash,
-                                    simhash_near_dedup)
+from fieldsense.llm.simhash import (Forest, block_masks, blocks_for, close_links, components, drop_near_copies, links,
+                                    near_groups, signed, simhash, simhash_near_dedup)
 
 
 def slow_simhash(text, width=4):
@@ -87,12 +87,12 @@ def test_bit_sliced_comparison(n, radius):
     assert (root == want.parent).all()
 
 
-@pytest.mark.parametrize("split", [2, 7, 4096])
-def test_links_join_everything_within_the_radius(spark, split):
-    """Also when every bucket is dealt into parts."""
+@pytest.mark.parametrize("split,blocks", [(2, None), (7, None), (4096, None), (3, 7), (4096, 8), (2, 9)])
+def test_links_join_everything_within_the_radius(spark, split, blocks):
+    """Also when every bucket is dealt into parts, and with any number of blocks."""
     fps = np.unique(near_and_far(300, 9))
     nodes = spark.createDataFrame([(signed(int(x)),) for x in fps], "fp bigint").repartition(4)
-    comp = {r.node: r.root for r in components(links(nodes, 4, split)).collect()}
+    comp = {r.node: r.root for r in components(links(nodes, 4, split, blocks)).collect()}
     f = Forest(len(fps))
     for i, j in combinations(range(len(fps)), 2):
         if bin(int(fps[i] ^ fps[j])).count("1") <= 4:
@@ -128,3 +128,22 @@ def test_stage_keeps_the_first_of_each_group(docs_of, clashing, rows):
 def test_empty_table(docs_of):
     assert simhash_near_dedup(docs_of([])).collect() == []
     assert drop_near_copies(docs_of([])).collect() == []
+
+
+def test_blocks_grow_with_the_fingerprints():
+    from math import comb
+    assert [blocks_for(n) for n in (0, 1, 8 << 21, (8 << 21) + 1, 8 << 27, (8 << 27) + 1, 10**12)] == [6, 6, 6, 7, 7, 8, 9]
+    for blocks in (6, 7, 8, 9):
+        masks = [m for _, m in block_masks(4, blocks)]
+        assert len(set(masks)) == comb(blocks, 4) and all(
+            bin(m).count("1") >= 64 * (blocks - 4) // blocks - 1 for m in masks)
+        # whatever four bits differ, some choice of blocks is left alone
+        for bits in ((0, 1, 2, 3), (0, 20, 40, 63), (7, 8, 31, 32), (5, 15, 25, 35)):
+            assert any(not m & sum(1 << b for b in bits) for m in masks)
+
+
+def test_components_of_a_star_and_a_chain_end_exactly(spark):
+    star = [(0, i) for i in range(1, 400)]
+    chain = [(1000 + i, 1001 + i) for i in range(130)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(star + chain, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {i: 1000 for i in range(1001, 1131)}
