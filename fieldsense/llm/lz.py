@@ -29,6 +29,7 @@ BINS = 128
 EMPTY = 0xFFFF                     # mark of a bin no phrase fell into
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 20
+RANGE_BYTES = 128 << 20            # text that a range holds at most, documents larger than it apart
 
 
 def parse(text: str, known: set, start: int = 0) -> list[int]:
@@ -172,12 +173,17 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     follow each other in the order of their texts. A row without id has no
     next document: its second half is dropped and ``near_next`` is NULL. A
     single row is its own successor. Other columns are not read. An empty
-    table gives no rows.
+    table gives no rows. Texts of any length are parsed whole.
+
+    ``ranges`` is by default four times the shuffle partitions and more where the
+    texts are too large for that (``RANGE_BYTES``).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = id_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     cuts, lo = cut_points(rows.select("doc_id"), ranges)
     last = len(cuts)
 
