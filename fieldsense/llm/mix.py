@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldsense.llm.common import packed
+from fieldsense.llm.common import packed, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -72,7 +72,8 @@ def systematic_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_r
     Every run takes the same copies. NULL text has size 0, an empty text too;
     rows of size 0 take part with copies but no words. NULL sources form one
     source, the last. Rows without id come last in their bucket; rows equal in
-    id, source and size are alike. An empty table gives no rows.
+    id, source and size are alike. An empty table gives no rows. A text's length
+    only makes its size.
     """
     rows = packed(docs, F.col("doc_id"), F.col("source"), words(F.col("text")).alias("_size"))
     bits = F.when(F.col("_size") > 0, F.length(F.bin(F.col("_size")))).otherwise(F.lit(0))
@@ -85,7 +86,8 @@ def systematic_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_r
              .withColumn("_src", F.struct(F.col("source").isNull().alias("none"),
                                           F.coalesce(F.col("source"), F.lit("")).alias("name"))))
     key = ["_src", "_class", "_bucket"]
-    counts = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s"))
+    # saved, so the texts are read once for the counts and once for the copies
+    counts = saved(sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("s")))
     in_class = Window.partitionBy("_src", "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.withColumn("_before", F.coalesce(F.sum("n").over(in_class), F.lit(0)))
     classes = counts.groupBy("_src", "_class").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
