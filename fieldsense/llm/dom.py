@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -44,47 +45,39 @@ _KIND = {"#text": 0, "p": 1, "div": 2, "section": 3, "article": 4, "main": 5, "u
          "li": 8, "dt": 8, "dd": 8, "nav": 9, "header": 10, "hgroup": 10, "footer": 11, "aside": 12, "form": 13,
          "fieldset": 13, "search": 13, "table": 14, "thead": 14, "tbody": 14, "tfoot": 14, "tr": 14, "td": 14,
          "th": 14, "blockquote": 15, "pre": 15, "figure": 15, "figcaption": 15} | {f"h{i}": 6 for i in range(1, 7)}
-# fixed values: words of class, id and role attributes by what they speak of
-GROUPS = {
-    "article": "article content entry post story body main text prose paragraph hentry",
-    "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc sitemap links skip",
-    "head": "header head masthead topbar banner logo branding hero",
-    "foot": "footer foot bottom copyright colophon legal credits",
-    "side": "sidebar side aside rail widget widgets related recommended popular trending teaser",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion commercial",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay paywall toast privacy dialog",
-    "comment": "comment comments discussion disqus reply replies respond thread reviews",
-    "social": "share sharing social follow tweet facebook newsletter subscribe signup",
-    "form": "form search login signin contact input field poll survey",
-}
-_GROUP = {w: i for i, words in enumerate(GROUPS.values()) for w in words.split()}
+BUCKETS = 1 << 20                  # attribute words are known by a hash modulo this
+
+
+def bucket(word: str) -> int:
+    """The number of a word of a class, id or role attribute."""
+    return zlib.crc32(word.lower().encode()) % BUCKETS
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "text", "link", "groups", "at", "label", "depth")
+    __slots__ = ("tag", "parent", "children", "text", "link", "words", "at", "label", "depth")
 
-    def __init__(self, tag, parent, at, groups=(), label=False):
-        self.tag, self.parent, self.at, self.groups, self.label = tag, parent, at, groups, label
+    def __init__(self, tag, parent, at, words=(), label=False):
+        self.tag, self.parent, self.at, self.words, self.label = tag, parent, at, words, label
         self.depth = parent.depth + 1 if parent else 0
         self.children: list = []        # nodes and, while reading, pieces of text and None for a rule
         self.text, self.link = "", 0
 
 
 def attributes(raw: str) -> tuple[tuple[int, ...], bool, bool]:
-    """Groups of the attribute words, whether the element is hidden, and the
+    """Buckets of the attribute words, whether the element is hidden, and the
     training mark."""
-    groups, hidden, label = [], False, False
+    words, hidden, label = [], False, False
     for name, a, b, c in ATTR.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "aria-label", "itemprop"):
-            groups += [g for w in TOKEN.findall(value) if (g := _GROUP.get(w.lower())) is not None]
+            words += [bucket(w) for w in TOKEN.findall(value)]
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         elif name == "data-main":
             label = True
-    return tuple(dict.fromkeys(groups)), hidden, label
+    return tuple(dict.fromkeys(words)), hidden, label
 
 
 class Tags:
@@ -290,8 +283,8 @@ def read(page: str) -> list[Node]:
         if tag == "hr":
             here.children.append(None)           # ends the run of text, makes no node
             continue
-        groups, hides, label = attributes(raw)
-        new = Node(tag, here, start, groups, label)
+        words, hides, label = attributes(raw)
+        new = Node(tag, here, start, words, label)
         here.children.append(new)
         here, n_open[tag] = new, n_open.get(tag, 0) + 1
         if hides and hidden_node is None:
@@ -345,17 +338,18 @@ def settle(root: Node) -> list[Node]:
 
 NUMBERS = ("depth", "n_siblings", "place", "page_place", "len", "words", "link_share", "page_share", "parent_share",
            "children", "leaf_mean", "stops", "longest_leaf", "same_tag", "sibling_mean", "to_sibling_mean",
-           "parent_kind", "link_children", "link_siblings")
-FEATURES = NUMBERS + tuple([f"kind_{k}" for k in KINDS] + [f"above_kind_{k}" for k in KINDS]
-                           + [f"own_{g}" for g in GROUPS] + [f"above_{g}" for g in GROUPS])
+           "parent_kind", "link_children", "link_siblings", "before_kind", "after_kind", "before_link_share", "headed",
+           "headed_above", "sibling_place_from_end")
+FEATURES = NUMBERS + tuple([f"kind_{k}" for k in KINDS] + [f"above_kind_{k}" for k in KINDS])
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row of numbers per node: density of its subtree, place, siblings,
-    attribute words of the node and of its ancestors."""
-    n = len(nodes)
+def features(nodes: list[Node], known: dict[int, int]) -> np.ndarray:
+    """One row of numbers per node: density of its subtree, place, siblings, and
+    for each of the ``known`` attribute words (bucket: place from 0) whether the node
+    has it and whether one of its ancestors has."""
+    n, width = len(nodes), len(known)
     if not n:
-        return np.zeros((0, len(FEATURES)), dtype=np.float32)
+        return np.zeros((0, len(FEATURES) + 2 * width), dtype=np.float32)
     index = {id(x): i for i, x in enumerate(nodes)}
     size, words, link, leaves, stops, longest = ([0] * n for _ in range(6))
     for i in range(n - 1, -1, -1):
@@ -371,9 +365,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     total, end = max(1, size[0]), max(1, nodes[-1].at)
     last = len(KINDS) - 1
     kind = [_KIND.get(x.tag, last) for x in nodes]
-    own = [sum(1 << g for g in x.groups) for x in nodes]
+    own = [sum(1 << known[w] for w in x.words if w in known) for x in nodes]
     above, above_kind = [0] * n, [0] * n
-    beside = [(1, 0.0, 1.0, 1, 0.0, 0, 0.0)] * n      # what a node has from its parent and siblings
+    beside = [(1, 0.0, 1.0, 1, 0.0, 0, 0.0, 0, 0, -1, -1, 0.0)] * n      # what a node has from its parent and siblings
+    headed = [0] * n                     # whether a node stands right behind a heading
+    heading = _KIND["h1"]
     rows = []
     for i, x in enumerate(nodes):
         kids = [index[id(c)] for c in x.children]
@@ -386,16 +382,24 @@ def features(nodes: list[Node]) -> np.ndarray:
                 linked += link[k] * 2 > max(1, size[k])
             linked /= len(kids)
             for place, k in enumerate(kids):
+                left, right = kids[place - 1] if place else -1, kids[place + 1] if place + 1 < len(kids) else -1
+                headed[k] = int(left >= 0 and kind[left] == heading)
                 beside[k] = (len(kids), place / max(1, len(kids) - 1), size[k] / s, tags[nodes[k].tag], mean, kind[i],
-                             linked)
+                             linked, headed[k], max(headed[i], beside[i][8]), kind[left] if left >= 0 else -1,
+                             kind[right] if right >= 0 else -1,
+                             link[left] / max(1, size[left]) if left >= 0 else 0.0)
                 above[k] = above[i] | own[i]
                 above_kind[k] = above_kind[i] | 1 << kind[i]
-        sib, place, share, same, mean, parent_kind, link_sib = beside[i]
+        sib, place, share, same, mean, parent_kind, link_sib, behind, above_behind, before, after, before_link = beside[i]
         rows.append((x.depth, sib, place, x.at / end, size[i], words[i], link[i] / s, size[i] / total, share, len(kids),
                      size[i] / max(1, leaves[i]), stops[i] / max(1, words[i]), longest[i], same, mean,
-                     (1 + size[i]) / (1 + mean), parent_kind, linked, link_sib))
+                     (1 + size[i]) / (1 + mean), parent_kind, linked, link_sib, before, after, before_link, behind,
+                     above_behind, round((sib - 1) * (1 - place))))
+
     def bits(masks, width):
-        return (np.array(masks)[:, None] >> np.arange(width)) & 1
+        size = -(-width // 8)
+        cells = np.frombuffer(b"".join(m.to_bytes(size, "little") for m in masks), dtype=np.uint8).reshape(n, size)
+        return np.unpackbits(cells, axis=1, count=width, bitorder="little")
 
-    return np.hstack([np.array(rows), np.eye(len(KINDS))[kind], bits(above_kind, len(KINDS)), bits(own, len(GROUPS)),
-                      bits(above, len(GROUPS))]).astype(np.float32)
+    return np.hstack([np.array(rows, dtype=np.float32), np.eye(len(KINDS), dtype=np.float32)[kind],
+                      bits(above_kind, len(KINDS)), bits(own, width), bits(above, width)]).astype(np.float32)

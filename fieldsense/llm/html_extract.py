@@ -1,7 +1,7 @@
 """Main-text extraction from HTML with boosted trees over DOM nodes.
 
 Every block of a page is a node with features of its subtree (text and link
-density), its attribute words, its depth and its siblings. Gradient-boosted
+density), its hashed attribute words, its depth and its siblings. Gradient-boosted
 trees give the log odds that a node holds main text. The decision for a page
 is the most likely labelling in which no node is main text below a node that
 is not: best scores for keeping and for dropping every subtree are summed from
@@ -24,19 +24,37 @@ from pyspark.sql import functions as F
 
 from fieldsense.llm.boost import BoostedTrees
 from fieldsense.llm.common import bounded_batches
-from fieldsense.llm.dom import Node, features, read
+from fieldsense.llm.dom import TOKEN, Node, bucket, features, read
 
 TRAIN_PAGES = 1000
 SEED = 11
 NODES_AT_ONCE = 20_000
 
 
+# fixed values: words that class, id and role attributes of the training pages are made of
+ATTRIBUTE_WORDS = {
+    "article": "article content entry post story body main text prose paragraph hentry",
+    "nav": "nav navigation navbar menu breadcrumb breadcrumbs pagination pager toc sitemap links skip",
+    "header": "header head masthead topbar banner logo branding hero",
+    "footer": "footer foot bottom copyright colophon legal credits",
+    "side": "sidebar side aside rail widget widgets related recommended popular trending teaser",
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion commercial",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay paywall toast privacy dialog",
+    "comment": "comment comments discussion disqus reply replies respond thread reviews",
+    "social": "share sharing social follow tweet facebook newsletter subscribe signup",
+    "form": "form search login signin contact input field poll survey",
+    "title": "entry-header article-header post-header page-title story-head title headline entry-title",
+    "references": "references reference-list footnotes sources bibliography citations notes further-reading",
+    "plain": "container wrapper page layout row site root inner clearfix col box js",
+}
+
+
 # ------------------------------------------------------------- training pages
 class PageWriter:
     """Pages with known main text: blocks of the article carry ``data-main``."""
 
     def __init__(self, rng: random.Random):
-        self.r = rng
+        self.r, self.inside = rng, False
         self.words = ["".join(rng.choice(("ka", "lo", "mi", "ter", "an", "re", "su", "end", "o", "vi")) for _ in
                               range(rng.randint(1, 4))) for _ in range(200)]
 
@@ -56,29 +74,38 @@ class PageWriter:
         return self.r.choice((" ", " ", " | ")).join(out)
 
     def attr(self, *words: str) -> str:
-        """class or id with one of the words, sometimes none or neutral ones."""
-        if self.r.random() < 0.12:
+        """class or id with one of the words, sometimes none or neutral ones. Inside
+        an article what is not of it always says so."""
+        if not self.inside and self.r.random() < 0.12:
             return ""
         w = self.r.choice(words)
         extra = self.r.choice(("", "", " clearfix", " col-" + str(self.r.randint(1, 12)), "-wrapper", " js-x", "_box"))
         return f' {self.r.choice(("class", "class", "id"))}="{w}{extra}"'
 
+    def attr_of(self, kind: str) -> str:
+        """class or id with one or two of the words of a kind, or none."""
+        words = ATTRIBUTE_WORDS[kind].split()
+        w = self.r.choice(words)
+        if self.r.random() < 0.25:
+            w += self.r.choice(("-", " ", "_")) + self.r.choice(words)
+        return self.attr(w)
+
     def links(self, n: int, sep: str = "") -> str:
         return sep.join(f'<li><a href="/{self.r.choice(self.words)}">{self.some(1, 4)}</a></li>' for _ in range(n))
 
     def close(self, tag: str) -> str:
-        return "" if tag in ("p", "li") and self.r.random() < 0.25 else f"</{tag}>"
+        return "" if tag in ("p", "li", "dt", "dd") and self.r.random() < 0.25 else f"</{tag}>"
 
     def junk(self, kind: str) -> str:
         r = self.r
         if kind == "nav":
             t = r.choice(("nav", "nav", "div", "ul"))
             body = self.links(r.randint(2, 12))
-            return f"<{t}{self.attr('nav', 'menu', 'navbar', 'breadcrumb', 'main-menu')}>" + (
+            return f"<{t}{self.attr_of('nav')}>" + (
                 body if t == "ul" else f"<ul>{body}</ul>") + f"</{t}>"
         if kind == "header":
             t = r.choice(("header", "header", "div"))
-            a = self.attr("header", "masthead", "site-header", "branding", "banner")
+            a = self.attr_of('header')
             inner = r.choice((f"<h1>{self.some(1, 4)}</h1>", f"<p>{self.some(2, 9)}</p>", f"<div>{self.some(1, 5)}</div>"))
             return f"<{t}{a}>{inner}{self.junk('nav') if r.random() < .4 else ''}</{t}>"
         if kind == "footer":
@@ -86,31 +113,31 @@ class PageWriter:
             inner = r.choice((f"&copy; {self.some(1, 3)} &middot; {self.sentence()}", f"<p>&copy; 2024 {self.sentence()}</p>",
                               f"<ul>{self.links(r.randint(2, 6))}</ul><p>{self.sentence()}</p>",
                               f"<p>{self.prose(1, 3)}</p><div>{self.some(2, 6)}</div>"))
-            return f"<{t}{self.attr('footer', 'site-footer', 'bottom', 'legal', 'copyright')}>{inner}</{t}>"
+            return f"<{t}{self.attr_of('footer')}>{inner}</{t}>"
         if kind == "side":
             t = r.choice(("aside", "aside", "div", "section"))
             inner = r.choice((f"<h3>{self.some(1, 3)}</h3><ul>{self.links(r.randint(2, 8))}</ul>",
                               f"<h3>{self.some(1, 3)}</h3><p>{self.prose(1, 3)}</p>", f"<p>{self.prose(1, 4)}</p>",
                               f"<div>{self.sentence()}</div><div>{self.sentence()}</div>"))
-            return f"<{t}{self.attr('sidebar', 'widget', 'related', 'side', 'recommended', 'popular')}>{inner}</{t}>"
+            return f"<{t}{self.attr_of('side')}>{inner}</{t}>"
         if kind == "ad":
             t = r.choice(("div", "div", "div", "aside", "section", "p"))
             inner = r.choice((self.sentence(), self.prose(1, 3), f'<a href="/b">{self.sentence()}</a>'))
             inner = inner if t == "p" or r.random() < .6 else f"<p>{inner}</p>"
             return f"<!-- ad --><{t} {r.choice(('class', 'id'))}=\"" + r.choice(
-                ("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "advertisement", "ad-banner")) + f"\">{inner}</{t}>"
+                ("ad", "ads", "ad-slot", "ad-banner", *ATTRIBUTE_WORDS["ad"].split())) + f"\">{inner}</{t}>"
         if kind == "notice":
             t = r.choice(("div", "div", "section", "aside", "dialog"))
-            a = f' class="{r.choice(("cookie-notice", "cookie-banner", "consent", "notice", "alert", "gdpr", "popup", "modal"))}"'
+            a = f' class="{r.choice(("cookie-notice", "cookie-banner", *ATTRIBUTE_WORDS["notice"].split()))}"'
             inner = r.choice((self.prose(1, 3), f"<p>{self.prose(1, 3)}</p>", f"<p>{self.sentence()}</p><button>ok</button>"))
             return f"<{t}{a}>{inner}</{t}>"
         if kind == "form":
             inner = f"<label>{self.some(1, 3)}</label><input name=q><button>{self.some(1, 2)}</button>"
             if r.random() < .5:
                 inner = f"<p>{self.sentence()}</p>" + inner
-            return f"<form{self.attr('search', 'newsletter', 'subscribe', 'login', 'contact-form')}>{inner}</form>"
+            return f"<form{self.attr_of('form')}>{inner}</form>"
         if kind == "social":
-            return (f"<{'div'}{self.attr('share', 'social', 'follow-us', 'newsletter')}>" + r.choice(
+            return (f"<{'div'}{self.attr_of('social')}>" + r.choice(
                 (f"<ul>{self.links(r.randint(2, 6))}</ul>", self.some(1, 5), f"<p>{self.sentence()}</p>")) + "</div>")
         # reader comments
         t = r.choice(("section", "div", "div", "ol"))
@@ -120,7 +147,35 @@ class PageWriter:
             if item in ("p", "li") else (f"<p>{self.prose(1, 4)}</p>", f"<h4>{self.some(1, 2)}</h4><p>{self.prose(1, 3)}</p>"))
             + f"</{item}>" for _ in range(r.randint(1, 6)))
         head = f"<h3>{self.some(1, 2)}</h3>" if r.random() < .5 and t != "ol" else ""
-        return f"<{t} {r.choice(('class', 'id'))}=\"{r.choice(('comments', 'comment-list', 'discussion', 'responses replies'))}\">{head}{items}</{t}>"
+        word = r.choice(("comments", "comment-list", "responses replies", *ATTRIBUTE_WORDS["comment"].split()))
+        return f"<{t} {r.choice(('class', 'id'))}=\"{word}\">{head}{items}</{t}>"
+
+    def titled(self, title: str) -> str:
+        """The article's title, sometimes in a header of its own with a line below it."""
+        r, m = self.r, " data-main"
+        if r.random() < .55:
+            return title
+        line = r.choice(("", "", f"<p{m}>{self.sentence()}</p>", f"<p{m}>{self.some(2, 6)}</p>"))
+        t = r.choice(("header", "header", "div", "hgroup"))
+        return f"<{t}{self.attr_of('title') if t == 'div' or r.random() < .5 else ''}>{title}{line}</{t}>"
+
+    def references(self) -> str:
+        """A headed list at the end of the article whose entries are links in whole or in part."""
+        r, m = self.r, " data-main"
+        t, h = r.choice(("ol", "ul")), r.randint(2, 4)
+        whole = r.random() < .5
+        entries = "".join(f"<li{m}>" + (f'<a href="/{r.choice(self.words)}">{self.some(1, 9)}</a>' if whole or r.random() < .3 else
+                                        f'{self.some(1, 6)}. <a href="/x">{self.some(1, 6)}</a>, {self.some(1, 3)}.')
+                          + self.close("li") for _ in range(r.randint(1, 8)))
+        body = f"<h{h}{m}>{self.some(1, 3)}</h{h}><{t}{self.attr_of('references') if r.random() < .4 else ''}>{entries}</{t}>"
+        return body if r.random() < .7 else f"<{r.choice(('section', 'div'))}{self.attr_of('references')}>{body}</section>"
+
+    def closing_links(self) -> str:
+        """A last paragraph that is mostly links."""
+        r, m = self.r, " data-main"
+        linked = [f'<a href="/{r.choice(self.words)}">{self.some(1, 5)}</a>' for _ in range(r.randint(1, 4))]
+        return f"<p{m}>" + r.choice(("", f"{self.some(1, 4)}: ", f"{self.some(2, 6)} ")) + r.choice(
+            (", ", " and ", " ")).join(linked) + r.choice((".", "", f" {self.sentence()}")) + self.close("p")
 
     def article(self) -> str:
         r, m = self.r, " data-main"
@@ -128,7 +183,7 @@ class PageWriter:
         brief = r.random() < .45                 # a few short sentences only
         title = self.some(1, 12)
         if r.random() < .8:
-            out.append(f"<h1{m}>{title}</h1>")
+            out.append(self.titled(f"<h1{m}>{title}</h1>"))
         if brief and r.random() < .5:            # the first block says the same as the title
             out.append(f"<p{m}>" + r.choice((f"{title}.</p>", f"{title}</p>", f"<b>{title}<br>", f"<b>{title}.<br>")))
         for _ in range(r.choice((0, 1, 1, 2) if brief and out else (1, 2, 3, 4, 6, 8, 12, 20))):
@@ -148,21 +203,34 @@ class PageWriter:
             elif k < .93:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td{m}>{self.some(1, 4)}</td>" for _ in range(3))
                                                + "</tr>" for _ in range(r.randint(2, 5))) + "</table>")
-            elif k < .95:
+            elif k < .945:
                 out.append(f"<p{m}><b>{self.sentence()}<br>")
-            elif k < .97:
+            elif k < .957:
+                out.append("<dl>" + "".join(f"<dt{m}>{self.some(1, 4)}{self.close('dt')}<dd{m}>{self.prose(1, 2)}"
+                                            f"{self.close('dd')}" for _ in range(r.randint(1, 6))) + "</dl>")
+            elif k < .965:
                 out.append(f"<pre{m}>{self.some(4, 20)}</pre>")
+            elif k < .98:
+                out.append(f"<figure><img src=i.png>{r.choice(('', f'<figcaption{m}>{self.sentence()}</figcaption>'))}</figure>")
             else:
                 out.append(f"<div{m}>{self.prose(1, 5)}</div>")
             if r.random() < (.25 if brief else .1):
+                self.inside = True
                 out.append(self.junk(r.choice(("ad", "ad", "side", "social", "form", "notice", "comment", "nav"))))
+                self.inside = False
+        if not brief and r.random() < .35:
+            out.append(self.references())
+        if not brief and r.random() < .15:
+            out.append(self.closing_links())
         body = "".join(out)
         if r.random() < .3:
-            body = f"<div{self.attr('content', 'entry-content', 'post-body', 'text', 'story', 'article-body')}>{body}</div>"
+            body = f"<div{self.attr_of('article')}>{body}</div>"
         if r.random() < .2:
+            self.inside = True
             body += self.junk(r.choice(("comment", "social", "side", "ad")))
+            self.inside = False
         t = r.choice(("article", "article", "article", "main", "div", "section"))
-        a = self.attr("article", "content", "post", "entry", "story", "main-content") if t in (
+        a = self.attr_of('article') if t in (
             "div", "section") or r.random() < .3 else ""
         body = f"<{t}{a}>{body}</{t}>"
         return f"<main>{body}</main>" if t != "main" and r.random() < .25 else body
@@ -187,6 +255,15 @@ class PageWriter:
             "</body></html>" if r.random() < .9 else "")
 
 
+def known_words() -> dict[int, int]:
+    """The buckets that the trees look at, each with its place."""
+    words = {w for kind in ATTRIBUTE_WORDS.values() for w in TOKEN.findall(kind)}
+    return {b: i for i, b in enumerate(sorted({bucket(w) for w in words}))}
+
+
+KNOWN = known_words()
+
+
 def training_set(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = random.Random(seed)
     xs, ys = [], []
@@ -197,7 +274,7 @@ def training_set(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray
             if n.label or any(id(c) in main for c in n.children) or (
                     n.tag == "#text" and n.parent is not None and n.parent.label):
                 main.add(id(n))
-        xs.append(features(nodes))
+        xs.append(features(nodes, KNOWN))
         ys += [float(id(n) in main) for n in nodes]
     return np.vstack(xs), np.array(ys)
 
@@ -205,7 +282,7 @@ def training_set(pages: int = TRAIN_PAGES, seed: int = SEED) -> tuple[np.ndarray
 @lru_cache(maxsize=1)
 def model() -> BoostedTrees:
     """The fitted trees (the same in every run)."""
-    return BoostedTrees().fit(*training_set())
+    return BoostedTrees(rounds=300, share=0.3).fit(*training_set())
 
 
 # ------------------------------------------------------------------ extraction
@@ -218,7 +295,6 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     keep = -np.logaddexp(0, -odds) * weight
     drop = -np.logaddexp(0, odds) * weight
     parent = [index.get(id(x.parent), -1) for x in nodes]
-    any_kept = np.zeros(n, dtype=bool)
     for i in range(n - 1, 0, -1):
         p = parent[i]
         if p < 0:
@@ -227,7 +303,6 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
         drop[p] += drop[i]
         if keep[i] > drop[i]:
             keep[p] += keep[i]
-            any_kept[p] = True
         else:
             keep[p] += drop[i]
     out = [False] * n
@@ -246,7 +321,7 @@ def main_texts(pages: list[str | None], trees: BoostedTrees) -> list[str]:
     def settle_up():
         rows = [p for p in read_pages if p]
         if rows:
-            odds = trees.log_odds(np.vstack([features(p) for p in rows]))
+            odds = trees.log_odds(np.vstack([features(p, KNOWN) for p in rows]))
         at = 0
         for p in read_pages:
             if not p:

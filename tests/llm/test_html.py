@@ -7,7 +7,7 @@ import pytest
 
 from fieldsense.llm import html_extract as H
 from fieldsense.llm.catalog import QUERIES
-from fieldsense.llm.dom import FEATURES, Tags, features, read
+from fieldsense.llm.dom import FEATURES, TOKEN, Tags, bucket, features, read
 
 ART = "<p>First part of the story, told at some length and with care.</p><p>Second part of it, longer still, and calm.</p>"
 
@@ -44,8 +44,56 @@ def test_deep_and_long_pages():
 
 
 def test_features_have_names():
-    nodes = read(f"<article>{ART}</article>")
-    assert features(nodes).shape == (len(nodes), len(FEATURES))
+    nodes = read(f"<article class='entry unheard-of'>{ART}</article>")
+    x = features(nodes, H.KNOWN)
+    assert x.shape == (len(nodes), len(FEATURES) + 2 * len(H.KNOWN))
+    # the words of the article stand at it, and above its paragraphs; an unknown word leaves no mark
+    own, above = x[:, len(FEATURES):len(FEATURES) + len(H.KNOWN)], x[:, len(FEATURES) + len(H.KNOWN):]
+    entry = H.KNOWN[bucket("Entry")]
+    assert [n.tag for n, v in zip(nodes, own[:, entry]) if v] == ["article"] and own.sum() == 1
+    assert above[:, entry].sum() == sum(n.tag in ("p", "#text") for n in nodes)
+
+
+def test_attribute_words_have_buckets_of_their_own():
+    words = {w for kind in H.ATTRIBUTE_WORDS.values() for w in TOKEN.findall(kind)}
+    assert len(H.KNOWN) == len({w.lower() for w in words}) > 100
+
+
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+FOOT = "<footer><p>&copy; 2024 Some name. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize("shell", [f"<html><body>{NAV}%s{FOOT}</body></html>", "<html><body>%s</body></html>"])
+@pytest.mark.parametrize("inner", [
+    ART + "<h2>References</h2><ul><li><a href=a>First linked work</a></li><li><a href=b>Second linked work</a></li></ul>",
+    ART + "<dl><dt>Term</dt><dd>Its meaning told in words.</dd><dt>Other</dt><dd>Told as well.</dd></dl>",
+    "<div class='entry-header'><h1>The title of it</h1></div>" + ART, "<header><h1>The title of it</h1></header>" + ART,
+    ART + "<p><a href=a>One more thing</a> and <a href=b>another thing</a></p>",
+    ART + "<figure><img src=x><figcaption>A caption.</figcaption></figure>",
+    ART + "<table><tr><td>a</td><td>b</td></tr></table>", ART + "<pre>some code</pre><blockquote>Said so.</blockquote>"])
+def test_parts_of_an_article_stay(shell, inner):
+    article = f"<article class='post'>{inner}</article>"
+    assert text_of(shell % article) == " ".join(n.text for n in read(article) if n.text)
+
+
+def test_scoring_all_trees_together_is_scoring_one_by_one():
+    rng = np.random.default_rng(0)
+    x = np.hstack([rng.random((700, 4)), rng.integers(0, 2, (700, 6)), np.zeros((700, 1))])
+    y = ((x[:, 0] > 0.5) ^ (x[:, 5] > 0)).astype(float)
+    trees = H.BoostedTrees(rounds=25, share=0.6).fit(x, y)
+    codes, one_by_one = trees._codes(x), np.full(700, trees.bias)
+    for t in trees.trees:
+        one_by_one += trees._leaf_values(t, codes)
+    np.testing.assert_allclose(trees.log_odds(x), one_by_one, atol=1e-9)
+    assert ((one_by_one > 0) == (y > 0)).mean() > 0.97
+    # the best first cut, by trying all
+    one = H.BoostedTrees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    def gain(left):
+        g, h = y - p, np.full(700, p * (1 - p))
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1.0) for m in (left, ~left))
+    tried = [(gain(x[:, j] <= c), j) for j in range(11) for c in one.edges[j]]
+    assert one.trees[0][0][0] == max(tried)[1]
 
 
 def test_held_out_generated_pages():
