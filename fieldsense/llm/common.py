@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
@@ -32,7 +33,8 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_fieldsense_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="fieldsense-py-")
+    folder = tempfile.mkdtemp(prefix="fieldsense-py-")             # the driver's; Spark sends the zip on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.addPyFile(shutil.make_archive(f"{folder}/fieldsense", "zip", root_dir=root, base_dir="fieldsense"))
     sc._fieldsense_shipped = True
 

@@ -264,6 +264,12 @@ def text_key(rows: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without exact copies, all columns kept."""
+    """``docs`` without exact copies, all columns kept.
+
+    Of equal texts (NULL and empty are equal) the row with the smallest id stays, of
+    rows with equal id and text the smallest by all columns; rows without id stay only
+    where their text has none with an id. Columns of any name are kept, an empty table
+    stays empty, texts of any length are compared whole.
+    """
     d = saved(exact_groups(docs).select("doc_id", F.col("sha").alias("key"), "kept", F.col("m").alias("n")))
     return keep_rows(docs, d, text_key)

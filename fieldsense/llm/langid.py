@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language first by name. Without any labelled row everything is ``und``;
     with one language every text with a letter has it. Repeated rows stay
     repeated; NULL ids stay; other columns are not read. An empty table gives
-    no rows.
+    no rows. Texts of any length are read to their end, ``BYTES_AT_ONCE`` at a time.
     """
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -242,7 +242,9 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
     winner has a confidence of at least 0.5, of one class 1.0, so two steps of at
     most two classes never score below 0.25. Guesses, noise with a few letters and
     languages never learned keep their guessed label and stay. With more classes
-    cyclic votes can score lower and go."""
+    cyclic votes can score lower and go. NULL and empty texts are letterless;
+    repeated rows, rows without id and columns of any name stay as they are, and
+    an empty table stays empty. Long texts are read whole."""
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("boolean")

@@ -39,7 +39,7 @@ SPELLINGS = (
 )
 
 
-WORDS_KEPT = 200_000           # spellings a worker remembers
+KEPT_BYTES = 24 << 20           # spellings a worker remembers, in bytes of memory
 
 _LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # ASCII except letters, digits and the line feed becomes a space
@@ -50,16 +50,21 @@ _MAY_BE_COPYRIGHT = re.compile("copyright|copr\\.|©|\\(c\\)".encode())
 _RULES = [(re.compile(f" {p} ".encode()), f" {to} ".replace("{1}", "\\1").replace("{2}", "\\2").encode())
           for p, to in SPELLINGS]
 _spelled: dict[bytes, bytes] = {}
+_held = 0
 
 
 def spelled(word: bytes) -> bytes:
     """The word in its canonical spelling (remembered)."""
+    global _held
     t = b" " + word + b" "
     for rule, to in _RULES:
         t = rule.sub(to, t)
-    if len(_spelled) > WORDS_KEPT:
+    out = b" ".join(t.split(b" ")).strip(b" ")
+    _held += 180 + len(word) + len(out)
+    if _held > KEPT_BYTES:
         _spelled.clear()
-    out = _spelled[word] = b" ".join(t.split(b" ")).strip(b" ")
+        _held = 180 + len(word) + len(out)
+    _spelled[word] = out
     return out
 
 
@@ -116,7 +121,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     document name, ``n_notices`` counts such lines. NULL and empty texts have
     the digest of the empty text and no licence. Repeated rows stay
     repeated, NULL ids stay, other columns are not read. An empty table gives
-    no rows.
+    no rows. Texts, lines and words of any length are read whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -124,7 +124,9 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns of ``docs``."""
+    """The mix itself: every document as often as it is taken, columns of ``docs``
+    (any names). Unusual rows as in ``systematic_mix``; a document that is taken no
+    time is not there, one of no words may be. An empty table stays empty."""
     return (systematic_mix(docs, **kw).where("_copies > 0")
             .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
             .select("_row.*"))

@@ -27,7 +27,8 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     without id come last; rows of equal id are ordered by CRC and size. An
     empty table gives no rows. A single document larger than the target leaves
     shards beside it short or empty. Groups of equal texts are not held
-    together.
+    together. Of a text of any length only size and CRC travel; other columns are
+    not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),

@@ -289,7 +289,12 @@ def simhash_near_dedup(docs: DataFrame, **kw) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """``docs`` with one document per group, the one of the smallest id (of
-    rows that share this id, the one of the smallest fingerprint)."""
+    rows that share this id, the one of the smallest fingerprint; of rows equal in
+    both the smallest by all columns).
+
+    Texts without words (NULL, empty, blank) are one group with whatever links to
+    fingerprint 0. Rows without id stay only where their group has none with an id.
+    Columns of any name are kept, an empty table stays empty, texts are read whole."""
     g = near_groups(docs, width, radius, split)
     rows = g.groupBy("doc_id", "fp", "root").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
