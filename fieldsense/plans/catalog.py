@@ -819,25 +819,25 @@ def _positions(df, *cols):
                .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (saved.select("*", part).join(F.broadcast(offsets), "_part")        # one row per partition
-            .select((F.col("_before") + inside + 1).cast("int").alias("place"), *cols))
+            .select((F.col("_before") + inside + 1).cast("bigint").alias("place"), *cols))
 
 
 @register("order_fetch", with_m(f"""
-SELECT CAST(row_number() OVER (ORDER BY window_start) AS INT) AS place, window_start FROM m
+SELECT CAST(row_number() OVER (ORDER BY window_start) AS BIGINT) AS place, window_start FROM m
 WHERE window_start BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"""))
 def q_order_fetch(spark, sf_dir):
     return _positions(Q.fetch_measurements(_m(spark, sf_dir), START, END), "window_start")
 
 
 @register("order_latest", with_m(", " + _LATEST_SQL.strip() + """
-SELECT CAST(row_number() OVER (ORDER BY location, treatment_id, sensor_id) AS INT) AS place,
+SELECT CAST(row_number() OVER (ORDER BY location, treatment_id, sensor_id) AS BIGINT) AS place,
        location, treatment_id, sensor_id FROM latest"""))
 def q_order_latest(spark, sf_dir):
     return _positions(Q.latest_status(_m(spark, sf_dir)), "location", "treatment_id", "sensor_id")
 
 
 @register("order_sensors", with_m("""
-SELECT CAST(row_number() OVER (ORDER BY sensor_id) AS INT) AS place, sensor_id
+SELECT CAST(row_number() OVER (ORDER BY sensor_id) AS BIGINT) AS place, sensor_id
 FROM (SELECT DISTINCT sensor_id FROM m) s"""))
 def q_order_sensors(spark, sf_dir):
     return _positions(Q.distinct_sensors(_m(spark, sf_dir)), "sensor_id")
@@ -849,27 +849,27 @@ SELECT DISTINCT 0 AS f, 0 AS n, location AS value FROM m
 UNION ALL SELECT DISTINCT 1, sensor_id, CAST(sensor_id AS VARCHAR) FROM m WHERE location IN ('Site 3')
 UNION ALL SELECT DISTINCT 2, treatment_id, CAST(treatment_id AS VARCHAR) FROM m
           WHERE location IN ('Site 3') AND sensor_id IN (5))
-SELECT CAST(row_number() OVER (ORDER BY f, n, value) AS INT) AS place, value FROM o"""))
+SELECT CAST(row_number() OVER (ORDER BY f, n, value) AS BIGINT) AS place, value FROM o"""))
 def q_order_options(spark, sf_dir):
     return _positions(S.filter_options(_m(spark, sf_dir), ["Site 3"], [5]), "value")
 
 
 @register("order_gaps", with_m(", " + _GAP_SQL.strip() + """
-SELECT CAST(row_number() OVER (ORDER BY sensor_id, treatment_id, location) AS INT) AS place,
+SELECT CAST(row_number() OVER (ORDER BY sensor_id, treatment_id, location) AS BIGINT) AS place,
        sensor_id, treatment_id, location FROM gaps"""))
 def q_order_gaps(spark, sf_dir):
     return _positions(Q.gap_stats(_m(spark, sf_dir), START, END), "sensor_id", "treatment_id", "location")
 
 
 @register("order_connectivity", with_m(", " + _conn_sql("1 DAY", *RANGE_1D).strip() + """
-SELECT CAST(row_number() OVER (ORDER BY time_bin, sensor_id, location) AS INT) AS place, time_bin, sensor_id, location
+SELECT CAST(row_number() OVER (ORDER BY time_bin, sensor_id, location) AS BIGINT) AS place, time_bin, sensor_id, location
 FROM conn"""))
 def q_order_connectivity(spark, sf_dir):
     return _positions(Q.connectivity_stats(_m(spark, sf_dir), *RANGE_1D), "time_bin", "sensor_id", "location")
 
 
 @register("order_alerts", with_m(", " + _GAPS_SQL.strip() + """
-SELECT CAST(row_number() OVER (ORDER BY kind, pos NULLS FIRST, sensor_id, location) AS INT) AS place,
+SELECT CAST(row_number() OVER (ORDER BY kind, pos NULLS FIRST, sensor_id, location) AS BIGINT) AS place,
        kind, pos, sensor_id, location FROM alerts""", dim=True))
 def q_order_alerts(spark, sf_dir):
     return _positions(Q.sensor_gaps(_m(spark, sf_dir), E.fixture_sensors(spark), NOW),
@@ -877,7 +877,7 @@ def q_order_alerts(spark, sf_dir):
 
 
 @register("order_series", with_m(f"""
-SELECT CAST(row_number() OVER (ORDER BY encode({_LABEL}), sensor_id, window_start) AS INT) AS place,
+SELECT CAST(row_number() OVER (ORDER BY encode({_LABEL}), sensor_id, window_start) AS BIGINT) AS place,
        sensor_id, window_start FROM m"""))
 def q_order_series(spark, sf_dir):
     return _positions(S.temperature_series(_m(spark, sf_dir), mode="delta"), "sensor_id", "window_start")
