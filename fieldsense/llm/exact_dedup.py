@@ -232,8 +232,9 @@ def exact_groups(docs: DataFrame, huge_bytes: int = HUGE_BYTES, poly_args: tuple
     members = (entries.join(bad, ["fp", "n_bytes"], "left")
                .withColumn("variant", F.when(F.col("bad"), F.col("sha")).otherwise(F.lit(b"")))
                .drop("bad"))
-    groups = (members.groupBy("fp", "n_bytes", "variant")
-              .agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size")))
+    # saved, so the join below has plain shuffles on both sides and Spark can split a hot group
+    groups = saved(members.groupBy("fp", "n_bytes", "variant")
+                   .agg(F.min("doc_id").alias("keep_id"), F.sum("m").alias("group_size")))
     return (members.join(groups, ["fp", "n_bytes", "variant"])
             .select("doc_id", "sha", "fp", "n_bytes", "m", "keep_id", "group_size",
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
