@@ -245,7 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
         before, n_before = e, n
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are saved: a join of plain shuffles can split a hot node's edges
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(smallest, "hi")
@@ -276,7 +277,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, split
     comp = components(links(nodes.select("fp"), radius, split))
     rooted = (nodes.join(comp, nodes["fp"] == comp["node"], "left")
               .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # saved, so that Spark can split a hot group in the join (both sides are plain shuffles)
+    ids = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = rooted.join(ids, "root").select("fp", "component_id", "root")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
 
