@@ -1,10 +1,11 @@
 """Running silence alerts: a sensor that sends nothing for the threshold raises
 one alert, as soon as the watermark proves it.
 
-Every distinct point of a (sensor, location) sets an event-time timer at the point
-plus the threshold. When the watermark passes a timer no row up to it can come any
-more: if no point lies between, the silence that began at the point is certain.
-State (RocksDB) holds the points of one threshold and the watermark's delay only.
+A (sensor, location) keeps its points and one event-time timer, at its earliest point
+plus the threshold. When the watermark passes the timer no row up to it can come any
+more: a point is followed by a silence if no other lies within the threshold behind
+it. Points that are decided go, the timer moves on to the earliest one left. State
+(RocksDB) holds the points of one threshold and the watermark's delay only.
 """
 
 from __future__ import annotations
@@ -24,27 +25,39 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 class SilenceProcessor(StatefulProcessor):
     def __init__(self, threshold_s: int):
-        self.threshold_ms = 1000 * threshold_s
+        self.threshold = threshold_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.points = handle.getMapState("points", "ms bigint", "seen boolean")
+        self.kept = handle.getValueState("points", "points array<bigint>, armed bigint")
+
+    def _keep(self, points: list[int], armed: int | None) -> None:
+        """Store the points (seconds, ascending) and set the timer for the first."""
+        due = points[0] + self.threshold if points else None
+        if due != armed:
+            if armed is not None:
+                self.handle.deleteTimer(1000 * armed)
+            if due is not None:
+                self.handle.registerTimer(1000 * due)
+        if points:
+            self.kept.update((points, due))
+        else:
+            self.kept.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for ms in {r["point_s"] * 1000 for r in rows}:
-            if not self.points.containsKey((ms,)):
-                self.points.updateValue((ms,), (True,))
-                self.handle.registerTimer(ms + self.threshold_ms)
+        points, armed = self.kept.get() if self.kept.exists() else ([], None)
+        self._keep(sorted({*points, *(r["point_s"] for r in rows)}), armed)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        since = due - self.threshold_ms
-        silent = not any(since < k[0] < due for k in self.points.keys())
-        if self.points.containsKey((since,)):
-            self.points.removeKey((since,))
-        if silent:
-            yield Row(sensor_id=key[0], location=key[1], since_s=since // 1000, alert_s=due // 1000)
+        points, armed = self.kept.get()
+        points, passed = list(points), timerValues.getCurrentWatermarkInMs() // 1000
+        decided = sum(p + self.threshold <= passed for p in points)
+        out = [Row(sensor_id=key[0], location=key[1], since_s=p, alert_s=p + self.threshold)
+               for p, following in zip(points[:decided], [*points[1:], None])
+               if following is None or following >= p + self.threshold]
+        self._keep(points[decided:], None)             # the timer that brought us here is spent
+        return iter(out)
 
     def close(self) -> None:
         pass
