@@ -164,7 +164,7 @@ def q_normalize_utc_freeform(spark, sf_dir):
         west = F.date_format(ts + F.expr("INTERVAL 330 MINUTES"), "MMMM d'th' yyyy HH:mm:ss '+05:30'")
         text = F.when(pick == len(FORMS), east).when(pick == len(FORMS) + 1, west).otherwise(text)
         cols.append(text.alias(c))
-    return normalize_utc(p.select("file_name", *cols))
+    return normalize_utc(p.select("file_name", *cols), free_form=True)
 
 
 # ---------------------------------------------------------------- interrupted and watched runs
