@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from documents_fixture import (EXAMPLE_SITE_9, INVALID_QUALITY, MISSING_FIELD, SENSORS, VALID_1, document,
-                      treatment)
+                      treatment, write_docs)
 from fieldsense.operators.lookup import add_location
 from fieldsense.operators.validate import (flatten_documents, parse_documents, split_rejects,
                                            validate_documents)
+from fieldsense.sources.documents import read_documents
 
 
 def run(spark, docs: dict):
@@ -187,3 +188,20 @@ def test_parse_utc_forms_independent_of_session_zone(spark, text, expected):
 def test_non_object_document_reports_missing_site(spark, text):
     errors, rows = run(spark, {"n.json": text})
     assert rows == [] and errors["n.json"] == "Missing required field: site_id"
+
+
+@pytest.mark.parametrize("wanted", [lambda v: v.where("error is not null"), lambda v: split_rejects(v)[0],
+                                    lambda v: flatten_documents(split_rejects(v)[0])])
+def test_conditions_on_checked_documents_parse_the_text_once(spark, tmp_path, wanted):
+    write_docs(str(tmp_path / "inbox"), {"a.json": VALID_1, "b.json": INVALID_QUALITY})
+    docs = read_documents(spark, str(tmp_path / "inbox"))
+    plan = wanted(validate_documents(parse_documents(docs)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1
+
+
+def test_checked_columns_stand_beside_others_of_their_names(spark):
+    frame = spark.createDataFrame([("a.json", "{oops", 1)], "file_name string, value string, _row int")
+    v = validate_documents(parse_documents(frame))
+    assert v.columns == ["file_name", "value", "_row", "doc", "error", "sensor_id", "n_observations", "window_start",
+                         "window_end", "treatments", "items"]
+    assert v.select("_row", "error").first()[0] == 1
