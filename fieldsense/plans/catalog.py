@@ -549,8 +549,8 @@ def q_split_rejects(spark, sf_dir):
     return rejects.select("file_name", "error")
 
 
-def _ingest_rows(spark, sf_dir):
-    valid, _ = split_rejects(_validated(spark, sf_dir, bad=_BAD))
+def _ingest_rows(spark, validated):
+    valid, _ = split_rejects(validated)
     rows = add_location(flatten_documents(valid), E.FIXTURE_SENSORS)
     return insert_if_absent(rows, empty_measurements(spark), order_by=["file_name", "pos"])
 
@@ -561,7 +561,7 @@ SELECT {_COLS} FROM (
   FROM dr WHERE NOT doc_bad) x
 WHERE rn = 1"""))
 def q_ingest_rows(spark, sf_dir):
-    return _ingest_rows(spark, sf_dir).select(*_COLS.split(", "))
+    return _ingest_rows(spark, _validated(spark, sf_dir, bad=_BAD)).select(*_COLS.split(", "))
 
 
 @register("ingest_stats", with_docs("""
@@ -574,7 +574,10 @@ SELECT CAST(count(DISTINCT file_name) AS BIGINT) AS found,
             - count(DISTINCT (sensor_id, treatment_id, window_start)) FILTER (WHERE NOT doc_bad) AS BIGINT) AS duplicates
 FROM dr"""))
 def q_ingest_stats(spark, sf_dir):
-    return ingest_stats(_validated(spark, sf_dir, bad=_BAD), _ingest_rows(spark, sf_dir))
+    ensure_checkpoint_dir(spark)
+    # documents are validated once; the counters, the rows and their keys read what was saved
+    validated = _validated(spark, sf_dir, bad=_BAD).drop("doc", "treatments").checkpoint()
+    return ingest_stats(validated, _ingest_rows(spark, validated))
 
 
 # ---------------------------------------------------------------- streaming
