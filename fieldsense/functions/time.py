@@ -4,6 +4,7 @@ here depends on the session time zone."""
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -68,6 +69,28 @@ def epoch_seconds_ntz(ts: Column) -> Column:
             + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts))
 
 
+def _shape(fmt: str) -> str | None:
+    """A regular expression that every text of the pattern ``fmt`` matches (others
+    may, too); None where the pattern has letters beyond date and time of day."""
+    out = []
+    for quoted, run, other in re.findall(r"'((?:[^']|'')*)'|([A-Za-z]+)|(.)", fmt, re.S):
+        if run:
+            for letters in re.findall(r"y+|M+|d+|H+|h+|m+|s+|S+|E+|a+|.", run):
+                if letters[0] not in "yMdHhmsSEa":
+                    return None
+                named = letters[0] in "Ea" or (letters[0] == "M" and len(letters) > 2)
+                piece = r"[^0-9\s]+" if named else "[+0-9-]+"
+                if not out or out[-1] != piece:            # numbers side by side are one run of digits
+                    out.append(piece)
+        else:
+            out.append({"[": "(?:", "]": ")?"}.get(other) or _escaped(quoted.replace("''", "'") or other or "'"))
+    return "(?is)^" + "".join(out) + "$"
+
+
+def _escaped(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", text)
+
+
 def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS, free_form: bool = True) -> Column:
     """Date/time text to UTC TIMESTAMP_NTZ truncated to whole seconds.
 
@@ -87,8 +110,12 @@ def parse_utc(text: Column, formats: Sequence[str] = DATE_FORMATS, free_form: bo
     if formats:
         loose = F.regexp_replace(s, ",", "")
         # a fixed offset is added to text and pattern: the session time zone plays no part
-        tried = [F.unix_seconds(F.try_to_timestamp(F.concat(loose, F.lit(" +0000")), F.lit(f + " xx"))
-                                .cast("timestamp")) for f in formats]
+        # a text that fails a format costs an exception, so only those of its shape are tried
+        tried = []
+        for f in formats:
+            read = F.unix_seconds(F.try_to_timestamp(F.concat(loose, F.lit(" +0000")), F.lit(f + " xx")).cast("timestamp"))
+            shape = _shape(f)
+            tried.append(read if shape is None else F.when(loose.rlike(shape), read))
         secs = F.when(iso, secs).otherwise(F.coalesce(*tried))
     if free_form:
         secs = F.coalesce(secs, free_form_seconds(text))

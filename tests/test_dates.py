@@ -65,3 +65,17 @@ def test_no_python_worker_and_any_session_zone(spark):
             assert read(spark, ["5 PM on Tue 3 Sept 2024"], parse_utc)[0] == dt.datetime(2024, 9, 3, 17)
     finally:
         spark.conf.set("spark.sql.session.timeZone", keep)
+
+
+def test_only_formats_of_a_text_s_shape_are_tried(spark):
+    from fieldsense.functions.time import DATE_FORMATS, _shape
+    import re
+    texts = {"yyyyMMdd['T'HHmm[ss]]": ["20240102", "20240102T0304", "20240102T030405"], "d.M.yyyy[ H:m[:s]]": ["2.1.2024 3:4"],
+             "MMM d yyyy[ H:m[:s]]": ["Jan 2 2024", "JAN 2 2024 03:04:05"], "d MMM yyyy[ H:m[:s]]": ["2 jan 2024 3:4"]}
+    for fmt, some in texts.items():
+        assert all(re.search(_shape(fmt), t) for t in some)
+        assert not any(re.search(_shape(fmt), t) for t in ("Tue Jan 02 2024", "02-Jan-2024", ""))
+    assert _shape("yyyy-MM-dd VV") is None and re.search(_shape("'o''clock' H"), "o'clock 3")
+    frame = spark.createDataFrame([("x",)], "t string")
+    plan = frame.select(parse_utc(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") >= 2 + len(DATE_FORMATS)
